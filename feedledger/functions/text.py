@@ -37,6 +37,11 @@ def non_empty(values: Column) -> Column:
     return F.filter(values, lambda v: v.isNotNull() & (v != ""))
 
 
+def extract(text: Column, pattern: Column, group: int) -> Column:
+    """``regexp_extract`` whose pattern may differ per row."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(group))
+
+
 def first_non_empty(*values: Column) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 

@@ -200,8 +200,8 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
 
     # Status is published whatever the guards say.
     status = store.write("source_status", out.source_status(
-        outcomes, store.read("source_status")), f"run={run_id}")
-    runs = store.write("runs", run_row(outcomes, added, rejection, run_id, now), f"run={run_id}")
+        outcomes, store.read("source_status")), f"run_id={run_id}")
+    runs = store.write("runs", run_row(outcomes, added, rejection, run_id, now), f"run_id={run_id}")
     row = store.spark.read.schema(S.RUN).parquet(f"{store.root}/{runs[0]}").first()
     rejected = row["rejected"].asDict() if row["rejected"] else None
     summary = run_summary(outcomes, counts, row)
@@ -210,9 +210,9 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
         store.publish(changed)
         return RunResult(False, summary, rejected)
 
-    name = f"run={run_id}"
+    name = f"run_id={run_id}"
     leaving = ledger.where("leaves").select("id")
-    stay = added.join(leaving, "id", "left_anti").withColumn("run_id", F.lit(run_id).cast("long"))
+    stay = added.join(leaving, "id", "left_anti")
     removed = ledger.where("leaves AND copies > 0").select("id", F.lit(run_id).cast("long").alias("run_id"))
     states = ledger.where("fate IN ('ignored', 'kept', 'synced')")
     for table, rows, grows in (

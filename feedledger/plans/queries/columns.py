@@ -17,7 +17,7 @@ _CANONICAL = r"""
          || CASE WHEN len(params) = 0 THEN '' ELSE '?' || array_to_string(list_sort(params), '&') END AS link
   FROM (
     SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
-           list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), p ->
+           list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p:
              p <> '' AND NOT lower(p) LIKE 'utm\_%' ESCAPE '\'
              AND NOT regexp_extract(lower(p), '^([^=]*)', 1) IN
                ('fbclid', 'gclid', 'msclkid', 'mc_cid', 'mc_eid', 'igshid', 'ref', 'ref_src', 'source')) AS params
@@ -37,9 +37,9 @@ def page_ids(spark, folder):
 
 @query(r"""
   SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'),
-                              s -> s <> '')[-1] AS slug,
-         list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), s -> s <> '')[1] AS owner,
-         list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), s -> s <> '')[2] AS repo
+                              lambda s: s <> '')[-1] AS slug,
+         list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[1] AS owner,
+         list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[2] AS repo
   FROM pages""")
 def page_slugs(spark, folder):
     pair = urls.owner_and_repo(F.col("url"))
@@ -64,7 +64,7 @@ def page_headings(spark, folder):
          regexp_extract(url, '^([a-z]+)://', 1) || '://'
          || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '')
          || array_to_string(list_transform(string_split(href, ''),
-              c -> CASE WHEN regexp_matches(c, '[^\x21-\x7e]') THEN url_encode(c) ELSE c END), '') AS link
+              lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7e]') THEN url_encode(c) ELSE c END), '') AS link
   FROM (SELECT page_id, url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS pos
         FROM (SELECT page_id, url, regexp_extract_all(html, '(?i)<a href="(/[^"]+)"', 1) AS hrefs FROM pages))""")
 def page_links(spark, folder):

@@ -193,7 +193,7 @@ def page_item_lists(spark, folder):
     regexp_extract(url, '^([a-z]+)://', 1) || '://'
       || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '')
       || array_to_string(list_transform(string_split(regexp_extract(html, '(?i)<a href="([^"]+)"', 1), ''),
-           c -> CASE WHEN regexp_matches(c, '[^\x21-\x7e]') THEN url_encode(c) ELSE c END), '') AS link
+           lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7e]') THEN url_encode(c) ELSE c END), '') AS link
   FROM pages""")
 def page_entries(spark, folder):
     """Pages hold no item list, so tag names decide: a heading and the first link."""
@@ -208,7 +208,7 @@ def page_entries(spark, folder):
   FROM (SELECT page_id, unnest(ms) AS m, generate_subscripts(ms, 1) AS pos,
                regexp_extract(unnest(ms), '>([^<]+)</a>', 1) AS heading,
                array_to_string(list_transform(string_split(regexp_extract(unnest(ms), 'href="([^"]+)"', 1), ''),
-                 c -> CASE WHEN regexp_matches(c, '[^\x21-\x7e]') THEN url_encode(c) ELSE c END), '') AS href
+                 lambda c: CASE WHEN regexp_matches(c, '[^\x21-\x7e]') THEN url_encode(c) ELSE c END), '') AS href
         FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]+">[^<]+</a></li>') AS ms FROM pages))""")
 def page_containers(spark, folder):
     """Every list item is a container whose heading is the link itself."""

@@ -33,8 +33,8 @@ def user_outcomes(spark, folder) -> DataFrame:
 OUTCOMES = """
   outcomes AS (
     SELECT 'u' || user_id AS source_id, user_id AS pos, n,
-           CASE kind WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'planned' ELSE 'succeeded' END AS outcome, at
-    FROM (SELECT user_id, arg_max(event_type, row(ts, event_id)) AS kind, max(ts) AS at, count(*) AS n
+           CASE kind WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'planned' ELSE 'succeeded' END AS outcome, attempted
+    FROM (SELECT user_id, arg_max(event_type, row(ts, event_id)) AS kind, max(ts) AS attempted, count(*) AS n
           FROM events GROUP BY user_id))"""
 
 
@@ -64,8 +64,8 @@ def outcome_order(spark, folder):
 
 @query(f"""WITH {OUTCOMES}
   SELECT source_id, CASE outcome WHEN 'succeeded' THEN 'active' WHEN 'failed' THEN 'failing' ELSE 'planned' END AS status,
-         CASE WHEN outcome = 'succeeded' THEN at WHEN outcome = 'failed' AND pos % 2 = 0 THEN TIMESTAMP '2023-12-31' END AS last_success_at,
-         CASE WHEN outcome <> 'planned' THEN at END AS last_attempt_at,
+         CASE WHEN outcome = 'succeeded' THEN attempted WHEN outcome = 'failed' AND pos % 2 = 0 THEN TIMESTAMP '2023-12-31' END AS last_success_at,
+         CASE WHEN outcome <> 'planned' THEN attempted END AS last_attempt_at,
          CASE WHEN outcome = 'failed' THEN 'runtime-failing' END AS failure_class,
          CASE WHEN outcome = 'failed' THEN 'HTTP 503 after ' || n END AS reason FROM outcomes""")
 def source_statuses(spark, folder):

@@ -43,8 +43,8 @@ def stream_states(spark, folder):
         "id", *[F.lit(None).cast("string").alias(c) for c in ("source_id", "heading", "label", "link")],
         F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("date_basis"),
         F.lit("all").alias("category"), F.array().cast("array<string>").alias("tags"),
-        F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("run_id"))
-    store.publish({"items": store.write("items", items, "seed")})
+        F.lit(0).cast("long").alias("seq"))
+    store.publish({"items": store.write("items", items, "run_id=0")})
     state = F.expr("CASE event_type WHEN 'view' THEN 'unread' WHEN 'click' THEN 'read' ELSE 'ignored' END")
     transitions = _stream(spark, folder, "events").where(
         "event_type IN ('view', 'click', 'error') AND (event_type <> 'error' OR event_id % 11 = 0)").select(

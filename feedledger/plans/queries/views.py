@@ -140,7 +140,7 @@ def deep_link(spark, folder):
 @query(f"""WITH {OUTCOMES}, m AS ({SUPPLIER_MONITORED}),
   n AS (SELECT count(*) FILTER (WHERE outcome = 'failed') AS failed FROM outcomes)
   SELECT 'red' AS severity, failed || ' sources failing' AS title, category, id AS source_id
-  FROM n, (SELECT category, id FROM m WHERE status = 'failing' ORDER BY ord, pos LIMIT 1)""")
+  FROM n LEFT JOIN (SELECT category, id FROM m WHERE status = 'failing' ORDER BY ord, pos LIMIT 1) ON TRUE""")
 def alert(spark, folder):
     counts = run_coverage(user_outcomes(spark, folder)).select(
         F.struct("succeeded", "failed", "planned", F.lit(0).cast("long").alias("added"), "total").alias("coverage"),

@@ -27,6 +27,7 @@ TABLES = {
     "known_undated": S.KNOWN_UNDATED, "lifecycle_stage": S.LIFECYCLE_STAGE,
     "source_status": S.SOURCE_STATUS, "runs": S.RUN,
 }
+#: Tables whose directories are partitions: ``run_id=<n>``, then these columns.
 PARTITIONED = {"items": ["category"]}
 _VERSION = "version BIGINT, directories MAP<STRING, ARRAY<STRING>>"
 
@@ -68,14 +69,16 @@ class Store:
             F.lit(0).cast("long").alias("run_id"), F.lit(S.NEVER_RUN).cast("timestamp").alias("last_run_at"),
             zeros.alias("coverage"),
             F.lit(None).cast(S.RUN["rejected"].dataType).alias("rejected"))
-        self.publish({"runs": self.write("runs", never, "run=0")})
+        self.publish({"runs": self.write("runs", never, "run_id=0")})
 
     def read(self, table: str) -> DataFrame:
         paths = self.directories.get(table, [])
         if not paths:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(
-            *[f"{self.root}/{p}" for p in paths])
+        reader = self.spark.read.schema(TABLES[table])
+        if table in PARTITIONED:
+            reader = reader.option("basePath", f"{self.root}/{table}")
+        return reader.parquet(*[f"{self.root}/{p}" for p in paths])
 
     def stored_items(self) -> DataFrame:
         """Active items with the run that brought them."""
@@ -94,7 +97,8 @@ class Store:
     def write(self, table: str, rows: DataFrame, directory: str) -> list[str]:
         """Write one immutable directory of a table and return its name as a list."""
         path = f"{table}/{directory}"
-        columns = [c for c in TABLES[table].fieldNames()]
+        columns = [c for c in TABLES[table].fieldNames()
+                   if table not in PARTITIONED or c != "run_id"]
         writer = rows.select(*columns).write.mode("overwrite")
         if table in PARTITIONED:
             writer = writer.partitionBy(*PARTITIONED[table])
@@ -120,5 +124,5 @@ class Store:
 
     def compact(self) -> None:
         """Fold removals and segments of the item table into one segment."""
-        name = f"compact={self.version + 1}"
+        name = f"run_id={self.version}"
         self.publish({"items": self.write("items", self.stored_items(), name), "removed": []})

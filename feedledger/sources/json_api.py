@@ -25,7 +25,7 @@ def parse_json_api(body: Column, url: Column, filters: Column, policy: Column) -
     heading_field = _option(filters, "headingField", "title")
     link_field = _option(filters, "linkField", "url")
     date_field = _option(filters, "dateField")
-    text = F.get_json_object(body, json_path)
+    text = F.call_function("get_json_object", body, json_path)
     rows = F.when(text.rlike(r"^\s*\["),
                   F.try_parse_json(text).try_cast("array<map<string,variant>>"))
 

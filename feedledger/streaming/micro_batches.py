@@ -60,7 +60,7 @@ def transition_stream(root: str, transitions: DataFrame, checkpoint: str) -> Str
     def each(batch: DataFrame, batch_id: int) -> None:
         store = Store(batch.sparkSession, root)
         store.bootstrap()
-        name = f"transitions={store.version}"
+        name = f"run_id={store.version}"
         items = store.stored_items()
         kept, states = apply_transitions(items, store.read("states"), batch)
         staged = store.stage(states, "states")

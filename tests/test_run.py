@@ -31,9 +31,7 @@ def seed(store, **tables):
     store.bootstrap()
     changed = {}
     for name, rows in tables.items():
-        if name == "items":
-            rows = rows.withColumn("run_id", F.lit(0).cast("long"))
-        changed[name] = store.write(name, rows, "seed")
+        changed[name] = store.write(name, rows, "run_id=0")
     store.publish(changed)
 
 
