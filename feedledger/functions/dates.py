@@ -4,7 +4,6 @@
 """
 
 from datetime import datetime
-from itertools import chain
 
 from pyspark.sql import Column, functions as F
 
@@ -38,42 +37,37 @@ def now_literal(now: datetime | str | Column) -> Column:
     return F.lit(text).cast("timestamp")
 
 
-def _fields(text: Column, pattern: str, order: str) -> Column:
-    """All capture groups of one pattern as an array, by a single regex pass."""
-    return F.split(F.regexp_replace(text, pattern, order), "\\|")
-
-
-def _offset_minutes(zone: Column) -> Column:
-    named = F.create_map(*[F.lit(x) for x in chain.from_iterable({"": 0, **_ZONES}.items())])
-    digits = F.regexp_replace(zone, r"(?i)^(?:GMT|UTC)|:", "")
-    signed = let(digits, lambda d: (
-        F.when(d.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-        * (F.substring(d, 2, 2).try_cast("int") * 60 + F.substring(d, 4, 2).try_cast("int"))))
-    return F.coalesce(F.try_element_at(named, F.upper(zone)), signed)
-
-
-def _instant(f: Column) -> Column:
-    """Timestamp from ``[year, month, day, hour, minute, second, fraction, zone]``.
-
-    Plain UTC arithmetic: a day past the end of a month runs into the next one, as a
-    lenient date parser does, and no parser policy or session zone can interfere.
-    """
-    def num(i: int, default: int) -> Column:
-        return F.coalesce(f[i].try_cast("int"), F.lit(default))
-
-    month = F.coalesce(
-        f[1].try_cast("int"),
-        ((F.position(F.lower(F.substring(f[1], 1, 3)), F.lit(_MONTHS)) + 2) / 3).cast("int"))
-    day, hour, minute, second = num(2, 1), num(3, 0), num(4, 0), num(5, 0)
-    micros = F.rpad(F.substring(f[6], 1, 6), 6, "0").try_cast("int")
-    valid = (month.between(1, 12) & day.between(1, 31) & (hour <= 24) & (minute < 60)
-             & (second < 60))
-    seconds = (
-        F.unix_date(F.make_date(num(0, 1970), F.when(valid, month).otherwise(F.lit(1)), F.lit(1)))
-        .cast("long") * 86400
-        + (day - 1) * 86400 + hour * 3600 + minute * 60 + second - _offset_minutes(f[7]) * 60)
-    return F.when(valid, F.timestamp_micros(
-        seconds * 1000000 + F.coalesce(micros, F.lit(0))))
+def _fields(pattern: str, order: str) -> str:
+    """Capture groups of one pattern as an array in a given order, or NULL: one pass."""
+    return (f"transform(array(split(regexp_replace(t, r'{pattern}', '{order}'), '[|]')), "
+            "f -> if(size(f) = 8, f, NULL))[0]")
+
+
+_ZONE_MINUTES = ", ".join(f"'{k}', {v}" for k, v in {"": 0, **_ZONES}.items())
+_OFFSET = f"""coalesce(
+    try_element_at(map({_ZONE_MINUTES}), upper(f[7])),
+    transform(array(regexp_replace(f[7], '(?i)^(?:GMT|UTC)|:', '')), z -> if(startswith(z, '-'), -1, 1)
+      * (try_cast(substr(z, 2, 2) AS INT) * 60 + try_cast(substr(z, 4, 2) AS INT)))[0])"""
+_NUMBERS = f"""
+f -> if(f IS NULL, NULL, named_struct(
+  'y', try_cast(f[0] AS INT),
+  'mo', coalesce(try_cast(f[1] AS INT),
+                 CAST((locate(lower(substr(f[1], 1, 3)), '{_MONTHS}') + 2) / 3 AS INT)),
+  'd', coalesce(try_cast(f[2] AS INT), 1), 'h', coalesce(try_cast(f[3] AS INT), 0),
+  'mi', coalesce(try_cast(f[4] AS INT), 0), 's', coalesce(try_cast(f[5] AS INT), 0),
+  'us', coalesce(try_cast(rpad(substr(f[6], 1, 6), 6, '0') AS INT), 0), 'off', {_OFFSET}))"""
+# Plain UTC arithmetic: a day past the end of a month runs into the next one, as a lenient
+# date parser does, and no parser policy or session zone can interfere.
+_INSTANT = """
+n -> if(n.mo BETWEEN 1 AND 12 AND n.d BETWEEN 1 AND 31 AND n.h <= 24 AND n.mi < 60 AND n.s < 60,
+  timestamp_micros((CAST(unix_date(make_date(n.y, n.mo, 1)) + n.d - 1 AS BIGINT) * 86400
+                    + n.h * 3600 + (n.mi - n.off) * 60 + n.s) * 1000000 + n.us),
+  NULL)"""
+#: Groups in the order year, month, day, hour, minute, second, fraction, zone.
+_GROUPS = f"""t -> coalesce(
+  {_fields(_ISO, "$1|$2|$3|$4|$5|$6|$7|$8")},
+  {_fields(_DAY_FIRST, "$3|$2|$1|$4|$5|$6|$7|$8")},
+  {_fields(_MONTH_FIRST, "$3|$1|$2|$4|$5|$6|$7|$8")})"""
 
 
 def trustworthy_timestamp(text: Column) -> Column:
@@ -82,13 +76,7 @@ def trustworthy_timestamp(text: Column) -> Column:
     Accepts ISO 8601, RFC 822 and month-name forms. A weekday is read over, never
     checked, because publishers get it wrong. Without a zone the time is UTC.
     """
-    text = F.trim(text)
-    fields = F.coalesce(*[
-        let(_fields(text, shape, order), lambda f: F.when(F.size(f) == 8, f))
-        for shape, order in ((_ISO, r"$1|$2|$3|$4|$5|$6|$7|$8"),
-                             (_DAY_FIRST, r"$3|$2|$1|$4|$5|$6|$7|$8"),
-                             (_MONTH_FIRST, r"$3|$1|$2|$4|$5|$6|$7|$8"))])
-    return let(fields, _instant)
+    return let(let(let(F.trim(text), _GROUPS), _NUMBERS), _INSTANT)
 
 
 def date_basis(published: Column) -> Column:

@@ -1,4 +1,10 @@
-"""URL expressions: canonical form, link resolution, and parts of a URL."""
+"""URL expressions: canonical form, link resolution, and parts of a URL.
+
+The longer ones are written as SQL lambdas: :func:`let` evaluates its argument once per
+row and the lambda refers to it by name as often as it likes.
+"""
+
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -17,75 +23,67 @@ _SHAPE = (
     r"(?:\?([^#]*))?"                      # 6 query
     r"(?:#.*)?$"
 )
-# Separator for the one-pass split; it cannot occur in a cleaned URL.
-_CUT = "\u0001"
-_ESCAPE = r"""[^\x21-\x7e]|["<>`{}\^]"""
-
-
-def _cleaned(raw: Column) -> Column:
-    """Trim the way a URL parser does: outer blanks and any tab or newline go."""
-    return F.regexp_replace(F.trim(raw), r"[\t\r\n\x01]", "")
-
-
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``; the tree does not grow with its uses."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _parts(raw: Column) -> Column:
-    """Six URL parts as an array, or NULL for anything that is not an absolute URL."""
-    marked = F.split(
-        F.regexp_replace(_cleaned(raw), _SHAPE, _CUT.join(f"${i}" for i in range(1, 7))), _CUT)
-    return let(marked, lambda p: F.when(F.size(p) == 6, p))
-
 
-def _escaped_path(path: Column) -> Column:
-    """Percent-encode what may not stand in a path; only paths that need it pay for it."""
-    encoded = F.array_join(
-        F.transform(
-            F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0)),
-            lambda c: F.when(c.rlike(_ESCAPE),
-                             F.regexp_replace(F.url_encode(c), r"\+", "%20")).otherwise(c)),
-        "")
-    return F.when(path.rlike(_ESCAPE), encoded).otherwise(path)
 
-
-def _without_dots(path: Column) -> Column:
-    """Resolve ``.`` and ``..`` path segments."""
-    segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
-    kept = F.aggregate(
-        F.slice(segments, F.lit(2), F.size(segments)),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
-    tail = F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
-    return F.when(path.rlike(r"/\.\.?(/|$)"),
-                  F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(path)
-
-
-def _query(raw: Column) -> Column:
-    """Drop tracking parameters, sort the rest by name (locale order), re-encode."""
-    def decode(text: Column) -> Column:
-        return F.coalesce(F.try_url_decode(text), text)
-
-    pairs = F.transform(
-        F.filter(F.split(raw, "&"), lambda p: p != ""),
-        lambda p, i: F.struct(
-            F.collate(decode(F.regexp_extract(p, r"^([^=]*)", 1)), "UNICODE").alias("name"),
-            i.alias("at"),
-            decode(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("value")))
-
-    def keep(pair: Column) -> Column:
-        name = F.lower(F.collate(pair["name"], "UTF8_BINARY"))
-        return ~(name.startswith(TRACKING_PREFIX) | name.isin(*TRACKING_NAMES))
-
-    text = F.array_join(
-        F.transform(F.array_sort(F.filter(pairs, keep)),
-                    lambda p: F.concat(F.url_encode(F.collate(p["name"], "UTF8_BINARY")),
-                                       F.lit("="), F.url_encode(p["value"]))),
-        "&")
-    return text
+def let(value: Column, body: str | Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, a SQL lambda or a function."""
+    if callable(body):
+        return F.transform(F.array(value), body)[0]
+    return F.call_function("transform", F.array(value), F.expr(body))[0]
+
+
+def _sql_let(value: str, body: str) -> str:
+    return f"transform(array({value}), {body})[0]"
+
+
+# Trimmed the way a URL parser does: outer blanks and any tab or newline go. \x01 cannot
+# be left in the text, so it marks the borders of the six parts.
+_CLEAN = r"regexp_replace(trim(u), r'[\t\r\n\x01]', '')"
+_MARKS = r"concat_ws(char(1), '$1', '$2', '$3', '$4', '$5', '$6')"
+#: Scheme, user, host, port, path and query; NULL for anything but an absolute URL.
+_PARTS = _sql_let(f"split(regexp_replace({_CLEAN}, r'{_SHAPE}', {_MARKS}), char(1))",
+                  "p -> if(size(p) = 6, p, NULL)")
+
+_UNSAFE = r"""r'[^\x21-\x7e]|["<>`{}\^]'"""
+# Percent-encode what may not stand in a path, then resolve . and .. segments. Both are
+# skipped for the many paths that need neither.
+_ESCAPED = f"""
+  if(s rlike {_UNSAFE},
+     array_join(transform(regexp_extract_all(s, '(?s).', 0),
+                          c -> if(c rlike {_UNSAFE}, replace(url_encode(c), '+', '%20'), c)), ''),
+     s)"""
+_UNDOTTED = r"""
+  if(s rlike r'/\.\.?(/|$)',
+     concat('/', array_join(aggregate(
+         slice(split(s, '/'), 2, size(split(s, '/'))), CAST(array() AS array<string>),
+         (kept, x) -> CASE WHEN x = '..' THEN slice(kept, 1, greatest(size(kept) - 1, 0))
+                           WHEN x = '.' THEN kept ELSE concat(kept, array(x)) END), '/'),
+       if(s rlike r'[^/]/\.\.?$', '/', '')),
+     s)"""
+_PATH = _sql_let(_sql_let("if(p[4] = '', '/', p[4])", f"s -> {_ESCAPED}"), f"s -> {_UNDOTTED}")
+
+_NAMES = ", ".join(f"'{n}'" for n in TRACKING_NAMES)
+# Parameters are decoded, stripped of tracking ones, sorted by name in locale order and
+# encoded again; equal names keep their order.
+_QUERY = f"""
+  array_join(transform(array_sort(filter(transform(
+      filter(split(p[5], '&'), x -> x <> ''),
+      (x, i) -> struct(
+        collate(coalesce(try_url_decode(split_part(x, '=', 1)), split_part(x, '=', 1)), 'UNICODE') AS name,
+        i AS at,
+        coalesce(try_url_decode(regexp_extract(x, '^[^=]*=(.*)$', 1)), regexp_extract(x, '^[^=]*=(.*)$', 1)) AS value)),
+      x -> NOT (startswith(lower(collate(x.name, 'UTF8_BINARY')), '{TRACKING_PREFIX}')
+                OR lower(collate(x.name, 'UTF8_BINARY')) IN ({_NAMES})))),
+    x -> concat(url_encode(collate(x.name, 'UTF8_BINARY')), '=', url_encode(x.value))), '&')"""
+
+_CANONICAL = f"""
+p -> concat(
+  lower(p[0]), '://', if(p[1] = '', '', concat(p[1], '@')),
+  regexp_replace(lower(p[2]), r'^www\\.', ''),
+  CASE WHEN p[3] = '' OR (lower(p[0]), p[3]) IN (('http', '80'), ('https', '443')) THEN ''
+       ELSE concat(':', p[3]) END,
+  regexp_replace({_PATH}, '(?<=.)/$', ''),
+  if(p[5] = '', '', regexp_replace({_QUERY}, '^(?=.)', '?')))"""
 
 
 def canonical_url(raw: Column) -> Column:
@@ -95,50 +93,36 @@ def canonical_url(raw: Column) -> Column:
     tracking parameters and one trailing slash go, remaining parameters are sorted.
     Path and parameter values keep their case.
     """
-    return let(_parts(raw), _canonical)
+    return let(let(raw, f"u -> {_PARTS}"), _CANONICAL)
 
 
-def _canonical(parts: Column) -> Column:
-    scheme = F.lower(parts[0])
-    user = F.when(parts[1] != "", F.concat(parts[1], F.lit("@"))).otherwise(F.lit(""))
-    host = F.regexp_replace(F.lower(parts[2]), r"^www\.", "")
-    port = (F.when((parts[3] == "") | ((scheme == "http") & (parts[3] == "80"))
-                   | ((scheme == "https") & (parts[3] == "443")), F.lit(""))
-            .otherwise(F.concat(F.lit(":"), parts[3])))
-    path = _without_dots(_escaped_path(F.when(parts[4] == "", F.lit("/")).otherwise(parts[4])))
-    path = F.regexp_replace(path, "(?<=.)/$", "")
-    query = F.when(parts[5] == "", F.lit("")).otherwise(_query(parts[5]))
-    tail = F.regexp_replace(query, "^(?=.)", "?")
-    return F.concat(scheme, F.lit("://"), user, host, port, path, tail)
+_ORIGIN = """concat(b[0], '://', if(b[1] = '', '', concat(b[1], '@')), b[2],
+                    if(b[3] = '', '', concat(':', b[3])))"""
+_RESOLVED = f"""
+x -> {_sql_let("x.base", f'''b -> CASE
+  WHEN x.link rlike r'^[A-Za-z][A-Za-z0-9+.\\-]*:' THEN x.link
+  WHEN startswith(x.link, '//') THEN concat(b[0], ':', x.link)
+  WHEN startswith(x.link, '/') THEN concat({_ORIGIN}, x.link)
+  WHEN startswith(x.link, '?') THEN concat({_ORIGIN}, if(b[4] = '', '/', b[4]), x.link)
+  WHEN startswith(x.link, '#') THEN concat({_ORIGIN}, if(b[4] = '', '/', b[4]),
+                                           if(b[5] = '', '', concat('?', b[5])), x.link)
+  ELSE concat({_ORIGIN}, if(b[4] = '', '/', regexp_replace(b[4], '[^/]*$', '')), x.link) END''')}"""
 
 
 def resolve_link(link: Column, base: Column) -> Column:
     """Resolve a link found in a document against that document's URL."""
-    return let(_cleaned(link), lambda a: let(_parts(base), lambda b: _resolved(a, b)))
-
-
-def _resolved(link: Column, parts: Column) -> Column:
-    user = F.when(parts[1] != "", F.concat(parts[1], F.lit("@"))).otherwise(F.lit(""))
-    port = F.when(parts[3] != "", F.concat(F.lit(":"), parts[3])).otherwise(F.lit(""))
-    origin = F.concat(parts[0], F.lit("://"), user, parts[2], port)
-    path = F.when(parts[4] == "", F.lit("/")).otherwise(parts[4])
-    folder = F.regexp_replace(path, "[^/]*$", "")
-    query = F.when(parts[5] != "", F.concat(F.lit("?"), parts[5])).otherwise(F.lit(""))
-    return (F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
-            .when(link.startswith("//"), F.concat(parts[0], F.lit(":"), link))
-            .when(link.startswith("/"), F.concat(origin, link))
-            .when(link.startswith("?"), F.concat(origin, path, link))
-            .when(link.startswith("#"), F.concat(origin, path, query, link))
-            .otherwise(F.concat(origin, folder, link)))
+    given = F.struct(let(link, f"u -> {_CLEAN}").alias("link"),
+                     let(base, f"u -> {_PARTS}").alias("base"))
+    return let(given, _RESOLVED)
 
 
 def url_path(link: Column) -> Column:
     """Path of an absolute URL, ``/`` if empty; NULL if the URL is not absolute."""
-    return let(_parts(link)[4], lambda path: F.when(path == "", F.lit("/")).otherwise(path))
+    return let(let(link, f"u -> {_PARTS}"), "p -> if(p[4] = '', '/', p[4])")
 
 
 def path_segments(link: Column) -> Column:
-    return F.filter(F.split(url_path(link), "/"), lambda s: s != "")
+    return let(url_path(link), "s -> filter(split(s, '/'), x -> x <> '')")
 
 
 def last_segment(link: Column) -> Column:
@@ -148,5 +132,5 @@ def last_segment(link: Column) -> Column:
 
 def owner_and_repo(link: Column) -> Column:
     """First two path segments as ``STRUCT<owner, repo>``; NULL if either is missing."""
-    return let(path_segments(link), lambda s: F.when(
-        F.size(s) >= 2, F.struct(s[0].alias("owner"), s[1].alias("repo"))))
+    return let(path_segments(link),
+               "s -> if(size(s) >= 2, named_struct('owner', s[0], 'repo', s[1]), NULL)")

@@ -7,6 +7,7 @@ every later step only filters or counts it. Status is always published, data onl
 guard rejects the run.
 """
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -215,14 +216,17 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     stay = added.join(leaving, "id", "left_anti")
     removed = ledger.where("leaves AND copies > 0").select("id", F.lit(run_id).cast("long").alias("run_id"))
     states = ledger.where("fate IN ('ignored', 'kept', 'synced')")
-    for table, rows, grows in (
+    def write(table: str, rows: DataFrame, grows: bool) -> tuple[str, list[str]]:
+        before = store.directories.get(table, []) if grows else []
+        written = store.write(table, rows, name)
+        return table, before + ([] if grows and store.is_empty(table, written) else written)
+
+    # The tables are independent of one another, so their jobs share the cluster.
+    with ThreadPoolExecutor(max_workers=6) as pool:
+        changed.update(pool.map(lambda job: write(*job), (
             ("items", stay, True), ("removed", removed, True), ("states", states, False),
             ("cursors", new_cursors, False), ("known_undated", newly_known, True),
-            ("lifecycle_stage", lifecycle.upsert_stages(stages, observed), False)):
-        if grows and rows.isEmpty():
-            continue
-        before = store.directories.get(table, []) if grows else []
-        changed[table] = before + store.write(table, rows, name)
+            ("lifecycle_stage", lifecycle.upsert_stages(stages, observed), False))))
     store.publish(changed)
     return RunResult(True, summary)
 

@@ -72,7 +72,12 @@ class Store:
         self.publish({"runs": self.write("runs", never, "run_id=0")})
 
     def read(self, table: str) -> DataFrame:
-        paths = self.directories.get(table, [])
+        return self._scan(table, self.directories.get(table, []))
+
+    def is_empty(self, table: str, directories: list[str]) -> bool:
+        return self._scan(table, directories).isEmpty()
+
+    def _scan(self, table: str, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], TABLES[table])
         reader = self.spark.read.schema(TABLES[table])

@@ -10,4 +10,6 @@ from feedledger.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("4", "6g")
+    session = local_session("8", "6g")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
+    return session

@@ -128,7 +128,8 @@ def test_live_tombstone_scrubs_and_a_dead_one_lets_the_item_back(store, spark):
     assert "1 re-added ignored item(s) scrubbed" in result.summary
     assert ids(store.items()) == []
 
-    later = run(store, spark, landed, rows, now="2026-02-03 00:00:00")
+    again = payloads(spark, ("s", rss(("A", "/a", "2 Feb 2026 10:00:00 GMT"))))
+    later = run(store, spark, again, rows, now="2026-02-03 00:00:00")
     assert later.accepted and "1 tombstone(s) pruned" in later.summary
     assert ids(store.items()) == [ignored]
     assert store.read("states").first()["state"] == "unread"
