@@ -44,18 +44,25 @@ def _fields(pattern: str, order: str) -> str:
 
 
 _ZONE_MINUTES = ", ".join(f"'{k}', {v}" for k, v in {"": 0, **_ZONES}.items())
+# The patterns leave digits or nothing in a numeric group, so plain casts do; a failing
+# try_cast would build an exception per row.
 _OFFSET = f"""coalesce(
     try_element_at(map({_ZONE_MINUTES}), upper(f[7])),
     transform(array(regexp_replace(f[7], '(?i)^(?:GMT|UTC)|:', '')), z -> if(startswith(z, '-'), -1, 1)
-      * (try_cast(substr(z, 2, 2) AS INT) * 60 + try_cast(substr(z, 4, 2) AS INT)))[0])"""
+      * (CAST(substr(z, 2, 2) AS INT) * 60 + CAST(substr(z, 4, 2) AS INT)))[0])"""
+
+
+def _number(group: int, default: int) -> str:
+    return f"if(f[{group}] = '', {default}, CAST(f[{group}] AS INT))"
+
+
 _NUMBERS = f"""
 f -> if(f IS NULL, NULL, named_struct(
-  'y', try_cast(f[0] AS INT),
-  'mo', coalesce(try_cast(f[1] AS INT),
-                 CAST((locate(lower(substr(f[1], 1, 3)), '{_MONTHS}') + 2) / 3 AS INT)),
-  'd', coalesce(try_cast(f[2] AS INT), 1), 'h', coalesce(try_cast(f[3] AS INT), 0),
-  'mi', coalesce(try_cast(f[4] AS INT), 0), 's', coalesce(try_cast(f[5] AS INT), 0),
-  'us', coalesce(try_cast(rpad(substr(f[6], 1, 6), 6, '0') AS INT), 0), 'off', {_OFFSET}))"""
+  'y', {_number(0, 1970)},
+  'mo', if(f[1] < 'A', {_number(1, 0)},
+           CAST((locate(lower(substr(f[1], 1, 3)), '{_MONTHS}') + 2) / 3 AS INT)),
+  'd', {_number(2, 1)}, 'h', {_number(3, 0)}, 'mi', {_number(4, 0)}, 's', {_number(5, 0)},
+  'us', if(f[6] = '', 0, CAST(rpad(substr(f[6], 1, 6), 6, '0') AS INT)), 'off', {_OFFSET}))"""
 # Plain UTC arithmetic: a day past the end of a month runs into the next one, as a lenient
 # date parser does, and no parser policy or session zone can interfere.
 _INSTANT = """

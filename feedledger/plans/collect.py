@@ -21,6 +21,7 @@ from ..operators.joins import lookup_join
 from ..operators.merge import new_items
 from ..operators.scope import in_source_scope
 from ..operators.states import with_fate
+from ..session import at_least_parallel
 from ..sources.adapters import AdapterRegistry, default_registry, parse_payloads
 from ..sources.registry import registry_issues, unsupported_adapters
 from ..sources.repositories import pulls_adding_files, with_added_files
@@ -162,7 +163,8 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
 
     # Collect: parse once, then scope, window, baseline, de-duplicate, merge.
     landed = landed_payloads(payloads, sources)
-    parsed = store.stage(parse_payloads(landed, registry).drop("body"), "parsed")
+    parsed = store.stage(
+        parse_payloads(at_least_parallel(landed, "seq"), registry).drop("body"), "parsed")
     stages, cursors = store.read("lifecycle_stage"), store.read("cursors")
     scoped, observed = collected_items(parsed, landed, stages, registry, now)
     scoped = store.stage(scoped, "collected")

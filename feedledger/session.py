@@ -3,7 +3,7 @@
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings for cluster and local runs alike; sizes come from the data through AQE.
 SETTINGS = {
@@ -27,6 +27,18 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
     return spark
 
 
+def at_least_parallel(rows: DataFrame, key: str) -> DataFrame:
+    """Spread rows over the cluster if their scan alone would leave most of it idle.
+
+    Parsing costs far more than moving a few small files. A scan that already has a split
+    per core, as any large table has, is left alone, so big inputs are never shuffled.
+    """
+    wanted = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() >= wanted:
+        return rows
+    return rows.repartition(wanted, key)
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
