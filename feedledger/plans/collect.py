@@ -17,8 +17,7 @@ from ..functions.dates import now_literal
 from ..functions.text import specificity
 from ..operators import checks, classify, increment, lifecycle, outcomes as out
 from ..operators.dedup import first_seen, most_specific
-from ..operators.joins import lookup_join
-from ..operators.merge import new_items
+from ..operators.joins import lookup_join, not_in_history
 from ..operators.scope import in_source_scope
 from ..operators.states import with_fate
 from ..session import at_least_parallel
@@ -162,9 +161,8 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     registry = AdapterRegistry(a for a in registry.values() if a.name in used)
 
     # Collect: parse once, then scope, window, baseline, de-duplicate, merge.
-    landed = landed_payloads(payloads, sources)
-    parsed = store.stage(
-        parse_payloads(at_least_parallel(landed, "seq"), registry).drop("body"), "parsed")
+    landed = landed_payloads(at_least_parallel(payloads, "seq"), sources)
+    parsed = store.stage(parse_payloads(landed, registry).drop("body"), "parsed")
     stages, cursors = store.read("lifecycle_stage"), store.read("cursors")
     scoped, observed = collected_items(parsed, landed, stages, registry, now)
     scoped = store.stage(scoped, "collected")
@@ -182,7 +180,7 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     else:
         raise ValueError(f"Unknown dedup policy {dedup_policy!r}")
     existing = store.items()
-    added = store.stage(new_items(unique, existing, ["pos", "seq"])
+    added = store.stage(not_in_history(unique, existing, ["id"])
                         .select(*classify.ITEM_COLUMNS), "added")
 
     # Sync, clean up and check on one join of items with states.

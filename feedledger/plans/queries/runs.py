@@ -52,14 +52,9 @@ def failure_list(spark, folder):
     return failure_lines(user_outcomes(spark, folder))
 
 
-@query(f"""WITH {OUTCOMES}
-  SELECT source_id, CAST(row_number() OVER (ORDER BY outcome <> 'planned', pos) AS BIGINT) AS place FROM outcomes""")
+@query(f"""WITH {OUTCOMES} SELECT source_id, outcome FROM outcomes ORDER BY outcome <> 'planned', pos""")
 def outcome_order(spark, folder):
-    """Place of each source; one row per source, so one small sort."""
-    from pyspark.sql import Window
-    ordered = ordered_outcomes(user_outcomes(spark, folder))
-    rank = F.row_number().over(Window.orderBy(F.when(F.col("outcome") == "planned", 0).otherwise(1), "pos"))
-    return ordered.select("source_id", rank.cast("long").alias("place"))
+    return ordered_outcomes(user_outcomes(spark, folder)).select("source_id", "outcome")
 
 
 @query(f"""WITH {OUTCOMES}

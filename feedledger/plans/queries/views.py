@@ -9,7 +9,6 @@ from .inputs import (
 )
 from .runs import OUTCOMES, user_outcomes
 from ...operators.outcomes import run_coverage
-from ...schemas import REFERENCE_SOURCE
 from .. import views
 
 _SHOWN = f"""
@@ -68,13 +67,25 @@ def coverage_by_region(spark, folder):
 
 
 @query(f"""
-  SELECT category, pos, id, status FROM ({SUPPLIER_MONITORED})""")
-def sources_view(spark, folder):
-    """The nested view, flattened again for comparison."""
-    none = spark.createDataFrame([], REFERENCE_SOURCE)
-    nested = views.sources_by_category(region_categories(spark, folder), _monitored(spark, folder), none)
-    return nested.select("category", F.explode("monitored").alias("m")).select(
-        "category", F.col("m.pos").cast("long").alias("pos"), "m.id", "m.status")
+  WITH m AS ({SUPPLIER_MONITORED}),
+  c AS (SELECT r_regionkey AS ord, r_name AS category, count(m.id) AS total,
+               count(m.id) FILTER (WHERE status = 'failing') AS failing
+        FROM region LEFT JOIN m ON m.category = r_name GROUP BY ALL)
+  SELECT c.category, c.failing, c.total, m.id, m.status, CASE WHEN m.id IS NOT NULL THEN TRUE END AS monitored
+  FROM c LEFT JOIN m ON m.category = c.category
+  UNION ALL SELECT c.category, c.failing, c.total, n_name, NULL, FALSE
+  FROM c JOIN region ON r_name = c.category JOIN nation ON n_regionkey = r_regionkey
+  """)
+def sources_listing(spark, folder):
+    """Suppliers as monitored and nations as reference-only sources."""
+    nations, regions = table(spark, folder, "nation"), table(spark, folder, "region")
+    references = nations.join(regions, nations["n_regionkey"] == regions["r_regionkey"]).select(
+        F.col("r_name").alias("category"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("id"),
+        F.col("n_name").alias("name"), F.lit("https://example.com/").alias("url"),
+        F.lit(None).cast("string").alias("note"))
+    rows = views.sources_listing(region_categories(spark, folder), _monitored(spark, folder), references)
+    return rows.select("category", F.col("coverage.failing").alias("failing"),
+                       F.col("coverage.total").alias("total"), "id", "status", "monitored")
 
 
 def _runs(spark, folder):

@@ -5,10 +5,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.dates import is_stale
 from ..functions.text import plural, rejection_text
 from ..operators.checks import data_issues
+from ..operators.joins import fits_broadcast
 from ..schemas import PAGE_SIZE, STATE_FILTERS
 from ..sources.tables import latest_run
 
-#: Rows a page may lie behind before the range it falls in is looked up first.
+#: Rows a page may lie behind before its place is looked up from counts.
 DEEP_OFFSET = 100_000
 
 
@@ -23,59 +24,89 @@ def _in_category(items: DataFrame, category: str | None) -> DataFrame:
     return items if category is None else items.where(F.col("category") == category)
 
 
-def _filtered(items: DataFrame, states: DataFrame, category: str | None, state: str) -> DataFrame:
+def _newest_first() -> list[Column]:
+    return [F.desc("date"), F.asc("seq"), F.asc("id")]
+
+
+def _candidates(items: DataFrame, states: DataFrame, category: str | None, state: str) -> DataFrame:
+    """Sort keys of the items a view shows; states are joined only if they filter."""
     if state not in STATE_FILTERS:
         raise ValueError(f"Unknown state filter {state!r}")
-    shown = with_state(_in_category(items, category), states)
-    return shown if state == "all" else shown.where(F.col("state") == state)
+    keys = _in_category(items, category).select("id", "date", "seq")
+    return keys if state == "all" else with_state(keys, states).where(F.col("state") == state)
 
 
-def _newest_first() -> list[Column]:
-    return [F.desc("date"), F.asc("seq"), F.asc("id")]
+def _page(items: DataFrame, states: DataFrame, keys: DataFrame) -> DataFrame:
+    """Whole rows and states for the few keys of a page.
+
+    The keys go to the tables, so neither table is shuffled for a page.
+    """
+    ids = F.broadcast(keys.select("id"))
+    shown = states.join(ids, "id", "left_semi")
+    return with_state(items.join(ids, "id", "left_semi"), shown).orderBy(*_newest_first())
 
 
 def item_page(items: DataFrame, states: DataFrame, category: str | None = None,
               state: str = "all", page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
     """One page of items, newest first, ties in table order; past the end it is empty.
 
-    Near pages are a top-k. A far page first finds the dates it falls in from a count per
-    date, then sorts only those, so the sort does not grow with the page number.
+    Near pages are a top-k over the sort keys. A far page first locates its first row from
+    counts, so the top-k does not grow with the page number.
     """
     if page < 1:
         raise ValueError("page starts at 1")
-    rows = _filtered(items, states, category, state)
+    keys = _candidates(items, states, category, state)
     skip = (page - 1) * page_size
     if skip > DEEP_OFFSET:
-        rows, skip = _near_offset(rows, skip, page_size)
-    return rows.orderBy(*_newest_first()).offset(skip).limit(page_size)
-
-
-def _near_offset(rows: DataFrame, skip: int, page_size: int) -> tuple[DataFrame, int]:
-    """Rows of the dates a far page falls in, and how many of them to skip."""
-    first, last, before = None, None, 0
-    for day in rows.groupBy("date").count().orderBy(F.desc("date")).toLocalIterator():
-        if before + day["count"] <= skip and first is None:
-            before += day["count"]
-            continue
-        first = first or (day["date"], before)
-        last = day["date"]
-        before += day["count"]
-        if before >= skip + page_size:
+        keys, skip = _from_near(keys, skip)
+    keys = keys.orderBy(*_newest_first()).offset(skip).limit(page_size)
+    return _page(_in_category(items, category), states, keys)
+
+
+def _from_near(keys: DataFrame, skip: int, near: int = DEEP_OFFSET, parts: int = 1000
+               ) -> tuple[DataFrame, int]:
+    """Keys from a row shortly before a far offset on, and how many of them to skip.
+
+    First the date that holds the offset is found from a count per date. If that date is
+    still too large, ranges of ``seq`` within it are counted the same way.
+    """
+    def locate(buckets: DataFrame, order: Column, skip: int):
+        for row in buckets.orderBy(order).toLocalIterator():
+            if row["n"] > skip:
+                return row["bucket"], skip
+            skip -= row["n"]
+        return None, 0
+
+    day, skip = locate(keys.groupBy(F.col("date").alias("bucket")).agg(F.count("*").alias("n")),
+                       F.desc("bucket"), skip)
+    if day is None:
+        return keys.limit(0), 0
+    in_day = F.col("date") == F.lit(day)
+    low = None
+    inside = keys.where(in_day)
+    while skip > near:
+        span = inside.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
+        if span["low"] == span["high"]:
             break
-    if first is None:
-        return rows.limit(0), 0
-    return rows.where(F.col("date").between(last, first[0])), skip - first[1]
+        width = -(-(span["high"] - span["low"] + 1) // parts)
+        bucket = F.floor((F.col("seq") - span["low"]) / width).cast("long").alias("bucket")
+        found, skip = locate(inside.groupBy(bucket).agg(F.count("*").alias("n")), F.asc("bucket"), skip)
+        low = span["low"] + found * width
+        inside = inside.where(F.col("seq").between(low, low + width - 1))
+    start = in_day if low is None else in_day & (F.col("seq") >= low)
+    return keys.where((F.col("date") < F.lit(day)) | start), skip
 
 
 def items_after(items: DataFrame, states: DataFrame, date, seq: int, item_id: str,
                 category: str | None = None, state: str = "all",
                 page_size: int = PAGE_SIZE) -> DataFrame:
     """The page that follows a given row; its cost does not depend on how far in it is."""
-    rows = _filtered(items, states, category, state)
+    keys = _candidates(items, states, category, state)
     at_date = F.col("date") == F.lit(date).cast("date")
     behind = (F.col("date") < F.lit(date).cast("date")) | (at_date & (
         (F.col("seq") > seq) | ((F.col("seq") == seq) & (F.col("id") > item_id))))
-    return rows.where(behind).orderBy(*_newest_first()).limit(page_size)
+    keys = keys.where(behind).orderBy(*_newest_first()).limit(page_size)
+    return _page(_in_category(items, category), states, keys)
 
 
 def item_counts(items: DataFrame, states: DataFrame, category: str | None = None,
@@ -113,28 +144,45 @@ def category_coverage(categories: DataFrame, monitored: DataFrame) -> DataFrame:
     return filled.orderBy("ord")
 
 
-def sources_by_category(categories: DataFrame, monitored: DataFrame,
-                        references: DataFrame) -> DataFrame:
-    """The sources view: coverage and both source lists of each category.
+def sources_listing(categories: DataFrame, monitored: DataFrame, references: DataFrame
+                    ) -> DataFrame:
+    """The sources view, one row per source with the coverage of its category.
 
-    The lists hold registry rows, which people write by hand, and never item data.
+    Categories in display order, monitored sources before reference-only ones, each in
+    registry order. A category without sources has one row without a source.
+    """
+    null = F.lit(None)
+    shown = ("pos", "id", "name", "url", "kind", "status", "last_success_at", "last_attempt_at",
+             "failure_reason", "tags")
+    watched = monitored.select("category", *shown, null.cast("string").alias("note"),
+                               F.lit(True).alias("monitored"))
+    listed = references.select("category", "pos", "id", "name", "url", "note",
+                               F.lit(False).alias("monitored"))
+    rows = watched.unionByName(listed, allowMissingColumns=True)
+    coverage = F.struct("active", "failing", "planned", "total").alias("coverage")
+    return (category_coverage(categories, monitored).select("ord", "category", "title", coverage)
+            .join(rows, "category", "left").orderBy("ord", F.desc("monitored"), "pos"))
+
+
+def sources_by_category(categories: DataFrame, monitored: DataFrame, references: DataFrame,
+                        max_sources: int = 10_000) -> DataFrame:
+    """The nested sources view for a registry people can read, one row per category.
+
+    Nesting puts a category into one cell, so a larger registry is refused here;
+    :func:`sources_listing` shows the same for any number of sources.
     """
-    seen = F.struct("pos", "id", "name", "url", "kind", "status", "last_success_at",
-                    "last_attempt_at", "failure_reason", "tags")
-    watched = monitored.groupBy("category").agg(
-        F.array_sort(F.collect_list(seen)).alias("monitored"))
-    listed = references.groupBy("category").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "id", "name", "url", "note"))).alias("reference_only"))
-
-    def or_empty(name: str) -> Column:
-        return F.coalesce(F.col(name), F.array()).alias(name)
-
-    return (category_coverage(categories, monitored)
-            .join(watched, "category", "left").join(listed, "category", "left")
-            .select("ord", "category", "title", F.struct(
-                "active", "failing", "planned", "total").alias("coverage"),
-                or_empty("monitored"), or_empty("reference_only"))
-            .orderBy("ord"))
+    if not (fits_broadcast(monitored, max_sources) and fits_broadcast(references, max_sources)):
+        raise ValueError(f"More than {max_sources} sources: use sources_listing")
+    rows = sources_listing(categories, monitored, references)
+    columns = [c for c in rows.columns if c not in ("ord", "category", "title", "coverage", "monitored")]
+    one = F.struct(*columns)
+
+    def nested(wanted: bool) -> Column:
+        return F.array_sort(F.collect_list(F.when(
+            F.col("id").isNotNull() & (F.col("monitored") == wanted), one)))
+
+    return rows.groupBy("ord", "category", "title", "coverage").agg(
+        nested(True).alias("monitored"), nested(False).alias("reference_only")).orderBy("ord")
 
 
 def run_status(runs: DataFrame, now) -> DataFrame:

@@ -32,6 +32,7 @@ def at_least_parallel(rows: DataFrame, key: str) -> DataFrame:
 
     Parsing costs far more than moving a few small files. A scan that already has a split
     per core, as any large table has, is left alone, so big inputs are never shuffled.
+    Meant for plain scans: asking a plan with shuffles for its partitions would run them.
     """
     wanted = rows.sparkSession.sparkContext.defaultParallelism
     if rows.rdd.getNumPartitions() >= wanted:
