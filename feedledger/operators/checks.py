@@ -1,7 +1,8 @@
 """Row expectations, invariants over tables, and change guards.
 
 Counts are exact and come from aggregates. Messages are rows of an issues table, so any
-number of them can be written; only a view for people takes the first few.
+number of them can be written; only a view for people takes the first few. ``times`` says
+how many issues a row stands for: an id repeated a billion times is one row.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -67,19 +68,21 @@ def violations(rows: DataFrame, expectations: dict[str, Column]) -> DataFrame:
     return counted.unpivot([], list(expectations), "field", "violations")
 
 
-def _issues(rows: DataFrame, check: str, message: Column) -> DataFrame:
-    return rows.select(F.lit(check).alias("check"), message.alias("message"))
+def issues(rows: DataFrame, check: str, message: Column, times: Column | None = None) -> DataFrame:
+    """Issue rows ``(check, message, times)``."""
+    times = F.lit(1) if times is None else times
+    return rows.select(F.lit(check).alias("check"), message.alias("message"),
+                       times.cast("long").alias("times"))
 
 
 def item_issues(items: DataFrame) -> DataFrame:
-    """Ids of the wrong form, and one issue for each repeat of an id."""
+    """Ids of the wrong form, and an issue for each repeat of an id."""
     malformed = items.where(~F.coalesce(F.col("id").rlike(ID_FORMAT), F.lit(False)))
-    repeats = duplicate_keys(items, ["id"]).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))))
-    return _issues(malformed, "news-id-format", F.format_string(
+    repeats = duplicate_keys(items, ["id"])
+    return issues(malformed, "news-id-format", F.format_string(
         'Item "%s" (source "%s") does not look like a deterministic id', "id", "source_id"),
-    ).unionByName(_issues(repeats, "news-duplicate-id", F.format_string(
-        'Duplicate active item id "%s"', "id")))
+    ).unionByName(issues(repeats, "news-duplicate-id", F.format_string(
+        'Duplicate active item id "%s"', "id"), F.col("n") - 1))
 
 
 def missing_states(items: DataFrame, states: DataFrame) -> DataFrame:
@@ -93,9 +96,9 @@ def orphan_states(items: DataFrame, states: DataFrame, now) -> DataFrame:
 
 
 def state_issues(items: DataFrame, states: DataFrame, now) -> DataFrame:
-    missing = _issues(missing_states(items, states), "state-missing-for-item", F.format_string(
+    missing = issues(missing_states(items, states), "state-missing-for-item", F.format_string(
         'Active item "%s" has no entry in news-states.json', "id"))
-    orphan = _issues(orphan_states(items, states, now), "state-orphaned-entry", F.format_string(
+    orphan = issues(orphan_states(items, states, now), "state-orphaned-entry", F.format_string(
         'State entry "%s" has no matching active item and is not a live ignore tombstone', "id"))
     return missing.unionByName(orphan)
 
@@ -168,17 +171,19 @@ def cursor_guard(previous: DataFrame, updated: DataFrame) -> DataFrame:
         'Source "%s" cursor regressed from %s to %s', "source_id", iso("from_ts"), iso("to_ts")))
 
 
-def validation_guard(issues: DataFrame, shown: int = 100) -> DataFrame:
+def validation_guard(found: DataFrame, shown: int = 100) -> DataFrame:
     """Rejects if there is any issue; exact count, the first ``shown`` messages."""
     line = F.concat(F.lit("["), "check", F.lit("] "), "message")
-    null = F.lit(None)
-    total = issues.agg(F.count("*").alias("n")).select("n", null.cast("string").alias("line"))
-    first = (issues.select(line.alias("line")).orderBy("line").limit(shown)
-             .select(null.cast("long").alias("n"), "line"))
-    one = total.unionByName(first).agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list("line")).alias("lines")).where("n > 0")
+    lines = found.select(F.struct(line.alias("line"), "times").alias("l"))
+    total = lines.agg(F.sum("l.times").alias("n"))
+    first = lines.orderBy("l.line").limit(shown)
+    one = total.unionByName(first, allowMissingColumns=True).agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list("l")).alias("ls")).where("n > 0")
+    repeated = F.flatten(F.transform("ls", lambda x: F.array_repeat(
+        x["line"], F.least(x["times"], F.lit(shown)).cast("int"))))
     more = F.when(F.col("n") > shown, F.format_string("\n(%d issues in all)", "n")).otherwise("")
-    return _guard(one, "validation-failed", F.concat(F.array_join("lines", "\n"), more))
+    return _guard(one, "validation-failed", F.concat(
+        F.array_join(F.slice(repeated, F.lit(1), F.lit(shown)), "\n"), more))
 
 
 def first_rejection(guards: DataFrame) -> DataFrame:

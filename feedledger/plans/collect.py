@@ -60,9 +60,9 @@ def collected_items(parsed: DataFrame, landed: DataFrame, stages: DataFrame,
     if snapshots:
         newest = parsed.where(F.col("adapter").isin(*snapshots) & F.col("error").isNull()) \
             .groupBy("source_id").agg(F.max("seq").alias("_newest"))
-        snapshot = (entries.where(F.col("adapter").isin(*snapshots))
-                    .join(newest, "source_id")
-                    .where(F.shiftright("seq", classify.POSITION_BITS) == F.col("_newest"))
+        snapshot = lookup_join(
+            entries.where(F.col("adapter").isin(*snapshots)), newest, ["source_id"], "inner", ["seq"])
+        snapshot = (snapshot.where(F.shiftright("seq", classify.POSITION_BITS) == F.col("_newest"))
                     .select("source_id", "slug", F.col("entry.stage").alias("stage"),
                             F.col("entry.heading").alias("name"), F.col("entry.link").alias("url"),
                             "category", "source_tags", "seq", "pos", "filters"))
@@ -106,20 +106,16 @@ def item_ledger(existing: DataFrame, added: DataFrame, states: DataFrame, now) -
 
 def ledger_issues(ledger: DataFrame) -> DataFrame:
     """The data check, read off the ledger: id format, repeats, orphaned states."""
-    def issue(rows: DataFrame, check: str, message) -> DataFrame:
-        return rows.select(F.lit(check).alias("check"), message.alias("message"))
-
     stays = ledger.where("has_item AND NOT leaves")
+    listed = F.col("copies") + F.col("is_added").cast("int")
     malformed = stays.where(~F.col("id").rlike(checks.ID_FORMAT))
-    repeats = (stays.withColumn("_n", F.col("copies") + F.when(F.col("is_added"), 1).otherwise(0))
-               .where("_n > 1").withColumn("_copy", F.explode(F.sequence(F.lit(2).cast("long"), "_n"))))
     orphans = ledger.where("NOT has_item AND fate = 'kept'")
     return (
-        issue(malformed, "news-id-format", F.format_string(
-            'Item "%s" (source "%s") does not look like a deterministic id', "id", "source_id"))
-        .unionByName(issue(repeats, "news-duplicate-id", F.format_string(
-            'Duplicate active item id "%s"', "id")))
-        .unionByName(issue(orphans, "state-orphaned-entry", F.format_string(
+        checks.issues(malformed, "news-id-format", F.format_string(
+            'Item "%s" (source "%s") does not look like a deterministic id', "id", "source_id"), listed)
+        .unionByName(checks.issues(stays.where(listed > 1), "news-duplicate-id", F.format_string(
+            'Duplicate active item id "%s"', "id"), listed - 1))
+        .unionByName(checks.issues(orphans, "state-orphaned-entry", F.format_string(
             'State entry "%s" has no matching active item and is not a live ignore tombstone',
             "id"))))
 
@@ -138,9 +134,9 @@ def ledger_changes(ledger: DataFrame) -> DataFrame:
 
 def shape_issues(added: DataFrame) -> DataFrame:
     """Fields of added rows that break the item schema, with how many rows do."""
-    return checks.violations(added, checks.item_expectations()).where("violations > 0").select(
-        F.lit("item-shape").alias("check"),
-        F.format_string('%d added item(s) have an invalid "%s"', "violations", "field").alias("message"))
+    broken = checks.violations(added, checks.item_expectations()).where("violations > 0")
+    return checks.issues(broken, "item-shape", F.format_string(
+        '%d added item(s) have an invalid "%s"', "violations", "field"))
 
 
 def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, references: DataFrame,

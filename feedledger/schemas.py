@@ -57,7 +57,7 @@ PAYLOAD = _struct(
     ("source_id", _S), ("url", _S), ("http_status", _I), ("fetched_at", _T), ("body", _S),
     ("seq", _L),
 )
-ISSUE = _struct(("check", _S), ("message", _S))
+ISSUE = _struct(("check", _S), ("message", _S), ("times", _L))
 OUTCOME = _struct(
     ("source_id", _S), ("pos", _I), ("outcome", _S), ("items", _L), ("reason", _S),
     ("attempted_at", _T),

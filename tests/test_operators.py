@@ -143,7 +143,7 @@ def test_cleanup_order_and_orphans(spark):
 def test_issues(spark):
     rows = items(spark, {"key": "a"}, {"key": "a"}, {"key": "a"}, {"id": "short"})
     found = checks.data_issues(rows, states(spark, ("x", "unread", NOW), ("t", "ignored", NOW, None, NOW)), NOW)
-    got = sorted((r["check"], r["message"].split('"')[1]) for r in found.collect())
+    got = sorted((r["check"], r["message"].split('"')[1]) for r in found.collect() for _ in range(r["times"]))
     key = rows.first()["id"]
     assert got == sorted([("news-id-format", "short"), ("news-duplicate-id", key), ("news-duplicate-id", key),
                           ("state-missing-for-item", "short"), *[("state-missing-for-item", key)] * 3,
@@ -163,12 +163,15 @@ def test_append_only_counts_the_order_of_tags(spark):
 
 def test_guards_in_order_of_precedence(spark):
     rows = items(spark, *({"key": str(i)} for i in range(3)))
-    issues = spark.createDataFrame([("c", "m2"), ("c", "m1")], "check STRING, message STRING")
+    issues = spark.createDataFrame([("c", "m2", 1), ("c", "m1", 1)], "check STRING, message STRING, times BIGINT")
     both = checks.validation_guard(issues).unionByName(checks.volume_guard(rows, 2))
     assert checks.first_rejection(both).first()["reason"] == "volume-guard"
     assert checks.volume_guard(rows, 3).isEmpty()
     assert checks.validation_guard(issues).first()["detail"] == "[c] m1\n[c] m2"
     assert "(2 issues in all)" in checks.validation_guard(issues, shown=1).first()["detail"]
+    many = issues.withColumn("times", F.lit(2_000_000_000_000))
+    detail = checks.validation_guard(many, shown=3).first()["detail"]
+    assert detail == "[c] m1\n[c] m1\n[c] m1\n(4000000000000 issues in all)"
     assert checks.first_rejection(checks.validation_guard(issues.limit(0))).isEmpty()
 
 
