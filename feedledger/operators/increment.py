@@ -27,19 +27,31 @@ def source_bounds(sources: DataFrame, cursors: DataFrame) -> DataFrame:
             .join(cursors.select("source_id", "last_run_at"), "source_id", "left"))
 
 
+def fresh_undated(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Undated items nobody has decided on yet, one per source and id.
+
+    Repeats of one undated item collapse before the join, so a page listed by every
+    payload is no hot key.
+    """
+    undated = first_seen(items.where(F.col("date_basis") == "discovered"),
+                         ["source_id", "id"], ["pos", "seq"])
+    return not_in_history(undated, known, ["source_id", "id"])
+
+
+def importable(items: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Dated items, and undated ones that are fresh and not part of a first sync."""
+    return (items.where(F.col("date_basis") != "discovered")
+            .unionByName(fresh.where(~F.col("is_initial"))))
+
+
 def split_undated(items: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Undated rule: ``(items to import, newly known (source_id, id))``.
 
     Dated items pass. An undated item is decided once: recorded and withheld on the
-    source's first sync, imported and recorded afterwards. Repeats of one undated item
-    collapse before the join, so a page listed by every payload is no hot key.
+    source's first sync, imported and recorded afterwards.
     """
-    undated = first_seen(items.where(F.col("date_basis") == "discovered"),
-                         ["source_id", "id"], ["pos", "seq"])
-    fresh = not_in_history(undated, known, ["source_id", "id"])
-    imported = (items.where(F.col("date_basis") != "discovered")
-                .unionByName(fresh.where(~F.col("is_initial"))))
-    return imported, fresh.select("source_id", "id")
+    fresh = fresh_undated(items, known)
+    return importable(items, fresh), fresh.select("source_id", "id")
 
 
 def advance_cursors(previous: DataFrame, imported: DataFrame, succeeded: DataFrame,

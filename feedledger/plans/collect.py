@@ -7,8 +7,10 @@ every later step only filters or counts it. Status is always published, data onl
 guard rejects the run.
 """
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,6 +30,12 @@ from .store import Store
 from .summary import run_summary
 
 
+def together(*jobs: Callable[[], Any]) -> list:
+    """Run independent Spark jobs at the same time, so they share the cluster."""
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
 @dataclass(frozen=True)
 class RunResult:
     accepted: bool
@@ -132,11 +140,11 @@ def ledger_changes(ledger: DataFrame) -> DataFrame:
         "id", F.when(dropped, F.lit("deleted")).otherwise(F.lit("modified")).alias("change"))
 
 
-def shape_issues(added: DataFrame) -> DataFrame:
-    """Fields of added rows that break the item schema, with how many rows do."""
-    broken = checks.violations(added, checks.item_expectations()).where("violations > 0")
-    return checks.issues(broken, "item-shape", F.format_string(
-        '%d added item(s) have an invalid "%s"', "violations", "field"))
+def shape_issues(kind: str, rows: DataFrame, expectations: dict) -> DataFrame:
+    """Fields of rows about to be written that break their schema, with how many rows do."""
+    broken = checks.violations(rows, expectations).where("violations > 0")
+    return checks.issues(broken, f"{kind}-shape", F.format_string(
+        f'%d {kind} row(s) have an invalid "%s"', "violations", "field"))
 
 
 def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, references: DataFrame,
@@ -162,11 +170,17 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     stages, cursors = store.read("lifecycle_stage"), store.read("cursors")
     scoped, observed = collected_items(parsed, landed, stages, registry, now)
     scoped = store.stage(scoped, "collected")
-    outcomes = store.stage(out.source_outcomes(sources, parsed, scoped, now), "outcomes")
-    succeeded = outcomes.where("outcome = 'succeeded'").select("source_id")
     windowed = increment.within_window(scoped, increment.source_bounds(sources, cursors), now)
-    imported, newly_known = increment.split_undated(windowed, store.read("known_undated"))
-    imported = store.stage(imported, "imported")
+
+    def stage_outcomes() -> DataFrame:
+        return store.stage(out.source_outcomes(sources, parsed, scoped, now), "outcomes")
+
+    def stage_fresh() -> DataFrame:
+        return store.stage(increment.fresh_undated(windowed, store.read("known_undated")), "fresh")
+
+    outcomes, fresh = together(stage_outcomes, stage_fresh)
+    succeeded = outcomes.where("outcome = 'succeeded'").select("source_id")
+    imported = increment.importable(windowed, fresh)
     arrival = F.struct("pos", "seq")
     if dedup_policy == "most_specific":
         unique = most_specific(imported, F.col("id"), specificity(F.col("filters")),
@@ -176,13 +190,18 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     else:
         raise ValueError(f"Unknown dedup policy {dedup_policy!r}")
     existing = store.items()
-    added = store.stage(not_in_history(unique, existing, ["id"])
-                        .select(*classify.ITEM_COLUMNS), "added")
 
     # Sync, clean up and check on one join of items with states.
-    ledger = store.stage(item_ledger(existing, added, store.read("states"), now), "ledger")
-    new_cursors = store.stage(
-        increment.advance_cursors(cursors, imported, succeeded, now), "cursors")
+    def stage_added_and_ledger() -> tuple[DataFrame, DataFrame]:
+        added = store.stage(not_in_history(unique, existing, ["id"])
+                            .select(*classify.ITEM_COLUMNS), "added")
+        return added, store.stage(item_ledger(existing, added, store.read("states"), now), "ledger")
+
+    def stage_cursors() -> DataFrame:
+        return store.stage(increment.advance_cursors(cursors, imported, succeeded, now), "cursors")
+
+    (added, ledger), new_cursors = together(stage_added_and_ledger, stage_cursors)
+    states = ledger.where("fate IN ('ignored', 'kept', 'synced')")
     counts = ledger.agg(
         F.count_if("pruned").alias("pruned"),
         F.count_if(F.col("leaves") & (F.col("fate") == "ignored")).alias("scrubbed"),
@@ -190,15 +209,20 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     guards = (checks.append_only_guard(ledger_changes(ledger))
               .unionByName(checks.cursor_guard(cursors, new_cursors))
               .unionByName(checks.validation_guard(
-                  ledger_issues(ledger).unionByName(shape_issues(added)))))
+                  ledger_issues(ledger)
+                  .unionByName(shape_issues("item", added, checks.item_expectations()))
+                  .unionByName(shape_issues("state", states, checks.state_expectations()))
+                  .unionByName(shape_issues("cursor", new_cursors, checks.cursor_expectations())))))
     if not allow_large_change:
         guards = guards.unionByName(checks.volume_guard(added, volume_limit))
     rejection = checks.first_rejection(guards)
 
     # Status is published whatever the guards say.
-    status = store.write("source_status", out.source_status(
-        outcomes, store.read("source_status")), f"run_id={run_id}")
-    runs = store.write("runs", run_row(outcomes, added, rejection, run_id, now), f"run_id={run_id}")
+    name = f"run_id={run_id}"
+    status, runs = together(
+        lambda: store.write("source_status", out.source_status(
+            outcomes, store.read("source_status")), name),
+        lambda: store.write("runs", run_row(outcomes, added, rejection, run_id, now), name))
     row = store.spark.read.schema(S.RUN).parquet(f"{store.root}/{runs[0]}").first()
     rejected = row["rejected"].asDict() if row["rejected"] else None
     summary = run_summary(outcomes, counts, row)
@@ -207,22 +231,26 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
         store.publish(changed)
         return RunResult(False, summary, rejected)
 
-    name = f"run_id={run_id}"
     leaving = ledger.where("leaves").select("id")
     stay = added.join(leaving, "id", "left_anti")
     removed = ledger.where("leaves AND copies > 0").select("id", F.lit(run_id).cast("long").alias("run_id"))
-    states = ledger.where("fate IN ('ignored', 'kept', 'synced')")
-    def write(table: str, rows: DataFrame, grows: bool) -> tuple[str, list[str]]:
+
+    def write(table: str, rows: DataFrame, grows: bool = False) -> list[str]:
         before = store.directories.get(table, []) if grows else []
         written = store.write(table, rows, name)
-        return table, before + ([] if grows and store.is_empty(table, written) else written)
-
-    # The tables are independent of one another, so their jobs share the cluster.
-    with ThreadPoolExecutor(max_workers=6) as pool:
-        changed.update(pool.map(lambda job: write(*job), (
-            ("items", stay, True), ("removed", removed, True), ("states", states, False),
-            ("cursors", new_cursors, False), ("known_undated", newly_known, True),
-            ("lifecycle_stage", lifecycle.upsert_stages(stages, observed), False))))
+        return before + ([] if grows and store.is_empty(table, written) else written)
+
+    jobs = {
+        "items": lambda: write("items", stay, grows=True),
+        "removed": lambda: write("removed", removed, grows=True),
+        "states": lambda: write("states", states),
+        "cursors": lambda: write("cursors", new_cursors),
+        "known_undated": lambda: write("known_undated", fresh.select("source_id", "id"), grows=True),
+    }
+    if registry.named(snapshot=True):
+        jobs["lifecycle_stage"] = lambda: write(
+            "lifecycle_stage", lifecycle.upsert_stages(stages, observed))
+    changed.update(zip(jobs, together(*jobs.values())))
     store.publish(changed)
     return RunResult(True, summary)
 

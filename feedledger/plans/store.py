@@ -125,7 +125,7 @@ class Store:
         directories = {**self.directories, **changed}
         row = self.spark.createDataFrame([(self.version + 1, directories)], _VERSION)
         row.coalesce(1).write.mode("append").parquet(self._pointer())
-        self.refresh()
+        self.version, self.directories = self.version + 1, directories
 
     def compact(self) -> None:
         """Fold removals and segments of the item table into one segment."""

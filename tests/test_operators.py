@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from feedledger.operators import checks, dedup, increment, joins, lifecycle, merge
 from feedledger.operators.scope import in_source_scope
 from feedledger.operators.states import apply_transitions, clean_up, fold_transitions
-from feedledger.sources.registry import registry_issues
+from feedledger.sources.registry import read_reference_sources, read_sources, registry_issues
 from helpers import NOW, column_values, items, references, sources, states
 
 
@@ -206,3 +206,13 @@ def test_registry_issues(spark):
     listed = references(spark, (9, "twice", "n", "web-core", "https://h.org/", None, "web-core"))
     got = sorted(r["check"] for r in registry_issues(rows, listed).collect())
     assert got == ["source-category", "source-duplicate-id", "source-shape", "source-shape"]
+
+
+def test_registry_files(spark, tmp_path):
+    rows = sources(spark, {"id": "a", "tags": ["t"], "filters": '{"label":"Release"}'})
+    rows.write.json(str(tmp_path / "sources"))
+    read = read_sources(spark, str(tmp_path / "sources"))
+    assert read.select(rows.columns).collect() == rows.collect()
+    assert registry_issues(read, references(spark)).isEmpty()
+    references(spark, (0, "r", "R", "web-core", "https://h.org/", None, "web-core")).write.json(str(tmp_path / "refs"))
+    assert read_reference_sources(spark, str(tmp_path / "refs")).first()["id"] == "r"

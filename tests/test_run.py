@@ -230,3 +230,12 @@ def test_bootstrap_marks_never_run(store, spark):
     store.bootstrap()
     row = store.read("runs").first()
     assert str(row["last_run_at"]) == S.NEVER_RUN and row["coverage"]["total"] == 0
+
+
+def test_a_state_off_its_schema_rejects_the_run(store, spark):
+    known = items(spark, {"key": "https://example.com/a"})
+    the_id = known.first()["id"]
+    seed(store, items=known, states=states(spark, (the_id, "starred", NOW)))
+    result = run(store, spark, payloads(spark, ("s", rss(("B", "/b", DAY)))), sources(spark, {"id": "s"}))
+    assert result.rejection["reason"] == "validation-failed"
+    assert '[state-shape] 1 state row(s) have an invalid "state"' in result.rejection["detail"]
