@@ -97,7 +97,7 @@ def orphan_states(items: DataFrame, states: DataFrame, now) -> DataFrame:
 
 def state_issues(items: DataFrame, states: DataFrame, now) -> DataFrame:
     missing = issues(missing_states(items, states), "state-missing-for-item", F.format_string(
-        'Active item "%s" has no entry in news-states.json', "id"))
+        'Active item "%s" has no reading state', "id"))
     orphan = issues(orphan_states(items, states, now), "state-orphaned-entry", F.format_string(
         'State entry "%s" has no matching active item and is not a live ignore tombstone', "id"))
     return missing.unionByName(orphan)

@@ -106,7 +106,7 @@ def removed_ids(spark, folder):
            'Item "' || id || '" (source "' || source_id || '") does not look like a deterministic id' AS message
     FROM listed
     UNION ALL
-    SELECT 'state-missing-for-item', 1, 'Active item "' || id || '" has no entry in news-states.json'
+    SELECT 'state-missing-for-item', 1, 'Active item "' || id || '" has no reading state'
     FROM listed ANTI JOIN ({LABEL_STATES}) USING (id)
     UNION ALL
     SELECT 'news-duplicate-id', count(*) - 1, 'Duplicate active item id "' || id || '"'

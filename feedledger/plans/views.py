@@ -1,10 +1,9 @@
-"""Read views: item page, sources by category, run status, alert, state changes."""
+"""Read views: item page, sources by category, run status, alert."""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import is_stale
 from ..functions.text import plural, rejection_text
-from ..operators.checks import data_issues
 from ..operators.joins import fits_broadcast
 from ..schemas import PAGE_SIZE, STATE_FILTERS
 from ..sources.tables import latest_run
@@ -234,8 +233,3 @@ def alert(status: DataFrame, monitored: DataFrame, categories: DataFrame) -> Dat
         .unionByName(deep_link(monitored, categories, "planned").withColumn("_wanted", F.lit("planned")))
     return (base.withColumn("_wanted", wanted).join(links, "_wanted", "left")
             .select("severity", "title", "category", "source_id"))
-
-
-def may_publish(items: DataFrame, states: DataFrame, now) -> bool:
-    """Reading state may be published only if the data check finds nothing."""
-    return data_issues(items, states, now).isEmpty()

@@ -8,12 +8,12 @@ tombstones) are applied inside the batch: one global watermark cannot express th
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.states import apply_transitions
 from ..plans.collect import RunResult, collect_run
+from ..plans.reading import change_states
 from ..plans.store import Store
 from ..schemas import WINDOW_HOURS
 
@@ -58,16 +58,6 @@ def transition_stream(root: str, transitions: DataFrame, checkpoint: str) -> Str
     find an active item.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        store = Store(batch.sparkSession, root)
-        store.bootstrap()
-        name = f"run_id={store.version}"
-        items = store.stored_items()
-        kept, states = apply_transitions(items, store.read("states"), batch)
-        staged = store.stage(states, "states")
-        gone = (staged.where("state = 'ignored'").join(items.select("id"), "id", "left_semi")
-                .select("id", F.lit(store.version).cast("long").alias("run_id")))
-        changed = {"states": store.write("states", staged, name),
-                   "removed": store.directories.get("removed", []) + store.write("removed", gone, name)}
-        store.publish(changed)
+        change_states(Store(batch.sparkSession, root), batch)
 
     return _drain(transitions, each, checkpoint)

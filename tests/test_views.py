@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from feedledger.plans import summary, views
+from feedledger.plans import reading, summary, views
+from feedledger.plans.store import Store
 from feedledger.sources.tables import categories, read_items_json, read_states_json
 from helpers import NOW, items, references, sources, states
 
@@ -122,3 +123,24 @@ def test_json_files(spark, tmp_path):
     (tmp_path / "v2.json").write_text('{"schemaVersion":2,"items":{}}')
     with pytest.raises(Exception):
         read_states_json(spark, str(tmp_path / "v2.json")).collect()
+
+
+def test_setting_the_state_of_one_item(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.bootstrap()
+    rows = items(spark, {"key": "a"}, {"key": "b"})
+    a, b = sorted(r["id"] for r in rows.collect())
+    store.publish({"items": store.write("items", rows, "run_id=0"),
+                   "states": store.write("states", states(spark, (a, "unread", NOW), (b, "unread", NOW)), "run_id=0")})
+    assert not reading.set_state(store, "nobody", "read", NOW)
+    with pytest.raises(ValueError):
+        reading.set_state(store, a, "starred", NOW)
+    assert reading.set_state(store, a, "read", "2026-02-02 00:00:00")
+    assert reading.set_state(store, a, "unread", "2026-02-03 00:00:00")
+    got = {r["id"]: r for r in store.read("states").collect()}
+    assert got[a]["state"] == "unread" and str(got[a]["read_at"]) == "2026-02-02 00:00:00"
+    assert reading.set_state(store, b, "ignored", "2026-02-03 00:00:00")
+    assert [r["id"] for r in store.items().collect()] == [a]
+    assert not reading.set_state(store, b, "read", "2026-02-04 00:00:00")
+    assert reading.may_publish(store.items(), store.read("states"), "2026-02-04 00:00:00")
+    assert not reading.may_publish(store.items(), store.read("states"), "2026-02-05 00:00:00")
