@@ -2,36 +2,32 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import is_dead_tombstone, is_read_expired
-from .joins import salted_join
+from .joins import BROADCAST_ROWS, lookup_join
 
 
-def fold_transitions(transitions: DataFrame) -> DataFrame:
+def fold_transitions(transitions: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Net effect per id: ``id, state, updated_at, read_at, ignored_at``.
 
-    ``ignored`` ends an item, so whatever comes after the first one does not count.
-    Everything is a partial aggregate. Only ids that were ignored need a second look at
-    their ``read`` rows, and that join spreads one id over many tasks.
+    ``ignored`` ends an item, so whatever comes after the first one does not count. Where
+    each id ends is found from the ``ignored`` rows alone; the rows before it are then
+    folded by a partial aggregate. The join in between is a broadcast if few ids end and
+    otherwise spreads a hot id over many tasks.
     """
     at = F.struct("ts", "seq")
-    read = F.col("state") == "read"
-    per_id = transitions.groupBy("id").agg(
-        F.min(F.when(F.col("state") == "ignored", at)).alias("cut"),
-        F.max_by(F.struct("state", "ts"), at).alias("last"),
-        F.max(F.when(read, F.col("ts"))).alias("any_read"))
-    open_ids = per_id.where("cut IS NULL").select(
-        "id", "last.state", F.col("last.ts").alias("updated_at"),
-        F.col("any_read").alias("read_at"), F.lit(None).cast("timestamp").alias("ignored_at"))
-    cuts = per_id.where("cut IS NOT NULL").select("id", "cut")
-    reads = salted_join(transitions.where(read), cuts, ["id"], "inner", ["ts", "seq"])
-    last_read = (reads.where(at < F.col("cut")).groupBy("id")
-                 .agg(F.max("ts").alias("read_at")))
-    ended = cuts.join(last_read, "id", "left").select(
-        "id", F.lit("ignored").alias("state"), F.col("cut.ts").alias("updated_at"), "read_at",
-        F.col("cut.ts").alias("ignored_at"))
-    return open_ids.unionByName(ended)
+    cuts = (transitions.where("state = 'ignored'").groupBy("id").agg(F.min(at).alias("cut")))
+    counted = lookup_join(transitions, cuts, ["id"], "left", ["ts", "seq"], max_rows).where(
+        F.col("cut").isNull() | (at <= F.col("cut")))
+
+    def latest(state: str) -> Column:
+        return F.max(F.when(F.col("state") == state, F.col("ts")))
+
+    return counted.groupBy("id").agg(
+        F.max(F.struct("ts", "seq", "state")).alias("last"), latest("read").alias("read_at"),
+        latest("ignored").alias("ignored_at"),
+    ).select("id", "last.state", F.col("last.ts").alias("updated_at"), "read_at", "ignored_at")
 
 
 def apply_transitions(items: DataFrame, states: DataFrame, transitions: DataFrame

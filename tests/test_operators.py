@@ -110,9 +110,11 @@ def test_transition_fold_against_brute_force(spark):
         rows.append(("hot" if hot else f"u{rng.randrange(25)}",
                      rng.choices(["read", "unread", "ignored"], [5, 5, 0 if hot and seq < 400 else 1])[0],
                      f"2026-01-{rng.randrange(1, 29):02d} 00:00:00", seq))
-    got = {r["id"]: tuple(None if x is None else str(x) for x in (r["state"], r["updated_at"], r["read_at"], r["ignored_at"]))
-           for r in fold_transitions(transitions(spark, *rows)).collect()}
-    assert got == brute_fold(rows)
+    for max_rows in (100_000, 3):
+        folded = fold_transitions(transitions(spark, *rows), max_rows)
+        got = {r["id"]: tuple(None if x is None else str(x) for x in (r["state"], r["updated_at"], r["read_at"], r["ignored_at"]))
+               for r in folded.collect()}
+        assert got == brute_fold(rows)
 
 
 def test_transitions_touch_only_active_items(spark):

@@ -239,3 +239,24 @@ def test_a_state_off_its_schema_rejects_the_run(store, spark):
     result = run(store, spark, payloads(spark, ("s", rss(("B", "/b", DAY)))), sources(spark, {"id": "s"}))
     assert result.rejection["reason"] == "validation-failed"
     assert '[state-shape] 1 state row(s) have an invalid "state"' in result.rejection["detail"]
+
+
+def test_a_run_that_dies_before_publishing_leaves_nothing_behind(store, spark, monkeypatch):
+    landed = payloads(spark, ("s", rss(("A", "/a", DAY))))
+    rows = sources(spark, {"id": "s"})
+    store.bootstrap()
+    before = (store.version, store.directories)
+
+    def fail(self, changed):
+        raise RuntimeError("executor gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "publish", fail)
+        with pytest.raises(RuntimeError):
+            run(store, spark, landed, rows)
+    again = Store(spark, store.root)
+    assert (again.version, again.directories) == before and ids(again.items()) == []
+    assert run(again, spark, landed, rows).accepted
+    assert len(ids(again.items())) == 1
+    # Every item has a state, and what was added is all there is.
+    assert ids(again.items()) == ids(again.read("states"))
