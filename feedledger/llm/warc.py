@@ -156,7 +156,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, *, id_column: str =
     return staged(marked.select("page_id", "url", "html", "keeper").mapInArrow(bundled, INDEX), "warc-index")
 
 
-def read_warc(index: DataFrame, *, payloads: bool = True) -> DataFrame:
+def read_warc(index: DataFrame, *, payloads: bool = True, task_bytes: int = 32 << 20) -> DataFrame:
     """The records that an index names (RECORD), each frame read once per task.
 
     An index cut down to some page ids reads only their frames. Without ``payloads`` the
@@ -192,5 +192,7 @@ def read_warc(index: DataFrame, *, payloads: bool = True) -> DataFrame:
         if stack is not None:
             stack.__exit__(None, None, None)
 
-    return (index.repartition(F.col("bundle"), F.floor(F.col("frame") / 16))
+    # The index is small next to what it names, so the number of tasks goes by the latter.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    return (index.repartition(1 + size // task_bytes, F.col("bundle"), F.floor(F.col("frame") / 8))
             .sortWithinPartitions("bundle", "frame", "offset").mapInArrow(records, RECORD))
