@@ -76,7 +76,7 @@ def _nearest(q, q_id, q_far, x, x_id, x_norm, x_far, k: int, step: int = 256):
         seen += len(part)
         s = np.concatenate([best_s, _scores(q, x[part])])
         at = np.concatenate([best_i, x_id[part]])
-        first = np.lexsort((at, -s))[:k]
+        first = np.lexsort((at, ~s))[:k]  # ~s falls as s rises, without overflow
         best_s, best_i = s[first], at[first]
     return best_s, best_i, seen
 
@@ -129,6 +129,8 @@ def top_k(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str =
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         q_id, q, q_far = _unpacked(left)
         x_id, x, x_far = _unpacked(right)
+        if not len(q) or not len(x):
+            q_id, q = q_id[:0], q[:0]
         if q.shape[1] != x.shape[1]:
             q, x = _widened(q, x)
         norms = (x ** 2).sum(1)
@@ -156,9 +158,9 @@ def _unpacked(rows: pa.Table):
     ids = rows.column("id").to_numpy()
     x = [np.frombuffer(v) for v in rows.column("x").to_pylist()]
     far = [np.frombuffer(v) for v in rows.column("far").to_pylist()]
-    wide = max(map(len, x), default=0)
+    wide, pivots = max(map(len, x), default=0), len(far[0]) if far else 0
     return (ids, np.array([np.pad(v, (0, wide - len(v))) if len(v) < wide else v for v in x]).reshape(len(x), wide),
-            np.array(far).reshape(len(far), -1))
+            np.array(far).reshape(len(far), pivots))
 
 
 # Near-duplicates --------------------------------------------------------------------------

@@ -141,26 +141,21 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             add(" ")
             continue
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(token["attrs"])}
-        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         marked = _boilerplate(tag, attrs)
         if tag not in BLOCKS and not marked or tag in VOID:
             if tag == "hr":
                 flush()
             continue
-        flush()
-        if tag in BLOCKS and tag not in RAW:
-            close(("p",), ("article", "section", "div", "td", "li", "blockquote", "main", "body"))
-        if tag in _ENDS:
-            close(*(tuple(names.split()) for names in _ENDS[tag]))
-            dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        elif stack:
-            dropped, inside = stack[-1][1], stack[-1][2]
-        else:
-            dropped, inside = False, False
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        flush()
+        if tag in BLOCKS:
+            close(("p",), ("article", "section", "div", "td", "li", "blockquote", "main", "body"))
+        if tag in _ENDS:
+            close(*(tuple(names.split()) for names in _ENDS[tag]))
+        _, dropped, inside = stack[-1] if stack else ("", False, False)
         if tag == "header" and not inside:
             marked = True
         if not marked and (tag in ("article", "main") or attrs.get("role") == "main"

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .html_text import main_text
-from .shared import fresh, prepare_workers, staged
+from .shared import fresh, let_sql, prepare_workers, staged
 
 BUCKETS = 1 << 15
 UNKNOWN = "und"
@@ -94,8 +94,9 @@ def _agreement(said: Column, languages: tuple[str, ...], trust: float) -> Column
 
 def _shares(logs: str) -> str:
     """SQL: probabilities in proportion to the exponentials of an array."""
-    return (f"transform({logs}, x -> exp(x - array_max({logs})) / aggregate({logs}, 0D, "
-            f"(s, y) -> s + exp(y - array_max({logs}))))")
+    return let_sql("top", f"array_max({logs})", let_sql(
+        "es", f"transform({logs}, x -> exp(x - top))",
+        let_sql("sum_", "aggregate(es, 0D, (t, x) -> t + x)", "transform(es, x -> x / sum_)")))
 
 
 def identify(rows: DataFrame, model: np.ndarray, *, keep: tuple[str, ...], declared: Column, host: Column,
@@ -167,13 +168,13 @@ def identify(rows: DataFrame, model: np.ndarray, *, keep: tuple[str, ...], decla
 
     def smoothed(counts: str) -> str:
         """SQL: a level's shares without the row's own vote, smoothed towards ``p``, the level above."""
-        own = f"zip_with({counts}, {r}, (c, v) -> greatest(0D, c - v))"
-        return (f"zip_with({own}, {p}, (c, q) -> (c + {strength}D * q) / "
-                f"({strength}D + aggregate({own}, 0D, (t, x) -> t + x)))")
+        return let_sql("own", f"zip_with({counts}, {r}, (c, v) -> greatest(0D, c - v))", let_sql(
+            "all_", f"{strength}D + aggregate(own, 0D, (t, x) -> t + x)",
+            f"zip_with(own, {p}, (c, q) -> (c + {strength}D * q) / all_)"))
 
     joined = (voted.join(priors, F.col(at) == F.col(h), "left")
               .withColumn(ca, F.array(*[F.lit(float(c or 0)) for c in overall]))
-              .withColumn(p, F.expr(f"array_repeat({1 / count}D, {count})")))
+              .withColumn(p, F.transform(first, F.exp)))
     for level in (ca, cs, cd, ch):
         joined = joined.withColumn(p, F.expr(smoothed(level)))
     post = joined.withColumn(p, F.expr(f"zip_with({ll}, {p}, (a, b) -> a + ln(greatest(b, 1e-9D)))")).withColumn(

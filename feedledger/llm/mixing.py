@@ -200,8 +200,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: the rows of ``docs``, each as often as the mix takes it.
 
     ``docs``' columns and, named so that they clash with none, ``shard`` and ``shard_order``.
-    Writing with ``repartition("shard").sortWithinPartitions("shard_order")`` gives the
-    shuffled shards. Rows are not cut. Only documents taken at least once are joined.
+    ``shuffled`` brings the rows into that order. Rows are not cut. Only documents taken at
+    least once are joined.
     """
     shard, order, key, row, places, n = fresh(
         docs.columns, "shard", "shard_order", "mix_key", "mix_row", "mix_places", "mix_rows")
@@ -219,3 +219,17 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return once.select(*docs.columns, F.explode(places).alias(places)).select(
         *docs.columns, F.col(f"{places}.shard").alias(shard),
         F.xxhash64(F.lit(options.get("seed", 20)), F.col(places), F.col(f"`{ident}`")).alias(order))
+
+
+def shuffled(mixed: DataFrame, shards: int = 16) -> DataFrame:
+    """Rows of ``mix``, sorted by shard and, in it, by a random order.
+
+    A shard is dealt in stretches of its order, as many as fill the session's shuffle
+    partitions, so that no task holds a whole shard.
+    """
+    shard, order = mixed.columns[-2:]
+    (stretch,) = fresh(mixed.columns, "stretch")
+    parts = -(-int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+    # The order is a hash: its leading 31 bits are even over 0 to 2^31.
+    dealt = mixed.withColumn(stretch, F.expr(f"shiftrightunsigned(`{order}`, 33) * {parts} div {1 << 31}"))
+    return dealt.repartition(shard, stretch).sortWithinPartitions(shard, order).drop(stretch)

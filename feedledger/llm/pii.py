@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import fresh
+from .shared import fresh, let_sql
 
 
 @dataclass(frozen=True)
@@ -39,11 +39,6 @@ _MOD97 = """aggregate(sequence(1, length(d)), 0, (s, i) -> IF(
     (s * 100 + ascii(substr(d, i, 1)) - 55) % 97)) = 1"""
 
 
-def _with(name: str, value: str, body: str) -> str:
-    """SQL that computes ``value`` once and uses it as ``name`` in ``body``."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 #: Patterns of the four base kinds as asked for, and of the account number.
 KINDS = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -53,14 +48,14 @@ KINDS = (
          r"forall(split(m, '[.]'), p -> p RLIKE '^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$')",
          0.6, r"\bip\b|address|host|server|login|adresse"),
     Kind("card", r"[0-9](?:[ -]?+[0-9])++", "{t} RLIKE '[0-9]'",
-         _with("d", _DIGITS, f"IF(length(d) BETWEEN 13 AND 19, {_LUHN}, false)"),
+         let_sql("d", _DIGITS, f"IF(length(d) BETWEEN 13 AND 19, {_LUHN}, false)"),
          0.7, "card|credit|visa|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "contains({t}, '+')",
          "length(regexp_replace(m, '[^0-9]', '')) BETWEEN 9 AND 15",
          0.7, r"phone|call|tel\b|mobile|fax|telefon"),
     Kind("iban", r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
          "{t} RLIKE '[0-9]'",
-         _with("d", "concat(substr(replace(m, ' ', ''), 5), substr(replace(m, ' ', ''), 1, 4))",
+         let_sql("d", "concat(substr(replace(m, ' ', ''), 5), substr(replace(m, ' ', ''), 1, 4))",
                f"IF(length(d) BETWEEN 15 AND 34, {_MOD97}, false)"),
          0.7, "iban|account|bank|konto|compte|cuenta"),
 )
@@ -76,8 +71,8 @@ def _running(lengths: str) -> str:
     """
     step = f"""aggregate(c, named_struct('t', o, 'a', array_repeat(0L, 0)),
         (s, x) -> named_struct('t', s.t + x, 'a', array_append(s.a, s.t))).a"""
-    return _with("xs", lengths, _with(
-        "w", "greatest(1, int(ceil(sqrt(size(xs)))))", _with(
+    return let_sql("xs", lengths, let_sql(
+        "w", "greatest(1, int(ceil(sqrt(size(xs)))))", let_sql(
             "cs", "transform(sequence(0, int(ceil(size(xs) / w)) - 1), k -> slice(xs, k * w + 1, w))",
             f"""flatten(zip_with(cs, aggregate(cs, named_struct('t', 0L, 'a', array_repeat(0L, 0)),
                 (s, c) -> named_struct('t', s.t + aggregate(c, 0L, (p, x) -> p + x),
@@ -95,12 +90,12 @@ def _spans(text: str, kind: Kind) -> str:
             (m, g) -> named_struct('m', m.ms, 's', m.`1` + length(g.b), 'g', g)),
         r -> named_struct('kind', '{kind.name}', 'start', r.s, 'end', r.s + length(r.m),
             'score', {kind.score} + IF({near.replace('g.', 'r.g.')}, {kind.bonus}, 0D),
-            'ok', {_with('m', 'r.m', kind.check)}))"""
+            'ok', {let_sql('m', 'r.m', kind.check)}))"""
     none = "filter(array(named_struct('kind', '', 'start', 0L, 'end', 0L, 'score', 0D)), x -> false)"
-    body = f"""IF(size(ms) = 0, {none}, {_with('gs', f"split({text}, '{p}', -1)",
+    body = f"""IF(size(ms) = 0, {none}, {let_sql('gs', f"split({text}, '{p}', -1)",
         f"transform(filter({found}, r -> r.ok), r -> named_struct('kind', r.kind, 'start', r.start, 'end', r.end, 'score', double(r.score)))")})"""
     gate = kind.gate.format(t=text)
-    return _with("ms", f"IF({gate}, regexp_extract_all({text}, '{p}', 0), array_repeat('', 0))", body)
+    return let_sql("ms", f"IF({gate}, regexp_extract_all({text}, '{p}', 0), array_repeat('', 0))", body)
 
 
 def pii_spans(text: str, kinds: tuple[Kind, ...] = KINDS) -> Column:
@@ -126,7 +121,7 @@ def redacted(text: str, spans: str, size: int = 4096) -> Column:
             IF(s.start >= a.p, concat('[', upper(s.kind), ']'), '')))),
         a -> concat(a.t, substr(c, int(a.p - o) + 1)))"""
     return F.expr(f"""IF(size({spans}) = 0, {text}, array_join(transform(
-        regexp_extract_all({text}, '(?s).{{1,{size}}}', 0), (c, k) -> {_with('o', f'k * {size}L', chunk)}), ''))""")
+        regexp_extract_all({text}, '(?s).{{1,{size}}}', 0), (c, k) -> {let_sql('o', f'k * {size}L', chunk)}), ''))""")
 
 
 def find_pii(docs: DataFrame, *, text_column: str = "text", kinds: tuple[Kind, ...] = KINDS,

@@ -48,3 +48,8 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 def row_hash(rows: DataFrame) -> Column:
     """A hash of a whole row, to tell apart rows that share an id."""
     return F.xxhash64(*[rows[f"`{c}`"] for c in rows.columns])
+
+
+def let_sql(name: str, value: str, body: str) -> str:
+    """SQL that computes ``value`` once and uses it as ``name`` in ``body``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
