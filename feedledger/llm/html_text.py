@@ -225,6 +225,11 @@ def main_text(page: str | None) -> str:
     return "\n".join(b.text for b in found if b.label == "good")
 
 
+def any_text(page: str | None) -> str:
+    """The main text, or all blocks outside dropped elements where there is none."""
+    return main_text(page) or "\n".join(b.text for b in blocks(page or "")[0])
+
+
 def extract_text(pages: DataFrame, *, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url"),
                  text: str = "text") -> DataFrame:
     """The columns of ``keep`` and the main text (empty if there is none), row by row.

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .html_text import main_text
+from .html_text import any_text
 from .shared import fresh, let_sql, prepare_workers, staged
 
 BUCKETS = 1 << 15
@@ -107,7 +107,7 @@ def identify(rows: DataFrame, model: np.ndarray, *, keep: tuple[str, ...], decla
     """The columns of ``keep`` with ``language, confidence, accepted`` (lengthened on a clash).
 
     ``declared`` is the language that the markup names, ``host`` the host. The text is
-    ``text_column``, or the main text of ``html_column``. Trigram evidence is divided by
+    ``text_column``, or the main text of ``html_column`` (all its text where there is none). Trigram evidence is divided by
     ``temper``, as neighbouring trigrams share letters. An unknown language with evenly
     spread trigrams has the prior ``unknown``. A row's own vote is taken out of the counts
     its prior is made of. Rows whose text has no letters, whose best language is the unknown
@@ -126,7 +126,7 @@ def identify(rows: DataFrame, model: np.ndarray, *, keep: tuple[str, ...], decla
     fields = body.schema.fields[:-1]
     broad = spark.sparkContext.broadcast(model)
     even = -float(np.log(BUCKETS))
-    extract = main_text if html_column else (lambda t: t)
+    extract = any_text if html_column else (lambda t: t)
 
     def scored(batches):
         for b in batches:
