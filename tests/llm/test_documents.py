@@ -303,8 +303,8 @@ def test_language_evidence(spark, docs):
     model = language.fit(docs, sample_per_language=50)
     rows = [(i, f"https://a.example.de/{i}", f"<html><p>{t}</p></html>") for i, t in
             enumerate(["der die und nicht ein auch mit Straße über schön " * 9] * 8)]
-    rows += [(50, "https://a.example.de/x", "<html><p>la</p></html>"), (51, "https://other.example.org/x", "<html lang='fr'><p>la</p></html>"),
-             (52, "https://x.fr/", "<html><p>la</p></html>"), (53, None, None), (54, "no url", ""), (55, "https://a.example.de", "<html lang=en-GB></html>")]
+    rows += [(50, "https://a.example.de/x", "<html><p>la</p></html>"), (51, "https://other.example.org/x", "<html lang=fr><p>zz</p></html>"),
+             (52, "https://x.fr/", "<html><p>les</p></html>"), (53, None, None), (54, "no url", ""), (55, "https://a.example.de", "<html lang=en-GB></html>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r for r in language.identify_pages(pages, model).collect()}
     assert got[0].language == "de" and got[0].accepted
