@@ -42,6 +42,8 @@ class RunResult:
     summary: str
     rejection: dict | None = None
     aborted: bool = False
+    #: All faults of the registry that ended a run before it began.
+    issues: DataFrame | None = None
 
 
 def landed_payloads(payloads: DataFrame, sources: DataFrame) -> DataFrame:
@@ -152,12 +154,14 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
                 allow_large_change: bool = False, dedup_policy: str = "most_specific") -> RunResult:
     """Run once and publish. ``allow_large_change`` waives the volume guard only."""
     registry = registry or default_registry()
-    broken = registry_issues(sources, references).unionByName(
-        unsupported_adapters(sources, registry)).orderBy("check", "message").take(20)
+    issues = registry_issues(sources, references).unionByName(unsupported_adapters(sources, registry))
+    broken = issues.count()
     if broken:
-        lines = "\n".join(f"[{r['check']}] {r['message']}" for r in broken)
-        return RunResult(False, f"Config invalid, collection stopped before any fetch: {lines}",
-                         aborted=True)
+        first = issues.orderBy("check", "message").take(20)
+        lines = "\n".join(f"[{r['check']}] {r['message']}" for r in first)
+        more = f"\n({broken} issues in all)" if broken > len(first) else ""
+        return RunResult(False, f"Config invalid, collection stopped before any fetch: {lines}{more}",
+                         aborted=True, issues=issues)
     store.bootstrap()
     run_id = store.version
     used = {r["adapter"] for r in sources.where("status <> 'planned'").select("adapter")

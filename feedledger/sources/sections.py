@@ -46,10 +46,12 @@ def stage_entries(text: Column, link_prefix: str = DEFAULT_PREFIX) -> Column:
 
 
 def document_text(body: Column) -> Column:
-    """The document itself, or the base64 ``content`` of a JSON envelope around it."""
+    """The document itself, or the base64 ``content`` of a JSON envelope around it; NULL where
+    that is no base64 or no UTF-8."""
     content = F.get_json_object(body, "$.content")
     return F.when(body.rlike(r"^\s*\{") & content.isNotNull(),
-                  F.decode(F.unbase64(F.regexp_replace(content, r"\s", "")), "UTF-8")
+                  F.try_validate_utf8(F.try_to_binary(
+                      F.regexp_replace(content, r"\s", ""), F.lit("base64")).cast("string"))
                   ).otherwise(body)
 
 

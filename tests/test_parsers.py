@@ -2,6 +2,7 @@
 
 import base64
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -148,3 +149,18 @@ def test_a_custom_adapter_is_one_more_branch(spark):
         F.struct(F.lit(False).alias("include_prerelease")).alias("release_policy"))
     row = parse_payloads(landed, AdapterRegistry([Adapter("lines", "announcement", lines)])).first()
     assert [e["link"] for e in row["entries"]] == ["https://example.com/a", "https://example.com/b"]
+
+
+def test_a_bad_document_fails_alone(spark):
+    for content in ("abcde", base64.b64encode(b"\xff\xfe## Stage 1").decode()):
+        lifecycle = next(a.name for a in BUILT_IN if a.name.endswith("lifecycle"))
+        entries, error = parse(spark, lifecycle, json.dumps({"content": content}))
+        assert not entries and error
+
+
+def test_long_prologs_and_pages_are_quick(spark):
+    start = time.perf_counter()
+    for prolog in (" " * 100_000, "<!-- x -->" * 20_000, "<?xml version='1.0'?>" + "\n" * 50_000):
+        body = prolog + "<rss></rss>"
+        assert column_values(spark, [body], feed_format) == ["rss"]
+    assert time.perf_counter() - start < 20
