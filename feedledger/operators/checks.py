@@ -127,13 +127,16 @@ def volume_guard(added: DataFrame, limit: int = S.VOLUME_LIMIT) -> DataFrame:
         F.format_string(f"%d items added, exceeds threshold of {limit}", "n"))
 
 
+#: Fields of an item that are append-only.
+COMPARED = ("source_id", "heading", "label", "link", "date", "date_basis", "category", "tags")
+
+
 def append_only_diff(previous: DataFrame, current: DataFrame, removed: DataFrame) -> DataFrame:
     """``(id, change)`` of items deleted outside cleanup or modified.
 
     A null-safe comparison of whole rows; the order of tags counts.
     """
-    compared = [c for c in ("source_id", "heading", "label", "link", "date", "date_basis",
-                            "category", "tags") if c in previous.columns]
+    compared = [c for c in COMPARED if c in previous.columns]
     old = previous.select("id", F.struct(*compared).alias("_old"))
     new = current.select("id", F.struct(*compared).alias("_new"))
     changed = (old.join(new, "id", "left")
@@ -144,6 +147,11 @@ def append_only_diff(previous: DataFrame, current: DataFrame, removed: DataFrame
     return changed.join(legitimate, ["id", "change"], "left_anti")
 
 
+def item_digest(items: DataFrame) -> Column:
+    """One number for the fields of an item that may never change; the order of tags counts."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in COMPARED if c in items.columns])))
+
+
 def append_only_guard(changes: DataFrame) -> DataFrame:
     """First offending id stands for the rest; rows come from :func:`append_only_diff`."""
     first = changes.agg(F.min_by(F.struct("id", "change"), "id").alias("c")).where("c IS NOT NULL")

@@ -9,18 +9,15 @@ from ..functions.text import item_id, label_for, tag_union
 from ..sources.adapters import AdapterRegistry
 from ..sources.feeds import label_override
 
-#: Entry positions fit in this many low bits of ``seq``; landing order fills the rest.
-POSITION_BITS = 20
 ITEM_COLUMNS = ["id", "source_id", "heading", "label", "link", "date", "date_basis",
-                "category", "tags", "seq"]
+                "category", "tags", "seq", "at"]
 
 
 def explode_entries(parsed: DataFrame) -> DataFrame:
-    """One row per entry, ordered by ``seq``: landing order, then position in the payload."""
+    """One row per entry, ordered by ``seq`` of its payload and ``at``, its place therein."""
     return (parsed.where(F.col("error").isNull())
             .select("*", F.posexplode("entries").alias("at", "entry"))
-            .drop("entries", "error", "body")
-            .withColumn("seq", F.shiftleft("seq", POSITION_BITS).bitwiseOR(F.col("at").cast("long"))))
+            .drop("entries", "error", "body"))
 
 
 def to_items(entries: DataFrame, registry: AdapterRegistry, now) -> DataFrame:
@@ -36,4 +33,4 @@ def to_items(entries: DataFrame, registry: AdapterRegistry, now) -> DataFrame:
         F.col("entry.link").alias("link"), item_date(F.col("published"), now).alias("date"),
         date_basis(F.col("published")).alias("date_basis"), "category",
         tag_union(F.col("source_tags"), F.col("entry.tags")).alias("tags"), "seq",
-        "pos", "filters")
+        "at", "pos", "filters")

@@ -7,6 +7,11 @@ would send every copy of a hot key to a single task and sort them there.
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def landing(rows: DataFrame) -> list[str]:
+    """Columns that order rows as they landed; rows of one payload each have no ``at``."""
+    return [c for c in ("seq", "at") if c in rows.columns]
+
+
 def first_seen(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """First row per key by ``order``."""
     best = F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import now_literal, window_start
-from .dedup import first_seen
+from .dedup import first_seen, landing
 from .joins import lookup_join, not_in_history
 
 
@@ -34,7 +34,7 @@ def fresh_undated(items: DataFrame, known: DataFrame) -> DataFrame:
     payload is no hot key.
     """
     undated = first_seen(items.where(F.col("date_basis") == "discovered"),
-                         ["source_id", "id"], ["pos", "seq"])
+                         ["source_id", "id"], ["pos", *landing(items)])
     return not_in_history(undated, known, ["source_id", "id"])
 
 
@@ -61,7 +61,7 @@ def advance_cursors(previous: DataFrame, imported: DataFrame, succeeded: DataFra
     The latest item date never falls below the previous one.
     """
     latest = imported.groupBy("source_id").agg(
-        F.max("date").alias("_date"), F.max_by("id", F.struct("date", "seq")).alias("_id"))
+        F.max("date").alias("_date"), F.max_by("id", F.struct("date", *landing(imported))).alias("_id"))
     moved = (succeeded.select("source_id").distinct().join(latest, "source_id", "left")
              .withColumn("_moved", F.lit(True)))
     newer = F.col("_date").isNotNull() & (

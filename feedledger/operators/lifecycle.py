@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import now_literal
 from ..functions.text import item_id, label_for, lifecycle_heading, lifecycle_key, tag_union
+from .dedup import landing
 
 
 def stage_event(previous: Column, stage: Column) -> Column:
@@ -40,12 +41,12 @@ def lifecycle_items(events: DataFrame, now) -> DataFrame:
         event_label(F.col("event")).alias("label"), F.col("url").alias("link"),
         F.to_date(now_literal(now)).alias("date"), F.lit("discovered").alias("date_basis"),
         "category", tag_union(F.col("source_tags"), F.lit(None).cast("array<string>")).alias("tags"),
-        "seq", "pos", "filters")
+        *landing(events), "pos", "filters")
 
 
 def observed_stages(snapshot: DataFrame) -> DataFrame:
     """Stage per slug as the next run will see it; the last mention in a document wins."""
-    return snapshot.groupBy("source_id", "slug").agg(F.max_by("stage", "seq").alias("stage"))
+    return snapshot.groupBy("source_id", "slug").agg(F.max_by("stage", F.struct(*landing(snapshot))).alias("stage"))
 
 
 def upsert_stages(previous: DataFrame, observed: DataFrame) -> DataFrame:

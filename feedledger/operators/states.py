@@ -27,24 +27,53 @@ def fold_transitions(transitions: DataFrame, max_rows: int = BROADCAST_ROWS) ->
     return counted.groupBy("id").agg(
         F.max(F.struct("ts", "seq", "state")).alias("last"), latest("read").alias("read_at"),
         latest("ignored").alias("ignored_at"),
-    ).select("id", "last.state", F.col("last.ts").alias("updated_at"), "read_at", "ignored_at")
+    ).select("id", "last.state", F.col("last.ts").alias("updated_at"), "read_at", "ignored_at",
+             F.col("last.seq").alias("seq"))
 
 
 def apply_transitions(items: DataFrame, states: DataFrame, transitions: DataFrame
                       ) -> tuple[DataFrame, DataFrame]:
     """``(items, states)`` after a batch of transitions.
 
-    Only active items change. Entering a state stamps it, older stamps stay, and an
-    ignored item leaves the item table at once.
+    Active items change, and ignored ones where a transition from before they were ignored
+    arrives late. The later of stored and new stamp ``(updated_at, seq)`` decides, so the
+    order of batches does not matter; a stored state without ``seq`` loses a tie. The first
+    time an item was ignored ends it, however late that is known, and it leaves the item
+    table at once. A read stamp from after that end does not count.
     """
-    folded = fold_transitions(transitions).join(items.select("id").distinct(), "id", "left_semi")
-    new = folded.select("id", F.struct("state", "updated_at", "read_at", "ignored_at").alias("n"))
-    merged = states.join(new, "id", "full").select(
-        "id",
-        F.coalesce("n.state", "state").alias("state"),
-        F.coalesce("n.updated_at", "updated_at").alias("updated_at"),
-        F.coalesce("n.read_at", "read_at").alias("read_at"),
-        F.coalesce("n.ignored_at", "ignored_at").alias("ignored_at"))
+    if "seq" not in states.columns:
+        states = states.withColumn("seq", F.lit(None).cast("long"))
+    touched = items.select("id").union(states.where("state = 'ignored'").select("id")).distinct()
+    folded = fold_transitions(transitions).join(touched, "id", "left_semi")
+    fields = ("state", "updated_at", "seq", "read_at", "ignored_at")
+    old = states.select("id", F.struct(*fields).alias("o"))
+    new = folded.select("id", F.struct(*fields).alias("n"))
+
+    def stamp(side: str) -> Column:
+        return F.when(F.col(side).isNotNull(), F.struct(
+            F.col(f"{side}.updated_at").alias("at"), F.col(f"{side}.seq").alias("seq")))
+
+    def ended(side: str) -> Column:
+        at = F.coalesce(f"{side}.ignored_at", f"{side}.updated_at")
+        return F.when(F.col(f"{side}.state") == "ignored",
+                      F.struct(at.alias("at"), F.col(f"{side}.seq").alias("seq")))
+
+    both = old.join(new, "id", "full").withColumn("end", F.least(ended("o"), ended("n")))
+    takes = stamp("o").isNull() | F.coalesce(stamp("n") >= stamp("o"), F.lit(False))
+
+    def last(name: str) -> Column:
+        return F.when(takes, F.col(f"n.{name}")).otherwise(F.col(f"o.{name}"))
+
+    def read(side: str) -> Column:
+        at = F.col(f"{side}.read_at")
+        return F.when(F.col("end").isNull() | (at <= F.col("end.at")), at)
+
+    over = F.col("end").isNotNull()
+    merged = both.select(
+        "id", F.when(over, F.lit("ignored")).otherwise(last("state")).alias("state"),
+        F.when(over, F.col("end.at")).otherwise(last("updated_at")).alias("updated_at"),
+        F.greatest(read("o"), read("n")).alias("read_at"), F.col("end.at").alias("ignored_at"),
+        F.when(over, F.col("end.seq")).otherwise(last("seq")).alias("seq"))
     kept = items.join(folded.where("state = 'ignored'").select("id"), "id", "left_anti")
     return kept, merged
 

@@ -27,7 +27,7 @@ from ..sources.adapters import AdapterRegistry, default_registry, parse_payloads
 from ..sources.registry import registry_issues, unsupported_adapters
 from ..sources.repositories import pulls_adding_files, with_added_files
 from .store import Store
-from .summary import run_summary
+from .summary import failure_lines, run_summary
 
 
 def together(*jobs: Callable[[], Any]) -> list:
@@ -72,10 +72,10 @@ def collected_items(parsed: DataFrame, landed: DataFrame, stages: DataFrame,
             .groupBy("source_id").agg(F.max("seq").alias("_newest"))
         snapshot = lookup_join(
             entries.where(F.col("adapter").isin(*snapshots)), newest, ["source_id"], "inner", ["seq"])
-        snapshot = (snapshot.where(F.shiftright("seq", classify.POSITION_BITS) == F.col("_newest"))
+        snapshot = (snapshot.where(F.col("seq") == F.col("_newest"))
                     .select("source_id", "slug", F.col("entry.stage").alias("stage"),
                             F.col("entry.heading").alias("name"), F.col("entry.link").alias("url"),
-                            "category", "source_tags", "seq", "pos", "filters"))
+                            "category", "source_tags", "seq", "at", "pos", "filters"))
         moved = lifecycle.lifecycle_items(lifecycle.stage_events(snapshot, stages), now)
         items = items.unionByName(moved)
         observed = lifecycle.observed_stages(snapshot)
@@ -83,19 +83,30 @@ def collected_items(parsed: DataFrame, landed: DataFrame, stages: DataFrame,
     return items.where(in_scope), observed
 
 
-def item_ledger(existing: DataFrame, added: DataFrame, states: DataFrame, now) -> DataFrame:
+def item_ledger(existing: DataFrame, added: DataFrame, prints: DataFrame, states: DataFrame,
+                now) -> DataFrame:
     """Items and states side by side, one row per id, with what the run does to each.
 
     ``fate`` is that of the state (pruned, ignored, expired, kept, synced); ``leaves``
     marks ids whose item is removed. Dead tombstones are pruned before sync, so an item
-    published again becomes unread.
+    published again becomes unread. ``change`` tells items that are not as they were
+    published: their digests of then (``prints``) pass through the same grouping.
     """
-    ids = (existing.select("id", "source_id", F.lit(1).alias("old"))
-           .unionByName(added.select("id", "source_id", F.lit(0).alias("old")))
-           .groupBy("id").agg(F.min("source_id").alias("source_id"), F.sum("old").alias("copies"),
-                              F.count_if(F.col("old") == 0).alias("fresh")))
+    ids = (existing.select("id", "source_id", F.lit("old").alias("row"),
+                           checks.item_digest(existing).alias("digest"))
+           .unionByName(added.select("id", "source_id", F.lit("new").alias("row")), allowMissingColumns=True)
+           .unionByName(prints.select("id", "digest", F.lit("print").alias("row")), allowMissingColumns=True)
+           .groupBy("id").agg(
+               F.min("source_id").alias("source_id"), F.count_if(F.col("row") == "old").alias("copies"),
+               F.count_if(F.col("row") == "new").alias("fresh"), F.count_if(F.col("row") == "print").alias("printed"),
+               *[pick("digest", F.col("row") == row).alias(f"{row}_{name}")
+                 for row in ("old", "print") for name, pick in (
+                     ("low", lambda c, w: F.min(F.when(w, F.col(c)))), ("high", lambda c, w: F.max(F.when(w, F.col(c)))))]))
+    edited = (F.col("old_low") != F.col("print_low")) | (F.col("old_high") != F.col("print_high"))
+    ids = ids.withColumn("change", F.when((F.col("printed") > 0) & (F.col("copies") == 0), F.lit("deleted"))
+                         .when(F.col("printed") > 0, F.when(edited, F.lit("modified"))))
     joined = ids.join(with_fate(states, now), "id", "full")
-    has_item = F.col("copies").isNotNull()
+    has_item = F.coalesce(F.col("copies") + F.col("fresh") > 0, F.lit(False))
     stateless = F.col("fate").isNull() | (F.col("fate") == "pruned")
     synced = has_item & stateless
 
@@ -107,11 +118,11 @@ def item_ledger(existing: DataFrame, added: DataFrame, states: DataFrame, now) -
         "id", "source_id", has_item.alias("has_item"),
         F.coalesce(F.col("copies"), F.lit(0)).alias("copies"),
         F.coalesce(F.col("fresh") > 0, F.lit(False)).alias("is_added"),
-        F.coalesce(F.col("fate") == "pruned", F.lit(False)).alias("pruned"),
+        F.coalesce(F.col("fate") == "pruned", F.lit(False)).alias("pruned"), "change",
         F.when(synced, F.lit("synced")).otherwise(F.col("fate")).alias("fate"),
         (has_item & F.coalesce(F.col("fate").isin("ignored", "expired"), F.lit(False))).alias("leaves"),
         after("state", F.lit("unread")), after("updated_at", now_literal(now)),
-        after("read_at", no_time), after("ignored_at", no_time))
+        after("read_at", no_time), after("ignored_at", no_time), after("seq", F.lit(None).cast("long")))
 
 
 def ledger_issues(ledger: DataFrame) -> DataFrame:
@@ -131,15 +142,12 @@ def ledger_issues(ledger: DataFrame) -> DataFrame:
 
 
 def ledger_changes(ledger: DataFrame) -> DataFrame:
-    """Earlier items the run would edit, or drop for another reason than cleanup.
+    """Earlier items that are not as they were published, or gone without being removed.
 
-    Segments of earlier runs are carried over untouched, so only ids the run adds or
-    removes can have changed.
+    Segments of earlier runs are carried over as they are, so what is read of them is what
+    the run would publish; its own removals come later and follow from states alone.
     """
-    edited = F.col("is_added") & (F.col("copies") > 0)
-    dropped = F.col("leaves") & (F.col("copies") > 0) & ~F.col("fate").isin("ignored", "expired")
-    return ledger.where(edited | dropped).select(
-        "id", F.when(dropped, F.lit("deleted")).otherwise(F.lit("modified")).alias("change"))
+    return ledger.where("change IS NOT NULL").select("id", "change")
 
 
 def shape_issues(kind: str, rows: DataFrame, expectations: dict) -> DataFrame:
@@ -151,8 +159,13 @@ def shape_issues(kind: str, rows: DataFrame, expectations: dict) -> DataFrame:
 
 def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, references: DataFrame,
                 now, registry: AdapterRegistry | None = None, volume_limit: int = S.VOLUME_LIMIT,
-                allow_large_change: bool = False, dedup_policy: str = "most_specific") -> RunResult:
-    """Run once and publish. ``allow_large_change`` waives the volume guard only."""
+                allow_large_change: bool = False, dedup_policy: str = "most_specific",
+                since: DataFrame | None = None) -> RunResult:
+    """Run once and publish. ``allow_large_change`` waives the volume guard only.
+
+    ``since`` has the cursors that windows and first syncs count from, where those are not
+    the newest: a stream takes the ones it started from for all its batches.
+    """
     registry = registry or default_registry()
     issues = registry_issues(sources, references).unionByName(unsupported_adapters(sources, registry))
     broken = issues.count()
@@ -174,7 +187,8 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     stages, cursors = store.read("lifecycle_stage"), store.read("cursors")
     scoped, observed = collected_items(parsed, landed, stages, registry, now)
     scoped = store.stage(scoped, "collected")
-    windowed = increment.within_window(scoped, increment.source_bounds(sources, cursors), now)
+    windowed = increment.within_window(scoped, increment.source_bounds(
+        sources, cursors if since is None else since), now)
 
     def stage_outcomes() -> DataFrame:
         return store.stage(out.source_outcomes(sources, parsed, scoped, now), "outcomes")
@@ -185,12 +199,12 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     outcomes, fresh = together(stage_outcomes, stage_fresh)
     succeeded = outcomes.where("outcome = 'succeeded'").select("source_id")
     imported = increment.importable(windowed, fresh)
-    arrival = F.struct("pos", "seq")
+    arrival = F.struct("pos", "seq", "at")
     if dedup_policy == "most_specific":
         unique = most_specific(imported, F.col("id"), specificity(F.col("filters")),
                                F.col("source_id"), arrival)
     elif dedup_policy == "first_seen":
-        unique = first_seen(imported, ["id"], ["pos", "seq"])
+        unique = first_seen(imported, ["id"], ["pos", "seq", "at"])
     else:
         raise ValueError(f"Unknown dedup policy {dedup_policy!r}")
     existing = store.items()
@@ -199,7 +213,7 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     def stage_added_and_ledger() -> tuple[DataFrame, DataFrame]:
         added = store.stage(not_in_history(unique, existing, ["id"])
                             .select(*classify.ITEM_COLUMNS), "added")
-        return added, store.stage(item_ledger(existing, added, store.read("states"), now), "ledger")
+        return added, store.stage(item_ledger(existing, added, store.prints(), store.read("states"), now), "ledger")
 
     def stage_cursors() -> DataFrame:
         return store.stage(increment.advance_cursors(cursors, imported, succeeded, now), "cursors")
@@ -210,27 +224,35 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
         F.count_if("pruned").alias("pruned"),
         F.count_if(F.col("leaves") & (F.col("fate") == "ignored")).alias("scrubbed"),
         F.count_if(F.col("fate") == "expired").alias("expired"))
+    name = f"run_id={run_id}"
+    failures, statuses = together(
+        lambda: store.write("failures", failure_lines(outcomes), name),
+        lambda: store.write("source_status", out.source_status(outcomes, store.read("source_status")), name))
+    found = (ledger_issues(ledger)
+             .unionByName(shape_issues("item", added, checks.item_expectations()))
+             .unionByName(shape_issues("state", states, checks.state_expectations()))
+             .unionByName(shape_issues("cursor", new_cursors, checks.cursor_expectations()))
+             .unionByName(shape_issues("source status", store.scan("source_status", statuses),
+                                       checks.status_expectations())))
+    written = store.write("issues", found, name)
     guards = (checks.append_only_guard(ledger_changes(ledger))
               .unionByName(checks.cursor_guard(cursors, new_cursors))
-              .unionByName(checks.validation_guard(
-                  ledger_issues(ledger)
-                  .unionByName(shape_issues("item", added, checks.item_expectations()))
-                  .unionByName(shape_issues("state", states, checks.state_expectations()))
-                  .unionByName(shape_issues("cursor", new_cursors, checks.cursor_expectations())))))
+              .unionByName(checks.validation_guard(store.scan("issues", written))))
     if not allow_large_change:
         guards = guards.unionByName(checks.volume_guard(added, volume_limit))
     rejection = checks.first_rejection(guards)
 
     # Status is published whatever the guards say.
-    name = f"run_id={run_id}"
-    status, runs = together(
-        lambda: store.write("source_status", out.source_status(
-            outcomes, store.read("source_status")), name),
-        lambda: store.write("runs", run_row(outcomes, added, rejection, run_id, now), name))
-    row = store.spark.read.schema(S.RUN).parquet(f"{store.root}/{runs[0]}").first()
+    runs = store.write("runs", run_row(outcomes, added, rejection, run_id, now), name)
+    written_run = store.scan("runs", runs)
+    off = checks.violations(written_run, checks.run_expectations()).where("violations > 0").collect()
+    if off:
+        raise ValueError(f"Run {run_id} breaks the schema of runs: {', '.join(r['field'] for r in off)}")
+    row = written_run.first()
     rejected = row["rejected"].asDict() if row["rejected"] else None
-    summary = run_summary(outcomes, counts, row)
-    changed = {"source_status": status, "runs": store.directories["runs"] + runs}
+    summary = run_summary(store.scan("failures", failures), counts, row)
+    changed = {"source_status": statuses, "runs": store.directories["runs"] + runs,
+               "issues": written, "failures": failures}
     if rejected:
         store.publish(changed)
         return RunResult(False, summary, rejected)
@@ -244,8 +266,10 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
         written = store.write(table, rows, name)
         return before + ([] if grows and store.is_empty(table, written) else written)
 
+    prints = stay.select("id", checks.item_digest(stay).alias("digest"), F.lit(run_id).cast("long").alias("run_id"))
     jobs = {
         "items": lambda: write("items", stay, grows=True),
+        "prints": lambda: write("prints", prints, grows=True),
         "removed": lambda: write("removed", removed, grows=True),
         "states": lambda: write("states", states),
         "cursors": lambda: write("cursors", new_cursors),

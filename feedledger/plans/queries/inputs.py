@@ -1,6 +1,6 @@
 """Table rows in the roles operators expect: items, states, transitions, sources."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import table
 
@@ -46,25 +46,30 @@ LABEL_STATES = """
 
 
 def event_transitions(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as reading-state transitions: view, click and error on a user's item.
+    """Every event as a reading-state transition of an item per user and day of the month.
 
-    An error ends an item, so only each thousandth one counts as ignoring it.
+    An error ends the item of its day: clicks and purchases read it, the others unread it.
     """
-    state = F.expr("CASE event_type WHEN 'view' THEN 'unread' WHEN 'click' THEN 'read' "
-                   "WHEN 'error' THEN 'ignored' END")
-    ending = "event_type <> 'error' OR event_id % 11 = 0"
-    return (table(spark, folder, "events").where("event_type IN ('view', 'click', 'error')")
-            .where(ending)
-            .select(F.col("user_id").cast("string").alias("id"), state.alias("state"),
-                    F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")))
+    return as_transitions(table(spark, folder, "events"))
+
+
+def as_transitions(events: DataFrame) -> DataFrame:
+    state = F.expr("CASE WHEN event_type = 'error' THEN 'ignored' "
+                   "WHEN event_type IN ('click', 'purchase') THEN 'read' ELSE 'unread' END")
+    return events.select(user_day().alias("id"), state.alias("state"),
+                         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+
+
+def user_day() -> Column:
+    return F.expr("CAST(user_id * 31 + day(ts) - 1 AS STRING)")
 
 
 EVENT_TRANSITIONS = """
-  SELECT CAST(user_id AS VARCHAR) AS id,
-         CASE event_type WHEN 'view' THEN 'unread' WHEN 'click' THEN 'read' ELSE 'ignored' END AS state,
+  SELECT CAST(user_id * 31 + day(ts) - 1 AS VARCHAR) AS id,
+         CASE WHEN event_type = 'error' THEN 'ignored' WHEN event_type IN ('click', 'purchase') THEN 'read'
+              ELSE 'unread' END AS state,
          ts, event_id AS seq
-  FROM events
-  WHERE event_type IN ('view', 'click', 'error') AND (event_type <> 'error' OR event_id % 11 = 0)"""
+  FROM events"""
 
 
 def order_items(spark: SparkSession, folder: str) -> DataFrame:

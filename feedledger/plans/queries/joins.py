@@ -81,10 +81,11 @@ def missing_state(spark, folder):
 
 @query(f"""
   SELECT s.id, s.state FROM ({LABEL_STATES}) s
-  ANTI JOIN (SELECT * FROM ({DOCUMENT_ITEMS}) WHERE seq % 2 = 0) i USING (id)
+  ANTI JOIN (SELECT CAST(page_id AS VARCHAR) AS id FROM pages) i USING (id)
   WHERE NOT (s.state = 'ignored' AND TIMESTAMP '{LABELS_NOW}' - s.ignored_at < INTERVAL 48 HOUR)""")
 def orphan_state(spark, folder):
-    items = document_items(spark, folder).where("seq % 2 = 0")
+    """Pages are the items; labels of other numbers are orphans."""
+    items = table(spark, folder, "pages").select(F.col("page_id").cast("string").alias("id"))
     return checks.orphan_states(items, label_states(spark, folder), LABELS_NOW).select("id", "state")
 
 

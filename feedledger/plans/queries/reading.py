@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from . import query, table, wall
 from .inputs import (
     DOCUMENT_ITEMS, EVENT_TRANSITIONS, LABEL_STATES, LABELS_NOW, document_items,
-    event_transitions, label_states,
+    event_transitions, label_states, user_day,
 )
 from ...operators import checks
 from ...operators.states import apply_transitions, clean_up, fold_transitions
@@ -29,33 +29,40 @@ def state_fold(spark, folder):
     return _times(fold_transitions(event_transitions(spark, folder)))
 
 
-def _user_items(spark, folder):
-    """Even users are active items; their labels of the same number are earlier states."""
-    return (table(spark, folder, "events").where("user_id % 2 = 0").select(
-        F.col("user_id").cast("string").alias("id")).distinct())
+def _bought_items(spark, folder):
+    """User-days with a purchase are active items; labels of the same number are earlier states."""
+    return (table(spark, folder, "events").where("event_type = 'purchase'").select(
+        user_day().alias("id")).distinct())
 
 
 _APPLIED = f"""{_FOLD},
-  hit AS (SELECT * FROM folded WHERE CAST(id AS BIGINT) % 2 = 0),
-  old AS ({LABEL_STATES})"""
+  active AS (SELECT DISTINCT CAST(user_id * 31 + day(ts) - 1 AS VARCHAR) AS id FROM events WHERE event_type = 'purchase'),
+  old AS ({LABEL_STATES}),
+  hit AS (SELECT * FROM folded WHERE id IN (SELECT id FROM active)
+          OR id IN (SELECT id FROM old WHERE state = 'ignored')),
+  merged AS (
+    SELECT coalesce(o.id, h.id) AS id, o.state AS o_state, h.state AS h_state,
+           h.id IS NULL OR coalesce(o.updated_at > h.updated_at, FALSE) AS keeps, o.updated_at AS o_at, h.updated_at AS h_at,
+           least(o.ignored_at, h.ignored_at) AS cut, o.read_at AS o_read, h.read_at AS h_read
+    FROM old o FULL JOIN hit h ON o.id = h.id)"""
 
 
 @query(f"""WITH {_APPLIED}
-  SELECT coalesce(o.id, h.id) AS id, coalesce(h.state, o.state) AS state,
-         coalesce(h.updated_at, o.updated_at) AS updated_at, coalesce(h.read_at, o.read_at) AS read_at,
-         coalesce(h.ignored_at, o.ignored_at) AS ignored_at
-  FROM old o FULL JOIN hit h ON o.id = h.id""")
+  SELECT id, CASE WHEN cut IS NOT NULL THEN 'ignored' WHEN keeps THEN o_state ELSE h_state END AS state,
+         CASE WHEN cut IS NOT NULL THEN cut WHEN keeps THEN o_at ELSE h_at END AS updated_at,
+         greatest(CASE WHEN cut IS NULL OR o_read <= cut THEN o_read END,
+                  CASE WHEN cut IS NULL OR h_read <= cut THEN h_read END) AS read_at,
+         cut AS ignored_at FROM merged""")
 def applied_states(spark, folder):
-    _, states = apply_transitions(_user_items(spark, folder), label_states(spark, folder),
+    _, states = apply_transitions(_bought_items(spark, folder), label_states(spark, folder),
                                   event_transitions(spark, folder))
     return _times(states)
 
 
 @query(f"""WITH {_APPLIED}
-  SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events
-  WHERE user_id % 2 = 0 AND CAST(user_id AS VARCHAR) NOT IN (SELECT id FROM hit WHERE state = 'ignored')""")
+  SELECT id FROM active WHERE id NOT IN (SELECT id FROM hit WHERE state = 'ignored')""")
 def applied_items(spark, folder):
-    items, _ = apply_transitions(_user_items(spark, folder), label_states(spark, folder),
+    items, _ = apply_transitions(_bought_items(spark, folder), label_states(spark, folder),
                                  event_transitions(spark, folder))
     return items
 

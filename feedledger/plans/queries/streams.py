@@ -2,12 +2,13 @@
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from . import query, table, wall
+from .inputs import as_transitions, user_day
 from .reading import _FOLD
 from .runs import order_sources, payload_columns
-from ...schemas import REFERENCE_SOURCE
+from ...schemas import REFERENCE_SOURCE, WINDOW_HOURS
 from ...session import work_folder
 from ...streaming.micro_batches import (
     collect_stream, file_stream, first_within_overlap, transition_stream,
@@ -15,41 +16,47 @@ from ...streaming.micro_batches import (
 from ..store import Store
 
 
-def _stream(spark, folder, name):
-    return file_stream(spark, folder, table(spark, folder, name).schema, f"{name}.parquet")
+def _landed(spark, root, rows, order, batches=3):
+    """Rows as a stream of files that landed one after the other, a batch each, by ``order``."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((order - low) * batches / max(1, high - low)), F.lit(batches - 1))
+    for i in range(batches):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    return file_stream(spark, f"{root}/landed", rows.schema, files_per_batch=1)
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT DISTINCT user_id, event_type, FALSE AS repeated FROM events")
 def stream_first_seen(spark, folder):
-    """First event per user and type within the overlap, as a stateful stream."""
+    """Events per user and type in three batches: every key comes through, and no row of it
+    follows another within the overlap."""
     root = f"{work_folder(spark)}/first-seen-{uuid.uuid4().hex}"
-    events = _stream(spark, folder, "events").select(
+    events = table(spark, folder, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    first = first_within_overlap(events, ["user_id", "event_type"], "ts")
+    first = first_within_overlap(_landed(spark, root, events, F.unix_micros("ts")), ["user_id", "event_type"], "ts")
     (first.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log")
      .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema("ts TIMESTAMP, user_id BIGINT, event_type STRING").parquet(f"{root}/out").select(
-        "user_id", "event_type")
+    came = spark.read.schema("ts TIMESTAMP, user_id BIGINT, event_type STRING").parquet(f"{root}/out")
+    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts"))
+    soon = F.col("ts") <= F.col("before") + F.make_dt_interval(hours=F.lit(WINDOW_HOURS))
+    return came.withColumn("before", before).groupBy("user_id", "event_type").agg(
+        F.coalesce(F.bool_or(soon), F.lit(False)).alias("repeated"))
 
 
 @query(f"WITH {_FOLD} SELECT id, state, updated_at FROM folded")
 def stream_states(spark, folder):
-    """Transitions folded into a store batch by batch; every user is an active item."""
+    """Transitions folded into a store batch by batch, cut without regard to their time; every
+    user-day is an active item."""
     root = f"{work_folder(spark)}/states-{uuid.uuid4().hex}"
     store = Store(spark, root)
     store.bootstrap()
-    users = table(spark, folder, "events").select(F.col("user_id").cast("string").alias("id")).distinct()
-    items = users.select(
+    events = table(spark, folder, "events")
+    items = events.select(user_day().alias("id")).distinct().select(
         "id", *[F.lit(None).cast("string").alias(c) for c in ("source_id", "heading", "label", "link")],
         F.lit(None).cast("date").alias("date"), F.lit(None).cast("string").alias("date_basis"),
         F.lit("all").alias("category"), F.array().cast("array<string>").alias("tags"),
         F.lit(0).cast("long").alias("seq"))
     store.publish({"items": store.write("items", items, "run_id=0")})
-    state = F.expr("CASE event_type WHEN 'view' THEN 'unread' WHEN 'click' THEN 'read' ELSE 'ignored' END")
-    transitions = _stream(spark, folder, "events").where(
-        "event_type IN ('view', 'click', 'error') AND (event_type <> 'error' OR event_id % 11 = 0)").select(
-        F.col("user_id").cast("string").alias("id"), state.alias("state"),
-        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+    transitions = as_transitions(_landed(spark, root, events, F.pmod(F.xxhash64("event_id"), F.lit(1000))))
     transition_stream(root, transitions, f"{root}/_log").awaitTermination()
     return Store(spark, root).read("states").select("id", "state", wall("updated_at").alias("updated_at"))
 
@@ -59,9 +66,9 @@ def stream_states(spark, folder):
          CAST(o_orderdate AS DATE) AS date
   FROM orders WHERE o_orderstatus <> 'P' AND o_orderdate >= TIMESTAMP '2000-01-01'""")
 def stream_collect(spark, folder):
-    """Gated runs over a stream of landed payloads."""
+    """Gated runs over payloads that land in two files; the second is still first sync."""
     root = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
-    payloads = payload_columns(_stream(spark, folder, "orders"))
+    payloads = payload_columns(_landed(spark, root, table(spark, folder, "orders"), F.col("o_orderkey"), 2))
     none = spark.createDataFrame([], REFERENCE_SOURCE)
     collect_stream(root, payloads, order_sources(spark, folder), none, lambda batch: "2001-08-02 00:00:00",
                    f"{root}/_log", allow_large_change=True).awaitTermination()

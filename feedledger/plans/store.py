@@ -21,11 +21,15 @@ from ..operators.joins import fits_broadcast
 _RUN = StructField("run_id", LongType())
 STORED_ITEM = StructType(S.ITEM.fields + [_RUN])
 REMOVED = StructType([StructField("id", StringType()), _RUN])
+#: What an item looked like when it was published, to tell later whether it still does.
+PRINT = StructType([StructField("id", StringType()), StructField("digest", LongType()), _RUN])
 
 TABLES = {
     "items": STORED_ITEM, "removed": REMOVED, "states": S.STATE, "cursors": S.CURSOR,
     "known_undated": S.KNOWN_UNDATED, "lifecycle_stage": S.LIFECYCLE_STAGE,
-    "source_status": S.SOURCE_STATUS, "runs": S.RUN,
+    "source_status": S.SOURCE_STATUS, "runs": S.RUN, "prints": PRINT,
+    # Of the newest run only: every issue found and every source that failed.
+    "issues": S.ISSUE, "failures": S.FAILURE,
 }
 #: Tables whose directories are partitions: ``run_id=<n>``, then these columns.
 PARTITIONED = {"items": ["category"]}
@@ -45,10 +49,11 @@ class Store:
     def _pointer(self) -> str:
         return f"{self.root}/_versions"
 
-    def refresh(self) -> "Store":
-        """Load the newest version; an empty root is version 0."""
+    def refresh(self, version: int | None = None) -> "Store":
+        """Load the newest version or the given one; an empty root is version 0."""
         try:
-            newest = (self.spark.read.schema(_VERSION).parquet(self._pointer())
+            versions = self.spark.read.schema(_VERSION).parquet(self._pointer())
+            newest = ((versions if version is None else versions.where(F.col("version") == version))
                       .agg(F.max_by(F.struct("version", "directories"), "version").alias("v"))
                       .first()["v"])
         except AnalysisException as e:
@@ -72,12 +77,12 @@ class Store:
         self.publish({"runs": self.write("runs", never, "run_id=0")})
 
     def read(self, table: str) -> DataFrame:
-        return self._scan(table, self.directories.get(table, []))
+        return self.scan(table, self.directories.get(table, []))
 
     def is_empty(self, table: str, directories: list[str]) -> bool:
-        return self._scan(table, directories).isEmpty()
+        return self.scan(table, directories).isEmpty()
 
-    def _scan(self, table: str, paths: list[str]) -> DataFrame:
+    def scan(self, table: str, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], TABLES[table])
         reader = self.spark.read.schema(TABLES[table])
@@ -87,7 +92,13 @@ class Store:
 
     def stored_items(self) -> DataFrame:
         """Active items with the run that brought them."""
-        items = self.read("items")
+        return self._without_removed(self.read("items"))
+
+    def prints(self) -> DataFrame:
+        """Digests of active items as they were published."""
+        return self._without_removed(self.read("prints"))
+
+    def _without_removed(self, items: DataFrame) -> DataFrame:
         if not self.directories.get("removed"):
             return items
         removed = self.read("removed").groupBy("id").agg(F.max("run_id").alias("_until"))
@@ -100,10 +111,13 @@ class Store:
         return self.stored_items().drop("run_id")
 
     def write(self, table: str, rows: DataFrame, directory: str) -> list[str]:
-        """Write one immutable directory of a table and return its name as a list."""
+        """Write one immutable directory of a table and return its name as a list.
+
+        Columns the rows do not have are written as NULL.
+        """
         path = f"{table}/{directory}"
-        columns = [c for c in TABLES[table].fieldNames()
-                   if table not in PARTITIONED or c != "run_id"]
+        columns = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                   for f in TABLES[table] if table not in PARTITIONED or f.name != "run_id"]
         writer = rows.select(*columns).write.mode("overwrite")
         if table in PARTITIONED:
             writer = writer.partitionBy(*PARTITIONED[table])
@@ -130,4 +144,6 @@ class Store:
     def compact(self) -> None:
         """Fold removals and segments of the item table into one segment."""
         name = f"run_id={self.version}"
-        self.publish({"items": self.write("items", self.stored_items(), name), "removed": []})
+        run = F.lit(self.version).cast("long").alias("run_id")
+        prints = self.write("prints", self.prints().select("id", "digest", run), name)
+        self.publish({"items": self.write("items", self.stored_items(), name), "prints": prints, "removed": []})

@@ -11,17 +11,18 @@ def coverage_line(succeeded: Column, failed: Column, planned: Column, added: Col
 def failure_lines(outcomes: DataFrame) -> DataFrame:
     """One line per failed source, in registry order."""
     return (outcomes.where("outcome = 'failed'").orderBy("pos")
-            .select("pos", F.format_string("  FAILED  %s: %s", "source_id", "reason").alias("line")))
+            .select("pos", "source_id", F.format_string("  FAILED  %s: %s", "source_id", "reason").alias("line")))
 
 
-def run_summary(outcomes: DataFrame, cleanup_counts: DataFrame, run: Row, shown: int = 1000) -> str:
-    """Summary of a run; lists failures of at most ``shown`` sources, counts are exact."""
+def run_summary(failures: DataFrame, cleanup_counts: DataFrame, run: Row, shown: int = 1000) -> str:
+    """Summary of a run with exact counts; all ``failures`` are a table of the run, the text
+    for people lists the first ``shown``."""
     c, gone = run["coverage"], cleanup_counts.first()
     lines = [f"Collection run: {c['succeeded']} succeeded, {c['failed']} failed, "
              f"{c['planned']} planned, {c['added']} added"]
-    lines += [r["line"] for r in failure_lines(outcomes).take(shown)]
+    lines += [r["line"] for r in failures.orderBy("pos").take(shown)]
     if c["failed"] > shown:
-        lines.append(f"  ({c['failed'] - shown} more failed sources in the status table)")
+        lines.append(f"  ({c['failed'] - shown} more in the table of failures)")
     if gone["pruned"] + gone["scrubbed"] + gone["expired"] > 0:
         lines.append(f"Cleanup: {gone['pruned']} tombstone(s) pruned, {gone['scrubbed']} re-added "
                      f"ignored item(s) scrubbed, {gone['expired']} read item(s) expired")

@@ -1,15 +1,20 @@
 """Read views: item page, sources by category, run status, alert."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.dates import is_stale
 from ..functions.text import plural, rejection_text
-from ..operators.joins import fits_broadcast
+from ..operators.dedup import landing
 from ..schemas import PAGE_SIZE, STATE_FILTERS
 from ..sources.tables import latest_run
 
-#: Rows a page may lie behind before its place is looked up from counts.
-DEEP_OFFSET = 100_000
+#: A day or range with at most this many rows before a page is not divided further to find
+#: it. It bounds what a task holds and has no effect on the page.
+NEAR = 100_000
+#: Ranges a crowded day is divided into at a time.
+PARTS = 1000
+#: Registry positions that share a row of the nested sources view.
+NESTED = 10_000
 
 
 def with_state(items: DataFrame, states: DataFrame) -> DataFrame:
@@ -23,15 +28,16 @@ def _in_category(items: DataFrame, category: str | None) -> DataFrame:
     return items if category is None else items.where(F.col("category") == category)
 
 
-def _newest_first() -> list[Column]:
-    return [F.desc("date"), F.asc("seq"), F.asc("id")]
+def _newest_first(rows: DataFrame) -> list[Column]:
+    """Undated rows come last."""
+    return [F.desc_nulls_last("date"), *[F.asc(c) for c in landing(rows)], F.asc("id")]
 
 
 def _candidates(items: DataFrame, states: DataFrame, category: str | None, state: str) -> DataFrame:
     """Sort keys of the items a view shows; states are joined only if they filter."""
     if state not in STATE_FILTERS:
         raise ValueError(f"Unknown state filter {state!r}")
-    keys = _in_category(items, category).select("id", "date", "seq")
+    keys = _in_category(items, category).select("id", "date", *landing(items))
     return keys if state == "all" else with_state(keys, states).where(F.col("state") == state)
 
 
@@ -42,69 +48,84 @@ def _page(items: DataFrame, states: DataFrame, keys: DataFrame) -> DataFrame:
     """
     ids = F.broadcast(keys.select("id"))
     shown = states.join(ids, "id", "left_semi")
-    return with_state(items.join(ids, "id", "left_semi"), shown).orderBy(*_newest_first())
+    return with_state(items.join(ids, "id", "left_semi"), shown).orderBy(*_newest_first(items))
 
 
 def item_page(items: DataFrame, states: DataFrame, category: str | None = None,
               state: str = "all", page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
     """One page of items, newest first, ties in table order; past the end it is empty.
 
-    Near pages are a top-k over the sort keys. A far page first locates its first row from
-    counts, so the top-k does not grow with the page number.
+    Rows before the page are passed over by counts per date and, within a crowded date, per
+    range of the landing order, so the top-k does not grow with the page number.
     """
     if page < 1:
         raise ValueError("page starts at 1")
     keys = _candidates(items, states, category, state)
     skip = (page - 1) * page_size
-    if skip > DEEP_OFFSET:
+    if skip:
         keys, skip = _from_near(keys, skip)
-    keys = keys.orderBy(*_newest_first()).offset(skip).limit(page_size)
+    keys = keys.orderBy(*_newest_first(keys)).offset(skip).limit(page_size)
     return _page(_in_category(items, category), states, keys)
 
 
-def _from_near(keys: DataFrame, skip: int, near: int = DEEP_OFFSET, parts: int = 1000
-               ) -> tuple[DataFrame, int]:
-    """Keys from a row shortly before a far offset on, and how many of them to skip.
+def _from_near(keys: DataFrame, skip: int) -> tuple[DataFrame, int]:
+    """Keys from a row shortly before an offset on, and how many of them to skip.
 
-    First the date that holds the offset is found from a count per date. If that date is
-    still too large, ranges of ``seq`` within it are counted the same way.
+    The date that holds the offset is found from a count per date, undated rows being the
+    last of all. As long as many rows of that date lie before the offset, ranges of the
+    landing order within it are counted the same way. Running totals are over the buckets,
+    a row per calendar day or per range, and one row of them comes to the driver.
     """
-    def locate(buckets: DataFrame, order: Column, skip: int):
-        for row in buckets.orderBy(order).toLocalIterator():
-            if row["n"] > skip:
-                return row["bucket"], skip
-            skip -= row["n"]
-        return None, 0
-
-    day, skip = locate(keys.groupBy(F.col("date").alias("bucket")).agg(F.count("*").alias("n")),
-                       F.desc("bucket"), skip)
-    if day is None:
+    def locate(rows: DataFrame, bucket: Column, order: Column, skip: int):
+        buckets = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.orderBy(order))
+        found = buckets.withColumn("upto", upto).where(F.col("upto") > skip).orderBy("upto").first()
+        return found and (found["bucket"], skip - (found["upto"] - found["n"]))
+
+    found = locate(keys, F.col("date"), F.desc_nulls_last("bucket"), skip)
+    if found is None:
         return keys.limit(0), 0
-    in_day = F.col("date") == F.lit(day)
-    low = None
-    inside = keys.where(in_day)
-    while skip > near:
-        span = inside.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
-        if span["low"] == span["high"]:
+    day, skip = found
+    on_day = F.col("date").eqNullSafe(F.lit(day).cast("date"))
+    inside, start = keys.where(on_day), {}
+    for column in landing(keys):
+        while skip > NEAR:
+            span = inside.agg(F.min(column).alias("low"), F.max(column).alias("high"),
+                              F.count_if(F.col(column).isNull()).alias("unknown")).first()
+            if span["unknown"]:
+                break
+            start[column] = span["low"]
+            if span["low"] == span["high"]:
+                break
+            width = -(-(span["high"] - span["low"] + 1) // PARTS)
+            part = F.floor((F.col(column) - span["low"]) / width).cast("long")
+            part, skip = locate(inside, part, F.asc("bucket"), skip)
+            start[column] = low = span["low"] + part * width
+            inside = inside.where(F.col(column).between(low, low + width - 1))
+        if skip <= NEAR or span["unknown"]:
             break
-        width = -(-(span["high"] - span["low"] + 1) // parts)
-        bucket = F.floor((F.col("seq") - span["low"]) / width).cast("long").alias("bucket")
-        found, skip = locate(inside.groupBy(bucket).agg(F.count("*").alias("n")), F.asc("bucket"), skip)
-        low = span["low"] + found * width
-        inside = inside.where(F.col("seq").between(low, low + width - 1))
-    start = in_day if low is None else in_day & (F.col("seq") >= low)
-    return keys.where((F.col("date") < F.lit(day)) | start), skip
+    if start:
+        here = F.struct(*[F.lit(v).cast(keys.schema[c].dataType).alias(c) for c, v in start.items()])
+        on_day = on_day & (F.struct(*start) >= here)
+    older = F.lit(False) if day is None else F.col("date").isNull() | (F.col("date") < F.lit(day))
+    return keys.where(older | on_day), skip
 
 
 def items_after(items: DataFrame, states: DataFrame, date, seq: int, item_id: str,
                 category: str | None = None, state: str = "all",
-                page_size: int = PAGE_SIZE) -> DataFrame:
-    """The page that follows a given row; its cost does not depend on how far in it is."""
+                page_size: int = PAGE_SIZE, at: int | None = None) -> DataFrame:
+    """The page that follows a given row; its cost does not depend on how far in it is.
+
+    ``date`` is None for an undated row; ``at`` is its place in its payload, if it has one.
+    """
     keys = _candidates(items, states, category, state)
-    at_date = F.col("date") == F.lit(date).cast("date")
-    behind = (F.col("date") < F.lit(date).cast("date")) | (at_date & (
-        (F.col("seq") > seq) | ((F.col("seq") == seq) & (F.col("id") > item_id))))
-    keys = keys.where(behind).orderBy(*_newest_first()).limit(page_size)
+    day = F.lit(date).cast("date")
+    here = [F.lit(v).cast(keys.schema[c].dataType).alias(c)
+            for c, v in (("seq", seq), ("at", at), ("id", item_id)) if c in keys.columns]
+    later = F.struct(*landing(keys), "id") > F.struct(*here)
+    behind = (F.col("date") < day) | (F.col("date").isNull() & day.isNotNull()) | (
+        F.col("date").eqNullSafe(day) & later)
+    keys = keys.where(behind).orderBy(*_newest_first(keys)).limit(page_size)
     return _page(_in_category(items, category), states, keys)
 
 
@@ -159,29 +180,34 @@ def sources_listing(categories: DataFrame, monitored: DataFrame, references: Dat
                                F.lit(False).alias("monitored"))
     rows = watched.unionByName(listed, allowMissingColumns=True)
     coverage = F.struct("active", "failing", "planned", "total").alias("coverage")
-    return (category_coverage(categories, monitored).select("ord", "category", "title", coverage)
-            .join(rows, "category", "left").orderBy("ord", F.desc("monitored"), "pos"))
+    heads = category_coverage(categories, monitored).select("ord", "category", "title", coverage)
+    # Categories are a fixed handful. With sources on the left a crowded category stays where
+    # it was scanned; the categories that got none are added from their own table.
+    listed_rows = rows.join(F.broadcast(heads), "category")
+    empty = heads.join(rows.select("category").distinct(), "category", "left_anti")
+    return (listed_rows.unionByName(empty, allowMissingColumns=True)
+            .select("ord", "category", "title", "coverage", *[c for c in rows.columns if c != "category"])
+            .orderBy("ord", F.desc("monitored"), "pos"))
 
 
-def sources_by_category(categories: DataFrame, monitored: DataFrame, references: DataFrame,
-                        max_sources: int = 10_000) -> DataFrame:
-    """The nested sources view for a registry people can read, one row per category.
+def sources_by_category(categories: DataFrame, monitored: DataFrame, references: DataFrame) -> DataFrame:
+    """The nested sources view, one row per category and ``part`` of the registry.
 
-    Nesting puts a category into one cell, so a larger registry is refused here;
-    :func:`sources_listing` shows the same for any number of sources.
+    A part spans :data:`NESTED` registry positions, so no cell grows with the registry; one
+    that people can read has part 0 only. A category without sources has its row as well.
     """
-    if not (fits_broadcast(monitored, max_sources) and fits_broadcast(references, max_sources)):
-        raise ValueError(f"More than {max_sources} sources: use sources_listing")
     rows = sources_listing(categories, monitored, references)
-    columns = [c for c in rows.columns if c not in ("ord", "category", "title", "coverage", "monitored")]
+    heads = ("ord", "category", "title", "coverage")
+    columns = [c for c in rows.columns if c not in (*heads, "monitored")]
     one = F.struct(*columns)
 
     def nested(wanted: bool) -> Column:
         return F.array_sort(F.collect_list(F.when(
             F.col("id").isNotNull() & (F.col("monitored") == wanted), one)))
 
-    return rows.groupBy("ord", "category", "title", "coverage").agg(
-        nested(True).alias("monitored"), nested(False).alias("reference_only")).orderBy("ord")
+    part = F.coalesce(F.floor(F.col("pos") / NESTED), F.lit(0)).cast("long").alias("part")
+    return rows.groupBy(*heads, part).agg(
+        nested(True).alias("monitored"), nested(False).alias("reference_only")).orderBy("ord", "part")
 
 
 def run_status(runs: DataFrame, now) -> DataFrame:

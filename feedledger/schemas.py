@@ -21,10 +21,11 @@ _S, _D, _T, _I, _L = StringType(), DateType(), TimestampType(), IntegerType(), L
 ITEM = _struct(
     ("id", _S), ("source_id", _S), ("heading", _S), ("label", _S), ("link", _S),
     ("date", _D), ("date_basis", _S), ("category", _S), ("tags", ArrayType(_S)),
-    ("seq", _L),
+    ("seq", _L), ("at", _I),
 )
 STATE = _struct(
     ("id", _S), ("state", _S), ("updated_at", _T), ("read_at", _T), ("ignored_at", _T),
+    ("seq", _L),
 )
 TRANSITION = _struct(("id", _S), ("state", _S), ("ts", _T), ("seq", _L))
 CURSOR = _struct(
@@ -58,6 +59,7 @@ PAYLOAD = _struct(
     ("seq", _L),
 )
 ISSUE = _struct(("check", _S), ("message", _S), ("times", _L))
+FAILURE = _struct(("pos", _I), ("source_id", _S), ("line", _S))
 OUTCOME = _struct(
     ("source_id", _S), ("pos", _I), ("outcome", _S), ("items", _L), ("reason", _S),
     ("attempted_at", _T),

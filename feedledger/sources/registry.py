@@ -21,7 +21,10 @@ def _issue(name: str, message) -> list:
 
 
 def registry_issues(sources: DataFrame, references: DataFrame) -> DataFrame:
-    """Row shape, declared category, and ids unique over both registries."""
+    """Row shape, declared category, and ids unique over both registries.
+
+    Positions count per registry; monitored sources come before reference-only ones.
+    """
     names = [c for c, _ in CATEGORIES]
     common = ["pos", "id", "category", "declared_in", "bad"]
 
@@ -38,19 +41,25 @@ def registry_issues(sources: DataFrame, references: DataFrame) -> DataFrame:
         & ~F.coalesce(F.col("release_policy.include_draft"), F.lit(False)), F.lit(False)))
     reference = references.withColumn("bad", filled("id", "name") | ~F.coalesce(
         F.col("category").isin(*names) & canonical_url(F.col("url")).isNotNull(), F.lit(False)))
-    rows = monitored.select(*common).unionByName(reference.select(*common))
+    rows = (monitored.select(*common, F.lit(0).alias("listing"))
+            .unionByName(reference.select(*common, F.lit(1).alias("listing")))
+            .withColumn("claim", F.struct("listing", "pos", "declared_in")))
 
     shape = rows.where("bad").select(*_issue("source-shape", F.format_string(
-        'Invalid source config in "%s" for id "%s"', "declared_in", F.coalesce("id", F.lit("<unknown>")))))
-    misplaced = rows.where("NOT bad AND category <> declared_in").select(*_issue(
+        'Invalid source config in "%s" for id "%s"', F.coalesce("declared_in", F.lit("<unknown>")),
+        F.coalesce("id", F.lit("<unknown>")))))
+    misplaced = rows.where("NOT bad AND NOT category <=> declared_in").select(*_issue(
         "source-category", F.format_string(
             'Source "%s" declares category "%s" but is listed in the "%s" file',
-            "id", "category", "declared_in")))
+            "id", "category", F.coalesce("declared_in", F.lit("<unknown>")))))
     claims = rows.groupBy("id").agg(
-        F.count("*").alias("n"), F.min_by("declared_in", "pos").alias("first"),
-        F.max_by("declared_in", "pos").alias("last"))
-    twice = claims.where("n > 1").select(*_issue("source-duplicate-id", F.format_string(
-        'Duplicate source id "%s": declared in both "%s" and "%s"', "id", "first", "last")))
+        F.count("*").alias("n"), F.min("claim").alias("first"))
+    # The second claim is the smallest but one; only ids claimed twice are looked up again.
+    again = (rows.join(claims.where("n > 1").select("id", "first"), "id")
+             .where(F.col("claim") > F.col("first")).groupBy("id", "first").agg(F.min("claim").alias("second")))
+    twice = again.select(*_issue("source-duplicate-id", F.format_string(
+        'Duplicate source id "%s": declared in both "%s" and "%s"', "id",
+        F.coalesce("first.declared_in", F.lit("<unknown>")), F.coalesce("second.declared_in", F.lit("<unknown>")))))
     return shape.unionByName(misplaced).unionByName(twice)
 
 

@@ -42,7 +42,7 @@ def test_item_reaches_the_table_and_a_rerun_changes_nothing(store, spark):
     assert first.summary == "Collection run: 1 succeeded, 0 failed, 0 planned, 2 added"
     assert first.accepted
     before = store.directories["items"]
-    table = store.items().orderBy("seq").collect()
+    table = store.items().orderBy("seq", "at").collect()
     assert [r["link"] for r in table] == ["https://example.com/posts/1", "https://example.com/posts/2"]
     assert [r["state"] for r in store.read("states").collect()] == ["unread", "unread"]
 
@@ -241,6 +241,45 @@ def test_a_state_off_its_schema_rejects_the_run(store, spark):
     assert '[state-shape] 1 state row(s) have an invalid "state"' in result.rejection["detail"]
 
 
+def test_an_earlier_row_that_was_edited_or_lost_rejects_the_run(store, spark):
+    rows = sources(spark, {"id": "s"})
+    assert run(store, spark, payloads(spark, ("s", rss(("A", "/a", DAY), ("B", "/b", DAY)))), rows).accepted
+    [segment] = store.directories["items"]
+    before = spark.createDataFrame(store.read("items").collect(), store.read("items").schema)
+    a = before.where("heading = 'A'").first()["id"]
+    later = payloads(spark, ("s", rss(("C", "/c", DAY))))
+    for change, rest in (("modified", before.withColumn("heading", F.regexp_replace("heading", "A", "Edited"))),
+                         ("deleted", before.where("heading = 'B'"))):
+        store.write("items", rest, segment.split("/", 1)[1])
+        result = run(store, spark, later, rows)
+        assert result.rejection["reason"] == "active-item-mutation"
+        assert f'"{a}" was {change}' in result.rejection["detail"]
+    store.write("items", before, segment.split("/", 1)[1])
+    assert run(store, spark, later, rows).accepted
+    store.compact()
+    assert run(store, spark, later, rows).accepted
+
+
+def test_all_issues_and_failures_are_tables_of_the_run(store, spark):
+    odd = items(spark, *({"id": f"odd{i}", "seq": i} for i in range(150)))
+    seed(store, items=odd, states=odd.select("id", F.lit("unread").alias("state"), F.lit(NOW).cast("timestamp").alias("updated_at")))
+    rows = sources(spark, *({"id": f"s{i}"} for i in range(1001)))
+    result = run(store, spark, payloads(spark, ("s0", rss(("A", "/a", DAY)))), rows)
+    assert result.rejection["reason"] == "validation-failed" and "(150 issues in all)" in result.rejection["detail"]
+    assert store.read("issues").agg(F.sum("times")).first()[0] == 150
+    assert store.read("failures").count() == 1000 and "1000 failed" in result.summary
+    assert store.read("source_status").where("status = 'failing'").count() == 1000
+
+
+def test_positions_beyond_any_bound_keep_their_order(spark):
+    from feedledger.operators.classify import explode_entries
+    parsed = spark.range(2).select(
+        (F.lit(2**62) + F.col("id")).alias("seq"), F.lit(None).cast("string").alias("error"),
+        F.transform(F.sequence(F.lit(0), F.lit(1_048_581)), lambda i: F.struct(i.alias("n"))).alias("entries"))
+    got = explode_entries(parsed).agg(F.count("*"), F.count_distinct("seq", "at")).first()
+    assert tuple(got) == (2 * 1_048_582,) * 2
+
+
 def test_a_run_that_dies_before_publishing_leaves_nothing_behind(store, spark, monkeypatch):
     landed = payloads(spark, ("s", rss(("A", "/a", DAY))))
     rows = sources(spark, {"id": "s"})

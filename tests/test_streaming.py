@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from feedledger import schemas as S
+from feedledger.plans.reading import change_states
 from feedledger.plans.store import Store
 from feedledger.streaming.micro_batches import (
     collect_stream, file_stream, first_within_overlap, transition_stream,
@@ -36,6 +37,45 @@ def test_runs_per_micro_batch(spark, tmp_path):
     assert Store(spark, root).version == before
 
 
+def test_the_cut_of_a_backlog_decides_nothing(spark, tmp_path):
+    one = payloads(spark, ("s", rss(("Jan", "/j", "5 Jan 2026 10:00:00 GMT"), ("U0", "/u0", None))),
+                   ("s", rss(("Jan b", "/jb", "6 Jan 2026 10:00:00 GMT"), ("U", "/u", None))),
+                   ("s", rss(("New", "/n", DAY))))
+    rows, none, seen = sources(spark, {"id": "s"}), references(spark), {}
+    for cut in (1, 3):
+        folder, root = str(tmp_path / f"landed{cut}"), str(tmp_path / f"store{cut}")
+        for i in range(cut):
+            land(one if cut == 1 else one.where(F.col("seq") == i), folder)
+        args = (root, file_stream(spark, folder, S.PAYLOAD, files_per_batch=1), rows, none)
+        collect_stream(*args, lambda b: "2026-02-01 00:00:00", str(tmp_path / f"log{cut}"))
+        store = Store(spark, root)
+        seen[cut] = (sorted(r["heading"] for r in store.items().collect()), store.read("known_undated").count())
+        # What lands after the backlog is no first sync.
+        land(payloads(spark, ("s", rss(("U", "/u", None), ("V", "/v", None)))).withColumn("seq", F.lit(9).cast("long")), folder)
+        collect_stream(*args, lambda b: "2026-02-02 00:00:00", str(tmp_path / f"log{cut}"))
+        seen[cut] += (sorted(r["heading"] for r in store.refresh().items().collect()),)
+    assert seen[1] == seen[3] == (["Jan", "Jan b", "New"], 2, ["Jan", "Jan b", "New", "V"])
+
+
+def test_transitions_in_any_order_of_batches(spark, tmp_path):
+    rows = [("a", "unread", "2026-01-01 00:00:00", 1), ("a", "read", "2026-01-05 00:00:00", 2),
+            ("b", "read", "2026-01-03 00:00:00", 3), ("b", "ignored", "2026-01-02 00:00:00", 4),
+            ("b", "ignored", "2026-01-04 00:00:00", 5), ("c", "read", "2026-01-01 00:00:00", 6),
+            ("c", "unread", "2026-01-01 00:00:00", 7)]
+    want = brute_fold(rows)
+    for name, order in (("up", range(7)), ("down", range(6, -1, -1)), ("mixed", (4, 1, 6, 3, 0, 5, 2))):
+        root = str(tmp_path / name)
+        store = Store(spark, root)
+        store.bootstrap()
+        store.publish({"items": store.write("items", items(spark, {"id": "a"}, {"id": "b"}, {"id": "c"}), "run_id=0")})
+        for i in order:
+            change_states(store, transitions(spark, rows[i]))
+        got = {r["id"]: tuple(None if v is None else str(v) for v in (r["state"], r["updated_at"], r["read_at"], r["ignored_at"]))
+               for r in store.read("states").collect()}
+        assert got == want, name
+        assert sorted(r["id"] for r in store.items().collect()) == ["a", "c"]
+
+
 def test_transitions_over_batches(spark, tmp_path):
     root, folder = str(tmp_path / "store"), str(tmp_path / "moves")
     store = Store(spark, root)

@@ -43,12 +43,29 @@ def test_far_pages_equal_plain_offsets(spark, same_day, monkeypatch):
                            "date": "2026-01-05" if same_day else f"2026-01-{1 + i % 9:02d}"} for i in range(400)))
     none = no_states(spark)
     plain = [r["id"] for p in (3, 6, 8, 9) for r in views.item_page(rows, none, page=p).collect()]
-    monkeypatch.setattr(views, "DEEP_OFFSET", 10)
-    monkeypatch.setattr(views._from_near, "__defaults__", (10, 7))
+    order = (F.desc_nulls_last("date"), "seq", "id")
+    assert plain == [r["id"] for n in (100, 250, 350, 400) for r in
+                     rows.orderBy(*order).select("id").collect()[n:n + 50]]
+    monkeypatch.setattr(views, "NEAR", 10)
+    monkeypatch.setattr(views, "PARTS", 7)
     far = [r["id"] for p in (3, 6, 8, 9) for r in views.item_page(rows, none, page=p).collect()]
     assert far == plain and len(far) == 150
 
 
+def test_undated_rows_are_on_the_last_pages_however_far(spark, monkeypatch):
+    rows = items(spark, *({"id": f"{i:04d}", "seq": i // 40, "date": None if i % 2 else "2026-01-05"} for i in range(400)))
+    rows = rows.withColumn("at", (F.col("id").cast("int") % 40)).where("id < '0380'")
+    none = no_states(spark)
+    expected = [f"{i:04d}" for i in (*range(0, 380, 2), *range(1, 380, 2))]
+    for near in (1000, 5):
+        monkeypatch.setattr(views, "NEAR", near)
+        got = [r["id"] for p in range(1, 9) for r in views.item_page(rows, none, page=p).collect()]
+        assert got == expected
+    last = views.item_page(rows, none, page=5).collect()[-1]
+    after = views.items_after(rows, none, last["date"], last["seq"], last["id"], at=last["at"]).collect()
+    assert [r["id"] for r in after] == expected[250:300]
+
+
 def test_keyset_continues_a_page(spark):
     rows, none = many(spark, 120), no_states(spark)
     last = views.item_page(rows, none).collect()[-1]
@@ -56,7 +73,7 @@ def test_keyset_continues_a_page(spark):
     assert [r["id"] for r in after] == [r["id"] for r in views.item_page(rows, none, page=2).collect()]
 
 
-def test_sources_views(spark):
+def test_sources_views(spark, monkeypatch):
     registry = sources(spark, {"id": "a"}, {"id": "b", "category": "devops-cloud", "status": "planned"})
     status = spark.createDataFrame([("a", "failing", None, None, None, "HTTP 503")],
                                    "source_id STRING, status STRING, last_success_at TIMESTAMP, "
@@ -69,8 +86,12 @@ def test_sources_views(spark):
     assert nested[0]["monitored"][0]["failure_reason"] == "HTTP 503"
     assert [r["id"] for r in nested[0]["reference_only"]] == ["ref"]
     assert nested[1]["monitored"] == [] and nested[1]["coverage"]["total"] == 0
-    with pytest.raises(ValueError):
-        views.sources_by_category(dim, monitored, listed, max_sources=1)
+    with monkeypatch.context() as m:
+        m.setattr(views, "NESTED", 1)
+        more = sources(spark, {"id": "a"}, {"id": "b"}, {"id": "c"})
+        parts = views.sources_by_category(dim, views.monitored_sources(more, status), listed).collect()
+        assert [(r["part"], [x["id"] for x in r["monitored"]]) for r in parts[:3]] == [(0, ["a"]), (1, ["b"]), (2, ["c"])]
+        assert len(parts) == 9
     assert views.sources_listing(dim, monitored, listed).count() == 8
     link = views.deep_link(monitored, dim, "planned").first()
     assert (link["category"], link["source_id"]) == ("devops-cloud", "b")
