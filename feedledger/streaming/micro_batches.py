@@ -5,8 +5,9 @@ the checkpoint remembers what was read, and a batch that is repeated after a fai
 its ids already there. Rules with a bound per source (the window, the undated baseline,
 tombstones) are applied inside the batch: one global watermark cannot express them.
 
-How files are cut into batches decides nothing: all batches of a drain count windows and
-first syncs from the cursors it started with, and of two transitions the later one counts.
+Windows, first syncs and states do not depend on how files are cut into batches: all batches
+of a drain count from the cursors it started with, and of two transitions the later one
+counts. Which source an item belongs to is decided by the first batch that brings it.
 """
 
 import hashlib
