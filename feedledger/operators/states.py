@@ -5,10 +5,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import is_dead_tombstone, is_read_expired
-from .joins import BROADCAST_ROWS, lookup_join
+from .joins import SALTS, lookup_join
 
 
-def fold_transitions(transitions: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def fold_transitions(transitions: DataFrame, salts: int = SALTS) -> DataFrame:
     """Net effect per id: ``id, state, updated_at, read_at, ignored_at``.
 
     ``ignored`` ends an item, so whatever comes after the first one does not count. Where
@@ -18,7 +18,7 @@ def fold_transitions(transitions: DataFrame, max_rows: int = BROADCAST_ROWS) ->
     """
     at = F.struct("ts", "seq")
     cuts = (transitions.where("state = 'ignored'").groupBy("id").agg(F.min(at).alias("cut")))
-    counted = lookup_join(transitions, cuts, ["id"], "left", ["ts", "seq"], max_rows).where(
+    counted = lookup_join(transitions, cuts, ["id"], "left", ["ts", "seq"], salts).where(
         F.col("cut").isNull() | (at <= F.col("cut")))
 
     def latest(state: str) -> Column:

@@ -25,7 +25,7 @@ from ..operators.states import with_fate
 from ..session import at_least_parallel
 from ..sources.adapters import AdapterRegistry, default_registry, parse_payloads
 from ..sources.registry import registry_issues, unsupported_adapters
-from ..sources.repositories import pulls_adding_files, with_added_files
+from ..sources.repositories import with_added_files
 from .store import Store
 from .summary import failure_lines, run_summary
 
@@ -54,15 +54,14 @@ def landed_payloads(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     return lookup_join(payloads, wanted, ["source_id"], "inner", ["seq"])
 
 
-def collected_items(parsed: DataFrame, landed: DataFrame, stages: DataFrame,
-                    registry: AdapterRegistry, now) -> tuple[DataFrame, DataFrame]:
+def collected_items(parsed: DataFrame, stages: DataFrame, registry: AdapterRegistry, now) -> tuple[DataFrame, DataFrame]:
     """``(items within scope, observed lifecycle stages)`` from parsed payloads."""
     entries = classify.explode_entries(parsed).withColumn("slug", F.col("entry.slug"))
     checked = registry.named(needs_files=True)
     snapshots = registry.named(snapshot=True)
     plain = entries.where(~F.col("adapter").isin(*checked, *snapshots))
     if checked:
-        adding = pulls_adding_files(landed.where(F.col("adapter").isin(*checked)))
+        adding = parsed.where("adding IS NOT NULL").select("source_id", F.col("adding").alias("slug")).distinct()
         plain = plain.unionByName(with_added_files(
             entries.where(F.col("adapter").isin(*checked)), adding))
     items = classify.to_items(plain, registry, now)
@@ -150,6 +149,14 @@ def ledger_changes(ledger: DataFrame) -> DataFrame:
     return ledger.where("change IS NOT NULL").select("id", "change")
 
 
+def changed_states(ledger: DataFrame) -> DataFrame:
+    """States that a run adds, and a row without a state for each that it takes away."""
+    synced = F.col("fate") == "synced"
+    return ledger.where("fate IN ('synced', 'pruned', 'expired')").select(
+        "id", *[F.when(synced, F.col(n)).alias(n)
+                for n in ("state", "updated_at", "read_at", "ignored_at", "seq")])
+
+
 def shape_issues(kind: str, rows: DataFrame, expectations: dict) -> DataFrame:
     """Fields of rows about to be written that break their schema, with how many rows do."""
     broken = checks.violations(rows, expectations).where("violations > 0")
@@ -185,7 +192,7 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     landed = landed_payloads(at_least_parallel(payloads, "seq"), sources)
     parsed = store.stage(parse_payloads(landed, registry).drop("body"), "parsed")
     stages, cursors = store.read("lifecycle_stage"), store.read("cursors")
-    scoped, observed = collected_items(parsed, landed, stages, registry, now)
+    scoped, observed = collected_items(parsed, stages, registry, now)
     scoped = store.stage(scoped, "collected")
     windowed = increment.within_window(scoped, increment.source_bounds(
         sources, cursors if since is None else since), now)
@@ -211,7 +218,8 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
 
     # Sync, clean up and check on one join of items with states.
     def stage_added_and_ledger() -> tuple[DataFrame, DataFrame]:
-        added = store.stage(not_in_history(unique, existing, ["id"])
+        batch = store.stage(unique, "unique")
+        added = store.stage(not_in_history(batch, existing, ["id"])
                             .select(*classify.ITEM_COLUMNS), "added")
         return added, store.stage(item_ledger(existing, added, store.prints(), store.read("states"), now), "ledger")
 
@@ -271,7 +279,7 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
         "items": lambda: write("items", stay, grows=True),
         "prints": lambda: write("prints", prints, grows=True),
         "removed": lambda: write("removed", removed, grows=True),
-        "states": lambda: write("states", states),
+        "states": lambda: store.write_states(changed_states(ledger)),
         "cursors": lambda: write("cursors", new_cursors),
         "known_undated": lambda: write("known_undated", fresh.select("source_id", "id"), grows=True),
     }

@@ -12,21 +12,26 @@ from .store import Store
 def change_states(store: Store, transitions: DataFrame) -> None:
     """Fold a batch of transitions into the store as one version.
 
-    Items that become ignored are listed as removed; both tables change in the same
+    Only items and states of the batch's ids are looked up, and only their states are
+    written. Items that become ignored are listed as removed; both tables change in the same
     version, so nobody sees an ignored item that is still active.
     """
     store.bootstrap()
-    name = f"run_id={store.version}"
-    items = store.stored_items()
-    _, states = apply_transitions(items, store.read("states"), transitions)
-    staged = store.stage(states, "states")
-    gone = (staged.where("state = 'ignored'").join(items.select("id"), "id", "left_semi")
+    touched = transitions.select("id").distinct()
+    items = store.stored_items().join(touched, "id", "left_semi")
+    states = store.read("states").join(touched, "id", "left_semi")
+    _, changed = apply_transitions(items, states, transitions)
+    segments = store.write_states(changed)
+    if segments == store.directories.get("states"):
+        return  # nothing of the batch counts
+    gone = (store.scan("states", segments[-1:]).where("state = 'ignored'")
+            .join(items.select("id"), "id", "left_semi")
             .select("id", F.lit(store.version).cast("long").alias("run_id")))
-    written = store.write("removed", gone, name)
+    written = store.write("removed", gone, f"run_id={store.version}")
     removed = store.directories.get("removed", [])
     if not store.is_empty("removed", written):
         removed = removed + written
-    store.publish({"states": store.write("states", staged, name), "removed": removed})
+    store.publish({"states": segments, "removed": removed})
 
 
 def set_state(store: Store, item_id: str, state: str, now) -> bool:

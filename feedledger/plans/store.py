@@ -1,31 +1,35 @@
 """Where tables live between runs.
 
-A table is a list of directories of immutable parquet files; a version is one row that
-names the directories of every table. A run writes its directories first and appends the
-version row last, so readers see all of a run or none of it, and a job that dies half-way
-leaves only directories nobody refers to. There is one writer at a time.
+A table is a list of directories of immutable parquet files; a version is one small file
+below a folder of its number that names the directories of every table. A run writes its
+directories first and the version last, so readers see all of a run or none of it, and a job
+that dies half-way leaves only directories nobody refers to. There is one writer at a time.
 
 Items grow by a segment per run and are never rewritten. Items that leave are listed in
-``removed``, which is subtracted when items are read and folded in by ``compact``.
+``removed``, which is subtracted when items are read. States grow by segments of what changed,
+each row over those of the same id in earlier segments; a row without a state takes it away.
+``compact`` folds all segments into one, ``vacuum`` deletes what no kept version names.
 """
 
 from dataclasses import dataclass, field
 
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .. import schemas as S
-from ..operators.joins import fits_broadcast
 
 _RUN = StructField("run_id", LongType())
 STORED_ITEM = StructType(S.ITEM.fields + [_RUN])
+#: A state and the position of its segment.
+STORED_STATE = StructType(S.STATE.fields + [_RUN])
 REMOVED = StructType([StructField("id", StringType()), _RUN])
 #: What an item looked like when it was published, to tell later whether it still does.
 PRINT = StructType([StructField("id", StringType()), StructField("digest", LongType()), _RUN])
 
 TABLES = {
-    "items": STORED_ITEM, "removed": REMOVED, "states": S.STATE, "cursors": S.CURSOR,
+    "items": STORED_ITEM, "removed": REMOVED, "states": STORED_STATE, "cursors": S.CURSOR,
     "known_undated": S.KNOWN_UNDATED, "lifecycle_stage": S.LIFECYCLE_STAGE,
     "source_status": S.SOURCE_STATUS, "runs": S.RUN, "prints": PRINT,
     # Of the newest run only: every issue found and every source that failed.
@@ -33,7 +37,7 @@ TABLES = {
 }
 #: Tables whose directories are partitions: ``run_id=<n>``, then these columns.
 PARTITIONED = {"items": ["category"]}
-_VERSION = "version BIGINT, directories MAP<STRING, ARRAY<STRING>>"
+_VERSION = "directories MAP<STRING, ARRAY<STRING>>, version BIGINT"
 
 
 @dataclass
@@ -49,13 +53,19 @@ class Store:
     def _pointer(self) -> str:
         return f"{self.root}/_versions"
 
+    def _versions(self) -> DataFrame:
+        return self.spark.read.schema(_VERSION).parquet(self._pointer())
+
     def refresh(self, version: int | None = None) -> "Store":
-        """Load the newest version or the given one; an empty root is version 0."""
+        """Load the newest version or the given one; an empty root is version 0.
+
+        The number is part of a file's path, so only the file of that version is read.
+        """
         try:
-            versions = self.spark.read.schema(_VERSION).parquet(self._pointer())
-            newest = ((versions if version is None else versions.where(F.col("version") == version))
-                      .agg(F.max_by(F.struct("version", "directories"), "version").alias("v"))
-                      .first()["v"])
+            versions = self._versions()
+            if version is None:
+                version = versions.agg(F.max("version")).first()[0]
+            newest = versions.where(F.col("version") == version).first()
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -64,7 +74,7 @@ class Store:
         self.directories = dict(newest["directories"]) if newest else {}
         return self
 
-    def bootstrap(self, now=S.NEVER_RUN) -> None:
+    def bootstrap(self) -> None:
         """Create whatever is missing, empty; a run at the epoch means never run."""
         if self.version:
             return
@@ -77,7 +87,26 @@ class Store:
         self.publish({"runs": self.write("runs", never, "run_id=0")})
 
     def read(self, table: str) -> DataFrame:
-        return self.scan(table, self.directories.get(table, []))
+        """A table of this version; of states the newest of each id."""
+        paths = self.directories.get(table, [])
+        return self._states(paths) if table == "states" else self.scan(table, paths)
+
+    def _states(self, paths: list[str]) -> DataFrame:
+        """The first segment is the base: it is read in place, less what later ones hold."""
+        base, later = self.scan("states", paths[:1]), self.scan("states", paths[1:])
+        if len(paths) > 1:
+            row = F.struct(*S.STATE.fieldNames())
+            newest = later.groupBy("id").agg(F.max_by(row, "run_id").alias("s")).select("s.*")
+            base = base.join(newest, "id", "left_anti").drop("run_id").unionByName(newest)
+        return base.where("state IS NOT NULL").select(*S.STATE.fieldNames())
+
+    def write_states(self, changed: DataFrame) -> list[str]:
+        """Write a segment of changed states and return the directories of all segments."""
+        before = self.directories.get("states", [])
+        # Segments are numbered on, as several may be written between two runs.
+        number = F.lit(len(before)).cast("long").alias("run_id")
+        written = self.write("states", changed.drop("run_id").select("*", number), f"version={self.version + 1}")
+        return before + ([] if before and self.is_empty("states", written) else written)
 
     def is_empty(self, table: str, directories: list[str]) -> bool:
         return self.scan(table, directories).isEmpty()
@@ -102,8 +131,6 @@ class Store:
         if not self.directories.get("removed"):
             return items
         removed = self.read("removed").groupBy("id").agg(F.max("run_id").alias("_until"))
-        if fits_broadcast(removed):
-            removed = F.broadcast(removed)
         gone = (items["id"] == removed["id"]) & (items["run_id"] < removed["_until"])
         return items.join(removed, gone, "left_anti")
 
@@ -137,13 +164,32 @@ class Store:
     def publish(self, changed: dict[str, list[str]]) -> None:
         """Append the next version: ``changed`` replaces those tables' directories."""
         directories = {**self.directories, **changed}
-        row = self.spark.createDataFrame([(self.version + 1, directories)], _VERSION)
-        row.coalesce(1).write.mode("append").parquet(self._pointer())
+        row = self.spark.createDataFrame([(directories,)], "directories MAP<STRING, ARRAY<STRING>>")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self._pointer()}/version={self.version + 1}")
         self.version, self.directories = self.version + 1, directories
 
     def compact(self) -> None:
-        """Fold removals and segments of the item table into one segment."""
+        """Fold removals and segments of items and states into one segment each."""
         name = f"run_id={self.version}"
         run = F.lit(self.version).cast("long").alias("run_id")
         prints = self.write("prints", self.prints().select("id", "digest", run), name)
-        self.publish({"items": self.write("items", self.stored_items(), name), "prints": prints, "removed": []})
+        states = self.write("states", self.read("states"), f"version={self.version + 1}")
+        self.publish({"items": self.write("items", self.stored_items(), name), "prints": prints, "removed": [],
+                      "states": states})
+
+    def vacuum(self, keep: int = 10) -> list[str]:
+        """Delete versions before the ``keep`` newest, the directories that only they name and
+        what runs staged; returns what was deleted. Not while a run is under way."""
+        kept = self._versions().where(F.col("version") > self.version - keep).collect()
+        named = {d for v in kept for paths in v["directories"].values() for d in paths}
+        numbers = {f"_versions/version={v['version']}" for v in kept}
+        plain = "file://" + self.root[5:] if self.root.startswith("file:/") and self.root[:7] != "file://" else self.root
+        store, root = fs.FileSystem.from_uri(plain)
+        gone = []
+        for table in [*TABLES, "_versions", "_staging"]:
+            for entry in store.get_file_info(fs.FileSelector(f"{root}/{table}", allow_not_found=True)):
+                name = f"{table}/{entry.base_name}"
+                if entry.type == fs.FileType.Directory and name not in named | numbers:
+                    store.delete_dir(entry.path)
+                    gone.append(name)
+        return sorted(gone)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .entries import ENTRIES, parsed, quoted, with_canonical_links
 from .feeds import parse_feed
 from .json_api import parse_json_api
-from .repositories import is_files_payload, parse_pulls, parse_releases
+from .repositories import added_to, is_files_payload, parse_pulls, parse_releases
 from .sections import parse_stage_document
 from .web_pages import parse_web_page
 
@@ -69,10 +69,11 @@ def default_registry() -> AdapterRegistry:
 
 
 def parse_payloads(landed: DataFrame, registry: AdapterRegistry) -> DataFrame:
-    """Add ``entries`` and ``error`` to payloads that already carry their source columns.
+    """Add ``entries``, ``error`` and ``adding`` to payloads that already carry their source
+    columns.
 
     304 is a success without rows, any other non-2xx status an error. A changed-files
-    payload has no entries of its own.
+    payload has no entries of its own; ``adding`` is the pull request that it confirms.
     """
     body, url = F.col("body"), F.col("url")
     filters, policy = F.col("filters"), F.col("release_policy")
@@ -94,6 +95,9 @@ def parse_payloads(landed: DataFrame, registry: AdapterRegistry) -> DataFrame:
         result = result.when(branch, entries)
     result = result.otherwise(parsed(
         F.lit(None).cast(ENTRIES), quoted('Unsupported adapter "', F.col("adapter"), '"')))
+    checked = registry.named(needs_files=True)
+    adding = F.when(F.col("adapter").isin(*checked), added_to(body, url)) if checked \
+        else F.lit(None).cast("string")
     return (landed.withColumn("_parsed", result)
-            .withColumns({"entries": F.col("_parsed.entries"), "error": F.col("_parsed.error")})
+            .withColumns({"entries": F.col("_parsed.entries"), "error": F.col("_parsed.error"), "adding": adding})
             .drop("_parsed"))

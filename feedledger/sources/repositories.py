@@ -54,16 +54,17 @@ def is_files_payload(url: Column) -> Column:
     return url.rlike(FILES_URL)
 
 
-def pulls_adding_files(file_payloads: DataFrame, folder: str = PROPOSAL_FOLDER) -> DataFrame:
-    """``(source_id, slug)`` of pull requests that add at least one file below ``folder``.
+def added_to(body: Column, url: Column, folder: str = PROPOSAL_FOLDER) -> Column:
+    """The number of the pull request whose changed files these are, if it adds at least one
+    file below ``folder``; else NULL. The files are looked through inside the payload."""
+    added = F.exists(json_rows(body, _FILES), lambda f: (f["status"] == "added") & f["filename"].startswith(folder))
+    return F.when(is_files_payload(url), F.when(added, F.regexp_extract(url, FILES_URL, 1)))
 
-    The existential is evaluated inside each payload, so one row per payload leaves it.
-    """
-    files = json_rows(F.col("body"), _FILES)
-    added = F.exists(files, lambda f: (f["status"] == "added") & f["filename"].startswith(folder))
-    return (file_payloads.where(is_files_payload(F.col("url")) & added)
-            .select("source_id", F.regexp_extract("url", FILES_URL, 1).alias("slug"))
-            .distinct())
+
+def pulls_adding_files(file_payloads: DataFrame, folder: str = PROPOSAL_FOLDER) -> DataFrame:
+    """``(source_id, slug)`` of pull requests that add at least one file below ``folder``."""
+    return (file_payloads.select("source_id", added_to(F.col("body"), F.col("url"), folder).alias("slug"))
+            .where("slug IS NOT NULL").distinct())
 
 
 def with_added_files(pulls: DataFrame, adding: DataFrame) -> DataFrame:

@@ -38,23 +38,35 @@ def test_merge_existing_wins_and_first_of_batch(spark):
     assert sorted(r["heading"] for r in merge.merge_items(existing, added).collect()) == ["old", "one"]
 
 
+def joined_both_ways(spark):
+    """Once with broadcasts allowed, once without; yields the join that plans then show."""
+    for threshold, plan in (("10MB", "BroadcastHashJoin"), ("-1", "SortMergeJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            yield plan
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_history_join_is_the_same_on_both_paths(spark):
     batch = spark.range(100).select(F.col("id").cast("string").alias("id"))
     history = spark.range(0, 1000, 3).select(F.col("id").cast("string").alias("id"))
-    small = joins.not_in_history(batch, history, ["id"])
-    large = joins.not_in_history(batch, history, ["id"], max_rows=10)
-    assert sorted(r["id"] for r in small.collect()) == sorted(r["id"] for r in large.collect())
-    assert small.count() == 66
+    for plan in joined_both_ways(spark):
+        got = joins.not_in_history(batch, history, ["id"])
+        assert plan in got._jdf.queryExecution().toString()
+        assert sorted(int(r["id"]) for r in got.collect()) == [i for i in range(100) if i % 3]
 
 
 def test_lookup_join_is_the_same_on_both_paths(spark):
     facts = spark.range(1000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
         F.concat(F.lit("s"), F.col("id") % 50)).alias("source_id"), "id")
     lookup = facts.select("source_id").distinct().where("source_id <> 's1'").withColumn("x", F.length("source_id"))
-    for how in ("inner", "left", "left_anti", "left_semi"):
-        a = joins.lookup_join(facts, lookup, ["source_id"], how, ["id"])
-        b = joins.lookup_join(facts, lookup, ["source_id"], how, ["id"], max_rows=3)
-        assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
+    for plan in joined_both_ways(spark):
+        for how in ("inner", "left", "left_anti", "left_semi"):
+            got = joins.lookup_join(facts, lookup, ["source_id"], how, ["id"])
+            assert plan in got._jdf.queryExecution().toString()
+            want = facts.join(lookup, ["source_id"], how)
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
 def test_window_and_baseline(spark):
@@ -110,8 +122,8 @@ def test_transition_fold_against_brute_force(spark):
         rows.append(("hot" if hot else f"u{rng.randrange(25)}",
                      rng.choices(["read", "unread", "ignored"], [5, 5, 0 if hot and seq < 400 else 1])[0],
                      f"2026-01-{rng.randrange(1, 29):02d} 00:00:00", seq))
-    for max_rows in (100_000, 3):
-        folded = fold_transitions(transitions(spark, *rows), max_rows)
+    for _ in joined_both_ways(spark):
+        folded = fold_transitions(transitions(spark, *rows), salts=3)
         got = {r["id"]: tuple(None if x is None else str(x) for x in (r["state"], r["updated_at"], r["read_at"], r["ignored_at"]))
                for r in folded.collect()}
         assert got == brute_fold(rows)

@@ -165,3 +165,29 @@ def test_setting_the_state_of_one_item(spark, tmp_path):
     assert not reading.set_state(store, b, "read", "2026-02-04 00:00:00")
     assert reading.may_publish(store.items(), store.read("states"), "2026-02-04 00:00:00")
     assert not reading.may_publish(store.items(), store.read("states"), "2026-02-05 00:00:00")
+
+
+def test_a_state_change_writes_its_own_rows_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.bootstrap()
+    rows = items(spark, *({"key": f"k{i}"} for i in range(2000)))
+    store.publish({"items": store.write("items", rows, "run_id=0"), "states": store.write("states", rows.select(
+        "id", F.lit("unread").alias("state"), F.lit(NOW).cast("timestamp").alias("updated_at")), "run_id=0")})
+    picked = [r["id"] for r in rows.orderBy("id").limit(3).collect()]
+    for day, (the_id, state) in enumerate(zip(picked, ("read", "ignored", "read"), strict=True)):
+        assert reading.set_state(store, the_id, state, f"2026-02-0{day + 2} 00:00:00")
+    assert [store.scan("states", [p]).count() for p in store.directories["states"]] == [2000, 1, 1, 1]
+    before = sorted(map(tuple, store.read("states").collect()))
+    assert len(before) == 2000 and sum(r[1] == "read" for r in before) == 2
+    assert store.read("items").count() == 2000 and store.items().count() == 1999
+
+    store.compact()
+    assert sorted(map(tuple, store.read("states").collect())) == before and len(store.directories["states"]) == 1
+    older = Store(spark, store.root).refresh(store.version - 1)
+    assert sorted(map(tuple, older.read("states").collect())) == before
+    gone = store.vacuum(keep=1)
+    assert "states/run_id=0" in gone and f"_versions/version={store.version}" not in gone
+    again = Store(spark, store.root)
+    assert again.version == store.version and sorted(map(tuple, again.read("states").collect())) == before
+    assert again.items().count() == 1999 and again.vacuum(keep=1) == []
+    assert reading.set_state(again, picked[0], "unread", "2026-02-09 00:00:00")
