@@ -30,7 +30,7 @@ def _entries(rows: DataFrame, key: str, parse, filters: Column | None = None,
         result = with_canonical_links(result, F.col("url"))
     # A filter on the error would be pushed below the parser and run it a second time.
     usable = F.when(F.col("r.error").isNull(), F.col("r.entries"))
-    return at_least_parallel(rows, "body").withColumn("r", result).select(key, F.posexplode(usable).alias("at", "e"))
+    return at_least_parallel(rows, key).withColumn("r", result).select(key, F.posexplode(usable).alias("at", "e"))
 
 
 def _tags() -> Column:

@@ -1,5 +1,7 @@
 """Reading-state transitions, cleanup, and the data checks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import query, table, wall
@@ -9,6 +11,10 @@ from .inputs import (
 )
 from ...operators import checks
 from ...operators.states import apply_transitions, clean_up, fold_transitions
+from ...schemas import STATE
+from ...session import work_folder
+from ..reading import change_states
+from ..store import Store
 
 _FOLD = f"""
   t AS ({EVENT_TRANSITIONS}),
@@ -47,18 +53,35 @@ _APPLIED = f"""{_FOLD},
     FROM old o FULL JOIN hit h ON o.id = h.id)"""
 
 
-@query(f"""WITH {_APPLIED}
+_APPLIED_STATES = f"""WITH {_APPLIED}
   SELECT id, CASE WHEN cut IS NOT NULL THEN 'ignored' WHEN keeps THEN o_state ELSE h_state END AS state,
          CASE WHEN cut IS NOT NULL THEN cut WHEN keeps THEN o_at ELSE h_at END AS updated_at,
          greatest(CASE WHEN cut IS NULL OR o_read <= cut THEN o_read END,
                   CASE WHEN cut IS NULL OR h_read <= cut THEN h_read END) AS read_at,
-         cut AS ignored_at FROM merged""")
+         cut AS ignored_at FROM merged"""
+
+
+@query(_APPLIED_STATES)
 def applied_states(spark, folder):
     _, states = apply_transitions(_bought_items(spark, folder), label_states(spark, folder),
                                   event_transitions(spark, folder))
     return _times(states)
 
 
+@query(_APPLIED_STATES)
+def stored_state_changes(spark, folder):
+    """The same against a store: a segment of changed states over the earlier ones."""
+    store = Store(spark, f"{work_folder(spark)}/changes-{uuid.uuid4().hex}")
+    store.bootstrap()
+    items = _bought_items(spark, folder).withColumn("category", F.lit("all"))
+    earlier = label_states(spark, folder)
+    earlier = earlier.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in STATE if f.name in earlier.columns])
+    store.publish({"items": store.write("items", items, "run_id=0"),
+                   "states": store.write("states", earlier, "run_id=0")})
+    change_states(store, event_transitions(spark, folder))
+    return _times(store.read("states"))
+
+
 @query(f"""WITH {_APPLIED}
   SELECT id FROM active WHERE id NOT IN (SELECT id FROM hit WHERE state = 'ignored')""")
 def applied_items(spark, folder):

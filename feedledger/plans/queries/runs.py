@@ -197,3 +197,25 @@ def collect_orders(spark, folder):
         collect_run(store, landed, sources, none, now, allow_large_change=True)
     return store.items().join(store.read("states"), "id").select(
         "id", "source_id", "heading", "label", "date", "date_basis", "state")
+
+
+@query(f"""
+  WITH even AS (SELECT count(*) AS n FROM orders
+                WHERE o_orderstatus <> 'P' AND o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderkey % 2 = 0),
+  wanted AS (SELECT count(*) AS n FROM ({COLLECTED}))
+  SELECT 'rejection' AS fact, 'volume-guard: ' || (wanted.n - even.n) || ' items added, exceeds threshold of 0' AS value
+  FROM wanted, even
+  UNION ALL SELECT 'items', CAST(n AS VARCHAR) FROM even
+  UNION ALL SELECT 'active', CAST(count(DISTINCT o_orderpriority) AS VARCHAR) FROM orders""")
+def rejected_run(spark, folder):
+    """A second run that may add nothing: its rejection and status are published, no items."""
+    store = Store(spark, f"{work_folder(spark)}/rejected-{uuid.uuid4().hex}")
+    payloads, sources = order_payloads(spark, folder), order_sources(spark, folder)
+    none = spark.createDataFrame([], REFERENCE_SOURCE)
+    collect_run(store, payloads.where("seq % 2 = 0"), sources, none, ORDERS_NOW, allow_large_change=True)
+    collect_run(store, payloads, sources, none, "2001-08-03 00:00:00", volume_limit=0)
+    newest = store.read("runs").agg(F.max_by("rejected", "run_id").alias("r"))
+    n = F.count("*").cast("string").alias("value")
+    return (newest.select(F.lit("rejection").alias("fact"), F.concat_ws(": ", "r.reason", "r.detail").alias("value"))
+            .unionByName(store.items().agg(n).select(F.lit("items").alias("fact"), "value"))
+            .unionByName(store.read("source_status").groupBy(F.col("status").alias("fact")).agg(n)))
