@@ -44,12 +44,20 @@ def importable(items: DataFrame, fresh: DataFrame) -> DataFrame:
             .unionByName(fresh.where(~F.col("is_initial"))))
 
 
-def split_undated(items: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Undated rule: ``(items to import, newly known (source_id, id))``.
+def decide_undated(items: DataFrame, known: DataFrame) -> DataFrame:
+    """Undated rule: items with ``imported`` and ``recorded``, those known already left out.
 
     Dated items pass. An undated item is decided once: recorded and withheld on the
     source's first sync, imported and recorded afterwards.
     """
+    dated = items.where(F.col("date_basis") != "discovered")
+    return (dated.withColumns({"imported": F.lit(True), "recorded": F.lit(False)})
+            .unionByName(fresh_undated(items, known).withColumns(
+                {"imported": ~F.col("is_initial"), "recorded": F.lit(True)})))
+
+
+def split_undated(items: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(items to import, newly known (source_id, id))`` of :func:`decide_undated`."""
     fresh = fresh_undated(items, known)
     return importable(items, fresh), fresh.select("source_id", "id")
 

@@ -112,10 +112,8 @@ def orders_in_window(spark, folder):
   UNION ALL SELECT id, source_id, NOT is_initial, TRUE FROM undated""")
 def undated_baseline(spark, folder):
     windowed = increment.within_window(order_items(spark, folder), order_bounds(spark, folder), ORDERS_NOW)
-    imported, recorded = increment.split_undated(windowed, order_known(spark, folder))
-    return (imported.select("id", "source_id", F.lit(True).alias("imported"))
-            .join(recorded.withColumn("recorded", F.lit(True)), ["id", "source_id"], "full")
-            .na.fill(False, ["imported", "recorded"]))
+    return increment.decide_undated(windowed, order_known(spark, folder)).select(
+        "id", "source_id", "imported", "recorded")
 
 
 @query(f"""
