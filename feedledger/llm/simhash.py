@@ -176,7 +176,12 @@ def drop_near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", **option
     Of several rows with that id, one stays (that with the smallest row hash; of rows that
     repeat exactly, any). Rows without an id are all kept. Columns are those of ``docs``.
     """
-    found = staged(simhash_components(docs, id_column=id_column, **options), "components")
+    return keep_first(docs, staged(simhash_components(docs, id_column=id_column, **options), "components"), id_column)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
+    """Of each component of ``found(doc_id, row_hash, component_id)`` the row of ``docs`` with
+    the smallest id, and all rows without an id."""
     key, row, n = fresh(docs.columns, "kept_key", "kept_row", "kept_rows")
     rows = found.where("doc_id = component_id").groupBy("component_id", "row_hash").agg(
         F.count("*").alias("n"))
