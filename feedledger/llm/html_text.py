@@ -4,8 +4,8 @@ A page is cut into blocks at block-level tags. Blocks under elements that are ne
 text (menus, forms, scripts; by tag, role or class) are dropped. Of the others the first pass
 decides by stop-word density, length and link density; the second gives short and doubtful
 blocks the label of their nearest decided neighbours. Inside an article element a block is
-taken for article text unless it is mostly links; where a page has such an element, what
-stands outside of it is not.
+taken for article text unless it is mostly links; where such elements hold most of a page's
+good text, what stands outside of them is not.
 """
 
 import html
@@ -158,7 +158,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         _, dropped, inside = stack[-1] if stack else ("", False, False)
         if tag == "header" and not inside:
             marked = True
-        if not marked and (tag in ("article", "main") or attrs.get("role") == "main"
+        if not marked and not dropped and (tag in ("article", "main") or attrs.get("role") == "main"
                            or attrs.get("itemprop") == "articleBody"):
             inside = has_article = True
         stack.append((tag, dropped or marked, inside))
@@ -186,6 +186,20 @@ def _first_pass(b: Block, has_article: bool, short: int, long: int, low: float,
 def classify(found: list[Block], has_article: bool, *, short: int = 70, long: int = 200, low: float = 0.15,
              high: float = 0.25, links: float = 0.5, heading_reach: int = 200) -> None:
     """Set each block's label to ``good`` or ``bad``."""
+    if has_article:
+        _label(found, False, short, long, low, high, links, heading_reach)
+        outside = [b for b in found if not b.inside and b.label == "good"]
+        _label(found, True, short, long, low, high, links, heading_reach)
+        if sum(len(b.text) for b in outside) > sum(len(b.text) for b in found if b.label == "good"):
+            # The articles are a minor part of the page's text.
+            for block in outside:
+                block.label = "good"
+    else:
+        _label(found, False, short, long, low, high, links, heading_reach)
+
+
+def _label(found: list[Block], has_article: bool, short: int, long: int, low: float, high: float, links: float,
+           heading_reach: int) -> None:
     first = [_first_pass(b, has_article, short, long, low, high, links) for b in found]
     # Nearest decided labels on either side; doubtful ("near") blocks count next to short ones.
     before, last = [], "bad"

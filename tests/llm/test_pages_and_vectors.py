@@ -31,6 +31,15 @@ def test_main_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<div><p>{LONG}</p></div><div id='comments'><article class='comment-body'><p>no</p></article></div>", LONG.strip()),
+    (f"<div><p>{LONG}</p></div><aside><article><p>no</p></article></aside>", LONG.strip()),
+    (f"<div><p>{LONG}</p></div><article><p>teaser</p></article>", LONG.strip() + "\nteaser"),
+])
+def test_minor_articles_do_not_replace_the_text(page, want):
+    assert main_text(page) == want
+
+
 def test_long_pages_are_whole_and_quick():
     big = "<article>" + "<p>the word</p>" * 50_000 + "</article>"
     assert main_text(big).count("\n") == 49_999
