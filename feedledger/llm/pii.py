@@ -38,6 +38,18 @@ _MOD97 = """aggregate(sequence(1, length(d)), 0, (s, i) -> IF(
     substr(d, i, 1) BETWEEN '0' AND '9', (s * 10 + int(substr(d, i, 1))) % 97,
     (s * 100 + ascii(substr(d, i, 1)) - 55) % 97)) = 1"""
 
+#: Account number lengths by country code.
+_IBAN = {15: "NO", 16: "BE", 18: "DK FO FI FK GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+         21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+         24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+         28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+         33: "RU"}
+#: A listed code fixes where the number ends; the general form is for others.
+_IBAN_PATTERN = (r"(?=[A-Z])(?<![A-Za-z0-9])(?:"
+                 + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?+[A-Z0-9]){{{n - 4}}}+" for n, c in _IBAN.items())
+                 + f"|(?!{'|'.join(_IBAN.values()).replace(' ', '|')})"
+                 + r"[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+)(?![A-Za-z0-9])")
+
 
 #: Patterns of the four base kinds as asked for, and of the account number.
 KINDS = (
@@ -53,7 +65,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", "contains({t}, '+')",
          "length(regexp_replace(m, '[^0-9]', '')) BETWEEN 9 AND 15",
          0.7, r"phone|call|tel\b|mobile|fax|telefon"),
-    Kind("iban", r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    Kind("iban", _IBAN_PATTERN,
          "{t} RLIKE '[0-9]'",
          let_sql("d", "concat(substr(replace(m, ' ', ''), 5), substr(replace(m, ' ', ''), 1, 4))",
                f"IF(length(d) BETWEEN 15 AND 34, {_MOD97}, false)"),

@@ -214,6 +214,13 @@ def test_base_spans(private):
     assert near.score > next(s for s in found[12]).score
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    texts = ["DE89370400440532013000 Deutsche Bank", "DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000X"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.pii_spans if s.kind == "iban"] for r in pii.find_pii(rows).collect()}
+    assert found == {0: [(0, 22)], 1: [(0, 27)], 2: []}
+
+
 def test_redaction_hides_every_span(spark, private):
     rows = {r.doc_id: r.text for r in pii.redact_pii(clashing(private)).collect()}
     spans = {r.doc_id: r.pii_spans for r in pii.find_pii(private).collect()}
