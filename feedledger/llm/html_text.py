@@ -48,6 +48,8 @@ BOILERPLATE = re.compile(r"""^(?:ads?|advert\w*|banner\w*|sponsor\w*|promo\w*|si
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu "
                    "menubar toolbar".split())
 _MAIN = frozenset("article entry post content story main body text".split())
+#: Parts of a name that say what an element has beside its text.
+_MODIFIERS = frozenset("with has no".split())
 #: What an opening tag ends without a closing tag, up to the element that holds both.
 _ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"),
          "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -77,7 +79,17 @@ def _boilerplate(tag: str, attrs: dict[str, str]) -> bool:
     for name in names:
         parts = re.split(r"[_-]+", name)
         hits = [p for p in parts if BOILERPLATE.match(p)]
-        if hits and not (set(hits) <= {"header", "nav"} and _MAIN & set(parts)):
+        if hits and not (_MAIN | _MODIFIERS) & set(parts):
+            return True
+    return False
+
+
+def _doubtful(attrs: dict[str, str]) -> bool:
+    """Whether a name says both boilerplate and main text, as in ``post-comments``."""
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).lower().split():
+        parts = set(re.split(r"[_-]+", name))
+        hits = {p for p in parts if BOILERPLATE.match(p)}
+        if hits and not hits <= {"header", "nav"} and parts & _MAIN and not parts & _MODIFIERS:
             return True
     return False
 
@@ -142,7 +154,7 @@ def blocks(page: str) -> tuple[list[Block], bool]:
             continue
         attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(token["attrs"])}
         marked = _boilerplate(tag, attrs)
-        if tag not in BLOCKS and not marked or tag in VOID:
+        if tag not in BLOCKS and not marked and not _doubtful(attrs) or tag in VOID:
             if tag == "hr":
                 flush()
             continue
@@ -161,6 +173,8 @@ def blocks(page: str) -> tuple[list[Block], bool]:
         if not marked and not dropped and (tag in ("article", "main") or attrs.get("role") == "main"
                            or attrs.get("itemprop") == "articleBody"):
             inside = has_article = True
+        elif inside and _doubtful(attrs):
+            inside = False  # left to the two passes
         stack.append((tag, dropped or marked, inside))
     flush()
     return found, has_article

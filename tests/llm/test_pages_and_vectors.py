@@ -40,6 +40,13 @@ def test_minor_articles_do_not_replace_the_text(page, want):
     assert main_text(page) == want
 
 
+@pytest.mark.parametrize("name", ["class='content-with-sidebar'", "class='layout-has-sidebar'", "id='main' class='no-sidebar'"])
+def test_wrappers_named_for_what_they_have_are_kept(name):
+    assert main_text(f"<div {name}><article><p>{LONG}</p></article></div>") == LONG.strip()
+    assert main_text(f"<div {name}><p>{LONG}</p><div class='sidebar'><p>{LONG}</p></div></div>") == LONG.strip()
+    assert main_text("<article><p>a</p><div class='post-comments'><p>no</p></div></article>") == "a"
+
+
 def test_long_pages_are_whole_and_quick():
     big = "<article>" + "<p>the word</p>" * 50_000 + "</article>"
     assert main_text(big).count("\n") == 49_999
