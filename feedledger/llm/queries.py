@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, html_text, language, mixing, packing, pii, simhash, token_files, warc
+from . import (
+    embeddings, html_text, language, merkle, mixing, packing, pii, simhash, token_files, url_filters, warc, whitening)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,9 +75,78 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_duplicate_vectors(_table(spark, folder, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The 32 leading components of every vector, whitened."""
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf and proof of every document, and whether a partly tampered table still folds to the root."""
+    docs = _table(spark, folder, "documents")
+    text = F.when(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0, F.translate(
+        "text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    tampered = merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    found = merkle.merkle_manifest(docs, carry={"tampered": tampered})
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded_root(F.col("tampered"), F.col("path")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: The rules of the query's contract.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op13_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page's URL."""
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    return url_filters.judge_urls(pages, rules).drop("url")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_mixing, op3_pii, op4_packing, op5_top_k, op6_simhash, op7_token_files, op8_html, op9_warc,
-    op10_embedding_dedup)}
+    op10_embedding_dedup, op11_whitening, op12_merkle, op13_url_filters)}
+
+
+def _coded_sql(column: str) -> str:
+    text = f"CAST({column} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_coded_sql, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+_LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of the decimal doc_id, bit by bit.
+_CRC_SQL = """xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+              lambda crc, byte: list_reduce([xor(crc, byte)] || range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))), 4294967295)"""
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """SQL for a tree's nodes by level, and each node's siblings before and after it."""
+    return f"""
+        {name}(level, tree, idx, n, digest) AS (
+            SELECT 0, tree, idx, n, digest FROM {leaves}
+            UNION ALL
+            SELECT level + 1, tree, idx // 8, max((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY idx))
+            FROM {name} WHERE n > 1 GROUP BY level, tree, idx // 8),
+        {name}_sides AS (
+            SELECT a.level, a.tree, a.idx, coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+                   coalesce(string_agg(b.digest, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+            FROM {name} a LEFT JOIN {name} b
+              ON a.level = b.level AND a.tree = b.tree AND a.idx // 8 = b.idx // 8 AND a.idx <> b.idx
+            WHERE a.n > 1 GROUP BY ALL),
+        {name}_fold(id, level, tree, idx, digest, proof) AS (
+            SELECT id, 0, tree, idx, start, proof FROM {name}_start
+            UNION ALL
+            SELECT f.id, f.level + 1, f.tree, f.idx // 8, sha256(before || digest || after), proof || before || after
+            FROM {name}_fold f JOIN {name}_sides s ON f.level = s.level AND f.tree = s.tree AND f.idx = s.idx),
+        {name}_end AS (
+            SELECT f.id, f.tree, f.digest, f.proof, u.digest AS top
+            FROM {name}_fold f JOIN {name} u ON f.level = u.level AND f.tree = u.tree AND f.idx = u.idx WHERE u.n = 1)"""
 
 #: SQL for the queries whose result plain SQL can state.
 ORACLES = {
@@ -105,4 +175,28 @@ ORACLES = {
                CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> max(page_id) OVER w THEN max(page_id) OVER w END AS refers_to
         FROM coded WINDOW w AS (PARTITION BY hex)""",
+    "op12_merkle": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, coalesce('=' || lang, '') AS tree,
+                          {_leaf_sql('text')} AS digest, {_leaf_sql(_LOWER_SQL.format('text'))} AS lowered,
+                          coalesce({_CRC_SQL} % 3 = 0, false) AS hit FROM documents),
+        leaves AS (SELECT *, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n
+                   FROM d WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest)),
+        low_start AS (SELECT id, tree, idx, CASE WHEN hit THEN lowered ELSE digest END AS start, '' AS proof FROM leaves),
+        {_tree_sql('low', 'leaves')},
+        tops AS (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, digest
+                 FROM low WHERE n = 1),
+        high_start AS (SELECT e.id, t.tree, t.idx, e.digest AS start, e.proof FROM low_end e JOIN tops t ON e.tree = t.name),
+        {_tree_sql('high', 'tops')}
+        SELECT l.doc_id, l.digest AS leaf, low_end.top AS subroot, h.top AS root, sha256(h.proof) AS proof_sha256,
+               h.digest AS folded_root, h.digest = h.top AS verified
+        FROM leaves l JOIN low_end USING (id) JOIN high_end h USING (id)""",
+    "op13_url_filters": f"""
+        WITH r(host, path, verdict) AS (VALUES {', '.join(map(str, RULES))}),
+        u AS (SELECT row_number() OVER () AS id, page_id,
+                     CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        p AS (SELECT id, page_id, {_LOWER_SQL.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+        f AS (SELECT p.id, arg_max(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS m
+              FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.id)
+        SELECT page_id, host, path, m.rule AS rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (id)""",
 }
