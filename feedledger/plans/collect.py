@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas as S
-from ..functions.dates import now_literal
+from ..functions.dates import now_literal, window_start
 from ..functions.text import specificity
 from ..operators import checks, classify, increment, lifecycle, outcomes as out
 from ..operators.dedup import first_seen, most_specific
@@ -24,6 +24,7 @@ from ..operators.scope import in_source_scope
 from ..operators.states import with_fate
 from ..session import at_least_parallel
 from ..sources.adapters import AdapterRegistry, default_registry, parse_payloads
+from ..sources.landing import Landing
 from ..sources.registry import registry_issues, unsupported_adapters
 from ..sources.repositories import with_added_files
 from .store import Store
@@ -54,9 +55,26 @@ def landed_payloads(payloads: DataFrame, sources: DataFrame) -> DataFrame:
     return lookup_join(payloads, wanted, ["source_id"], "inner", ["seq"])
 
 
-def collected_items(parsed: DataFrame, stages: DataFrame, registry: AdapterRegistry, now) -> tuple[DataFrame, DataFrame]:
-    """``(items within scope, observed lifecycle stages)`` from parsed payloads."""
-    entries = classify.explode_entries(parsed).withColumn("slug", F.col("entry.slug"))
+def selected_entries(entries: DataFrame, registry: AdapterRegistry, kept: dict[str, DataFrame]) -> DataFrame:
+    """Entries, of adapters with state of their own those that they select by it."""
+    fragments = registry.fragments()
+    if not fragments:
+        return entries
+    rest = entries.where(~F.col("adapter").isin(*fragments))
+    for name, fragment in fragments.items():
+        chosen = fragment.select(entries.where(F.col("adapter") == name), kept[name])
+        rest = rest.unionByName(chosen.select(*entries.columns))
+    return rest
+
+
+def collected_items(parsed: DataFrame, stages: DataFrame, registry: AdapterRegistry, now,
+                    kept: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(items within scope, observed lifecycle stages)`` from parsed payloads.
+
+    ``kept`` has the state of the adapters that keep any, by their name.
+    """
+    entries = selected_entries(classify.explode_entries(parsed), registry, kept or {}).withColumn(
+        "slug", F.col("entry.slug"))
     checked = registry.named(needs_files=True)
     snapshots = registry.named(snapshot=True)
     plain = entries.where(~F.col("adapter").isin(*checked, *snapshots))
@@ -187,12 +205,15 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     used = {r["adapter"] for r in sources.where("status <> 'planned'").select("adapter")
             .distinct().collect()}
     registry = AdapterRegistry(a for a in registry.values() if a.name in used)
+    for fragment in registry.fragments().values():
+        store.declare(fragment.table, fragment.schema)
 
     # Collect: parse once, then scope, window, baseline, de-duplicate, merge.
     landed = landed_payloads(at_least_parallel(payloads, "seq"), sources)
     parsed = store.stage(parse_payloads(landed, registry).drop("body"), "parsed")
     stages, cursors = store.read("lifecycle_stage"), store.read("cursors")
-    scoped, observed = collected_items(parsed, stages, registry, now)
+    kept = {name: store.read(f.table) for name, f in registry.fragments().items()}
+    scoped, observed = collected_items(parsed, stages, registry, now, kept)
     scoped = store.stage(scoped, "collected")
     windowed = increment.within_window(scoped, increment.source_bounds(
         sources, cursors if since is None else since), now)
@@ -286,11 +307,35 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     if registry.named(snapshot=True):
         jobs["lifecycle_stage"] = lambda: write(
             "lifecycle_stage", lifecycle.upsert_stages(stages, observed))
+    entries = classify.explode_entries(parsed)
+    for adapter, fragment in registry.fragments().items():
+        own = entries.where(F.col("adapter") == adapter)
+        jobs[fragment.table] = lambda f=fragment, rows=own, a=adapter: write(f.table, f.merged(rows, kept[a]))
     changed.update(zip(jobs, together(*jobs.values())))
     store.publish(changed)
     return RunResult(True, summary)
 
 
+def earliest_start(sources: DataFrame, cursors: DataFrame, now):
+    """The earliest moment from which a run accepts anything from a source that it collects;
+    None if it collects from none."""
+    collected = sources.where(F.col("status") != "planned")
+    start = window_start(F.col("last_run_at"), F.col("initial_sync_from"), now)
+    return increment.source_bounds(collected, cursors).agg(F.min(start).alias("start")).first()["start"]
+
+
+def collect_landed(store: Store, landing: Landing, sources: DataFrame, references: DataFrame, now,
+                   **options) -> RunResult:
+    """:func:`collect_run` over an archive of landed payloads, of which only the files from the
+    earliest window on are opened.
+
+    What was fetched before a source's window began can hold nothing new of it: it was there
+    for the run that set the cursor.
+    """
+    start = earliest_start(sources, store.read("cursors"), now)
+    return collect_run(store, landing.since(start), sources, references, now, **options)
+
+
 def run_row(outcomes: DataFrame, added: DataFrame, rejection: DataFrame, run_id: int,
             now) -> DataFrame:
     """The row of this run: coverage counts and the rejection, if any.

@@ -3,14 +3,18 @@
 import uuid
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import query, table, wall
-from .inputs import ORDERS_NOW, order_items, supplier_sources
+from .inputs import EVENTS_NOW, ORDERS_NOW, order_items, supplier_sources
+from ...functions.dates import window_start
 from ...operators import checks
 from ...operators.outcomes import ordered_outcomes, run_coverage as coverage, source_status
 from ...schemas import REFERENCE_SOURCE
 from ...session import work_folder
-from ...sources.adapters import default_registry
+from ...sources.adapters import Adapter, AdapterRegistry, Fragment, default_registry
+from ...sources.feeds import parse_feed
+from ...sources.landing import Landing
 from ...sources.registry import registry_issues, unsupported_adapters
 from ..collect import collect_run
 from ..store import Store
@@ -219,3 +223,71 @@ def rejected_run(spark, folder):
     return (newest.select(F.lit("rejection").alias("fact"), F.concat_ws(": ", "r.reason", "r.detail").alias("value"))
             .unionByName(store.items().agg(n).select(F.lit("items").alias("fact"), "value"))
             .unionByName(store.read("source_status").groupBy(F.col("status").alias("fact")).agg(n)))
+
+
+def _above_mark(entries, marks):
+    """Entries numbered above the highest number that their source had before."""
+    return entries.join(marks, "source_id", "left").where(
+        F.coalesce(F.regexp_extract("entry.link", r"(\d+)/?$", 1).cast("long") > F.col("mark"), F.lit(True))).drop("mark")
+
+
+def _marks(entries, marks):
+    seen = entries.groupBy("source_id").agg(F.max(F.regexp_extract("entry.link", r"(\d+)/?$", 1).cast("long")).alias("mark"))
+    return seen.unionByName(marks).groupBy("source_id").agg(F.max("mark").alias("mark"))
+
+
+NUMBERED = Adapter("numbered", "feed-entry", parse_feed, fragment=Fragment(
+    "numbered_marks", StructType([StructField("source_id", StringType()), StructField("mark", LongType())]), _marks, _above_mark))
+
+
+@query("""
+  WITH half AS (SELECT (min(o_orderkey) + max(o_orderkey)) // 2 AS key FROM orders),
+  marks AS (SELECT o_orderpriority AS source_id, max(o_orderkey) FILTER (WHERE o_orderkey <= half.key AND o_orderkey % 2 = 0) AS first,
+                   max(o_orderkey) AS mark FROM orders, half GROUP BY ALL)
+  SELECT substr(sha256('https://example.com/orders/' || o_orderkey), 1, 16) AS id, o_orderpriority AS source_id, marks.mark
+  FROM orders JOIN marks ON o_orderpriority = source_id, half
+  WHERE (o_orderkey <= half.key AND o_orderkey % 2 = 0) OR coalesce(o_orderkey > marks.first, true)""")
+def adapter_state(spark, folder):
+    """Feeds whose adapter keeps each source's highest order number: half of the even orders,
+    a run that is rejected, then all orders, of which those above the number count."""
+    store = Store(spark, f"{work_folder(spark)}/adapter-{uuid.uuid4().hex}")
+    orders = table(spark, folder, "orders").withColumns({
+        "o_orderstatus": F.lit("O"), "o_orderdate": F.lit("2001-08-01 12:00:00").cast("timestamp")})
+    payloads, sources = payload_columns(orders), order_sources(spark, folder).withColumn("adapter", F.lit(NUMBERED.name))
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    half = payloads.where((F.col("seq") <= (low + high) // 2) & (F.col("seq") % 2 == 0))
+    none = spark.createDataFrame([], REFERENCE_SOURCE)
+    for landed, options in ((half, {"allow_large_change": True}), (payloads, {"volume_limit": 0}),
+                            (payloads, {"allow_large_change": True})):
+        collect_run(store, landed, sources, none, ORDERS_NOW, AdapterRegistry([NUMBERED]), **options)
+    return store.items().join(store.read("numbered_marks"), "source_id").select("id", "source_id", "mark")
+
+
+def _event_bounds(events: DataFrame) -> DataFrame:
+    """Event types as sources: errors were never collected, the others up to some day each."""
+    kinds = events.select(F.col("source_id")).distinct()
+    return kinds.select(
+        "source_id", F.lit("2024-01-20").cast("date").alias("initial_sync_from"),
+        F.when(F.col("source_id") != "error", F.to_timestamp(F.concat(
+            F.lit("2024-01-"), F.lpad((F.length("source_id") + 20).cast("string"), 2, "0"), F.lit(" 06:00:00")))).alias("last_run_at"))
+
+
+@query("""
+  WITH b AS (SELECT DISTINCT event_type, CASE WHEN event_type = 'error' THEN TIMESTAMP '2024-01-20'
+                    ELSE least(TIMESTAMP '2024-01-01 06:00:00' + to_days(CAST(length(event_type) + 19 AS INTEGER)),
+                               TIMESTAMP '2024-01-31' - INTERVAL 36 HOUR) END AS start FROM events)
+  SELECT event_id AS seq, event_type AS source_id FROM events JOIN b USING (event_type) WHERE ts >= b.start""")
+def landed_window(spark, folder):
+    """A month of events as an archive of payloads that landed in three parts; of its files
+    only those from the earliest window on are opened, then each source's window counts."""
+    landing = Landing(spark, f"{work_folder(spark)}/landing-{uuid.uuid4().hex}")
+    events = table(spark, folder, "events").select(
+        F.col("event_type").alias("source_id"), F.lit("https://example.com/feed").alias("url"), F.lit(200).alias("http_status"),
+        F.col("ts").cast("timestamp").alias("fetched_at"), F.col("props").alias("body"), F.col("event_id").alias("seq"))
+    for i in range(3):
+        landing.land(events.where(F.col("seq") % 3 == i))
+    bounds = _event_bounds(events)
+    starts = bounds.withColumn("start", window_start(F.col("last_run_at"), F.col("initial_sync_from"), EVENTS_NOW))
+    earliest = starts.agg(F.min("start")).first()[0]
+    return (landing.since(earliest).join(starts.select("source_id", "start"), "source_id")
+            .where(F.col("fetched_at") >= F.col("start")).select("seq", "source_id"))

@@ -11,6 +11,8 @@ each row over those of the same id in earlier segments; a row without a state ta
 ``compact`` folds all segments into one, ``vacuum`` deletes what no kept version names.
 """
 
+import re
+
 from dataclasses import dataclass, field
 
 from pyarrow import fs
@@ -37,6 +39,9 @@ TABLES = {
 }
 #: Tables whose directories are partitions: ``run_id=<n>``, then these columns.
 PARTITIONED = {"items": ["category"]}
+#: Streams that began from a version, and whether they have ended.
+DRAIN = "drain STRING, began BIGINT, version BIGINT, ended BOOLEAN"
+_NAME = re.compile("[a-z][a-z0-9_]*")
 _VERSION = "directories MAP<STRING, ARRAY<STRING>>, version BIGINT"
 
 
@@ -46,6 +51,8 @@ class Store:
     root: str
     version: int = 0
     directories: dict[str, list[str]] = field(default_factory=dict)
+    #: Schemas of the tables known, those that were declared at run time included.
+    tables: dict[str, StructType] = field(default_factory=lambda: dict(TABLES))
 
     def __post_init__(self) -> None:
         self.refresh()
@@ -56,11 +63,21 @@ class Store:
     def _versions(self) -> DataFrame:
         return self.spark.read.schema(_VERSION).parquet(self._pointer())
 
+    def _exists(self, version: int) -> bool:
+        try:
+            return not self._versions().where(F.col("version") == version).isEmpty()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return False
+
     def refresh(self, version: int | None = None) -> "Store":
         """Load the newest version or the given one; an empty root is version 0.
 
-        The number is part of a file's path, so only the file of that version is read.
+        The number is part of a file's path, so only the file of that version is read. A
+        given version that does not exist, or no longer, is an error.
         """
+        wanted = version
         try:
             versions = self._versions()
             if version is None:
@@ -70,10 +87,19 @@ class Store:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             newest = None
+        if newest is None and wanted:
+            raise ValueError(f"The store has no version {wanted}")
         self.version = newest["version"] if newest else 0
         self.directories = dict(newest["directories"]) if newest else {}
         return self
 
+    def declare(self, table: str, schema: StructType) -> None:
+        """Add a table to the catalogue; it is empty until a version names directories of it."""
+        if table in TABLES or not _NAME.fullmatch(table):
+            raise ValueError(f'"{table}" is no name for a further table')
+        if self.tables.setdefault(table, schema) != schema:
+            raise ValueError(f'Table "{table}" is declared with another schema')
+
     def bootstrap(self) -> None:
         """Create whatever is missing, empty; a run at the epoch means never run."""
         if self.version:
@@ -113,8 +139,8 @@ class Store:
 
     def scan(self, table: str, paths: list[str]) -> DataFrame:
         if not paths:
-            return self.spark.createDataFrame([], TABLES[table])
-        reader = self.spark.read.schema(TABLES[table])
+            return self.spark.createDataFrame([], self.tables[table])
+        reader = self.spark.read.schema(self.tables[table])
         if table in PARTITIONED:
             reader = reader.option("basePath", f"{self.root}/{table}")
         return reader.parquet(*[f"{self.root}/{p}" for p in paths])
@@ -144,7 +170,7 @@ class Store:
         """
         path = f"{table}/{directory}"
         columns = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                   for f in TABLES[table] if table not in PARTITIONED or f.name != "run_id"]
+                   for f in self.tables[table] if table not in PARTITIONED or f.name != "run_id"]
         writer = rows.select(*columns).write.mode("overwrite")
         if table in PARTITIONED:
             writer = writer.partitionBy(*PARTITIONED[table])
@@ -162,9 +188,16 @@ class Store:
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def publish(self, changed: dict[str, list[str]]) -> None:
-        """Append the next version: ``changed`` replaces those tables' directories."""
+        """Append the next version: ``changed`` replaces those tables' directories.
+
+        The version must be new: if another writer has published it meanwhile, this is an
+        error and that one's work stays.
+        """
         directories = {**self.directories, **changed}
+        if self._exists(self.version + 1):
+            raise ValueError(f"Version {self.version + 1} has been published by another writer")
         row = self.spark.createDataFrame([(directories,)], "directories MAP<STRING, ARRAY<STRING>>")
+        # A folder without a row is what a writer that died has left.
         row.coalesce(1).write.mode("overwrite").parquet(f"{self._pointer()}/version={self.version + 1}")
         self.version, self.directories = self.version + 1, directories
 
@@ -177,16 +210,31 @@ class Store:
         self.publish({"items": self.write("items", self.stored_items(), name), "prints": prints, "removed": [],
                       "states": states})
 
+    def begun_from(self) -> list[int]:
+        """Versions that streams began from which have not ended; they will be read again."""
+        try:
+            drains = self.spark.read.schema(DRAIN).parquet(f"{self.root}/_drains")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return []
+        open_ones = drains.groupBy("drain", "began").agg(
+            F.max("version").alias("version"), F.max("ended").alias("ended")).where("NOT ended")
+        return sorted(r["version"] for r in open_ones.select("version").distinct().collect())
+
     def vacuum(self, keep: int = 10) -> list[str]:
         """Delete versions before the ``keep`` newest, the directories that only they name and
-        what runs staged; returns what was deleted. Not while a run is under way."""
-        kept = self._versions().where(F.col("version") > self.version - keep).collect()
+        what runs staged; returns what was deleted. Versions that an unfinished stream began
+        from stay. Not while a run is under way."""
+        version, used = F.col("version"), self.begun_from()
+        kept = self._versions().where((version > self.version - keep) | version.isin(used)).collect()
         named = {d for v in kept for paths in v["directories"].values() for d in paths}
         numbers = {f"_versions/version={v['version']}" for v in kept}
         plain = "file://" + self.root[5:] if self.root.startswith("file:/") and self.root[:7] != "file://" else self.root
         store, root = fs.FileSystem.from_uri(plain)
         gone = []
-        for table in [*TABLES, "_versions", "_staging"]:
+        # Tables that other sessions declared are known by the directories of the newest version.
+        for table in [*{**self.tables, **self.directories}, "_versions", "_staging"]:
             for entry in store.get_file_info(fs.FileSelector(f"{root}/{table}", allow_not_found=True)):
                 name = f"{table}/{entry.base_name}"
                 if entry.type == fs.FileType.Directory and name not in named | numbers:

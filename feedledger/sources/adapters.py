@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from .entries import ENTRIES, parsed, quoted, with_canonical_links
 from .feeds import parse_feed
@@ -20,6 +21,32 @@ from .web_pages import parse_web_page
 Parser = Callable[[Column, Column, Column, Column], Column]
 
 
+def _unchanged(entries: DataFrame, previous: DataFrame) -> DataFrame:
+    return entries
+
+
+@dataclass(frozen=True)
+class Fragment:
+    """State that an adapter keeps from run to run, in a table of its own.
+
+    ``schema`` has ``source_id`` and whatever else the adapter needs. A run hands both functions
+    the exploded entries of its usable payloads (``source_id, seq, at, entry`` and the
+    source's columns) and the rows as the last accepted run left them. ``derive`` gives the
+    rows that the next run will find: sources it names are replaced, the others keep theirs.
+    ``select`` gives the entries to go on with, for adapters that compare with what they saw
+    before. Both are plans, evaluated on the executors; nothing is kept of a rejected run.
+    """
+    table: str
+    schema: StructType
+    derive: Callable[[DataFrame, DataFrame], DataFrame]
+    select: Callable[[DataFrame, DataFrame], DataFrame] = _unchanged
+
+    def merged(self, entries: DataFrame, previous: DataFrame) -> DataFrame:
+        derived = self.derive(entries, previous).select(*self.schema.fieldNames())
+        kept = previous.join(derived.select("source_id").distinct(), "source_id", "left_anti")
+        return kept.select(*self.schema.fieldNames()).unionByName(derived)
+
+
 @dataclass(frozen=True)
 class Adapter:
     name: str
@@ -31,6 +58,8 @@ class Adapter:
     snapshot: bool = False
     #: Entries count only if a changed-files payload confirms them.
     needs_files: bool = False
+    #: State of its own between runs.
+    fragment: Fragment | None = None
 
 
 class AdapterRegistry(dict):
@@ -44,8 +73,17 @@ class AdapterRegistry(dict):
     def register(self, adapter: Adapter) -> None:
         if adapter.name in self:
             raise ValueError(f'Duplicate adapter registered: "{adapter.name}"')
+        if adapter.fragment is not None:
+            if "source_id" not in adapter.fragment.schema.fieldNames():
+                raise ValueError(f'State of adapter "{adapter.name}" has no source_id')
+            if adapter.fragment.table in [f.table for f in self.fragments().values()]:
+                raise ValueError(f'Two adapters keep state in "{adapter.fragment.table}"')
         self[adapter.name] = adapter
 
+    def fragments(self) -> dict[str, Fragment]:
+        """State tables by the name of their adapter."""
+        return {a.name: a.fragment for a in self.values() if a.fragment is not None}
+
     def named(self, **traits: bool) -> list[str]:
         return [a.name for a in self.values()
                 if all(getattr(a, k) == v for k, v in traits.items())]

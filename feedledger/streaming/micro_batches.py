@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 
 from ..plans.collect import RunResult, collect_run
 from ..plans.reading import change_states
-from ..plans.store import Store
+from ..plans.store import DRAIN, Store
 from ..schemas import WINDOW_HOURS
 
 
@@ -53,15 +53,12 @@ def _drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 
 def _drains(spark: SparkSession, root: str) -> DataFrame:
     """Versions that drains began from, with when they began and whether they have ended."""
-    schema = "drain STRING, began BIGINT, version BIGINT, ended BOOLEAN"
-    path = f"{root}/_drains"
-    mark = spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(DRAIN).parquet(f"{root}/_drains")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return mark
+        return spark.createDataFrame([], DRAIN)
 
 
 def _start_version(spark: SparkSession, root: str, drain: str) -> tuple[int, int]:
