@@ -3,8 +3,10 @@
 Payloads are parsed once and staged. Window, baseline, de-duplication and merge follow on
 the staged entries. State sync, cleanup and the consistency checks all need items and
 states side by side, so they share one full join on the item id, staged as the *ledger*;
-every later step only filters or counts it. Status is always published, data only if no
-guard rejects the run.
+every later step only filters or counts it. The ledger holds the ids that the run touches:
+sums over items and states tell beforehand whether the history is whole, and the filters of
+its segments where the ids may lie. Status is always published, data only if no guard
+rejects the run.
 """
 
 from collections.abc import Callable
@@ -45,6 +47,8 @@ class RunResult:
     aborted: bool = False
     #: All faults of the registry that ended a run before it began.
     issues: DataFrame | None = None
+    #: Segments of the history whose ids were read to tell what is new.
+    segments_read: list[int] | None = None
 
 
 def landed_payloads(payloads: DataFrame, sources: DataFrame) -> DataFrame:
@@ -100,28 +104,17 @@ def collected_items(parsed: DataFrame, stages: DataFrame, registry: AdapterRegis
     return items.where(in_scope), observed
 
 
-def item_ledger(existing: DataFrame, added: DataFrame, prints: DataFrame, states: DataFrame,
-                now) -> DataFrame:
+def item_ledger(existing: DataFrame, added: DataFrame, states: DataFrame, now) -> DataFrame:
     """Items and states side by side, one row per id, with what the run does to each.
 
     ``fate`` is that of the state (pruned, ignored, expired, kept, synced); ``leaves``
     marks ids whose item is removed. Dead tombstones are pruned before sync, so an item
-    published again becomes unread. ``change`` tells items that are not as they were
-    published: their digests of then (``prints``) pass through the same grouping.
+    published again becomes unread.
     """
-    ids = (existing.select("id", "source_id", F.lit("old").alias("row"),
-                           checks.item_digest(existing).alias("digest"))
-           .unionByName(added.select("id", "source_id", F.lit("new").alias("row")), allowMissingColumns=True)
-           .unionByName(prints.select("id", "digest", F.lit("print").alias("row")), allowMissingColumns=True)
-           .groupBy("id").agg(
-               F.min("source_id").alias("source_id"), F.count_if(F.col("row") == "old").alias("copies"),
-               F.count_if(F.col("row") == "new").alias("fresh"), F.count_if(F.col("row") == "print").alias("printed"),
-               *[pick("digest", F.col("row") == row).alias(f"{row}_{name}")
-                 for row in ("old", "print") for name, pick in (
-                     ("low", lambda c, w: F.min(F.when(w, F.col(c)))), ("high", lambda c, w: F.max(F.when(w, F.col(c)))))]))
-    edited = (F.col("old_low") != F.col("print_low")) | (F.col("old_high") != F.col("print_high"))
-    ids = ids.withColumn("change", F.when((F.col("printed") > 0) & (F.col("copies") == 0), F.lit("deleted"))
-                         .when(F.col("printed") > 0, F.when(edited, F.lit("modified"))))
+    ids = (existing.select("id", "source_id", F.lit(False).alias("new"))
+           .unionByName(added.select("id", "source_id", F.lit(True).alias("new")))
+           .groupBy("id").agg(F.min("source_id").alias("source_id"), F.count_if(~F.col("new")).alias("copies"),
+                              F.count_if("new").alias("fresh")))
     joined = ids.join(with_fate(states, now), "id", "full")
     has_item = F.coalesce(F.col("copies") + F.col("fresh") > 0, F.lit(False))
     stateless = F.col("fate").isNull() | (F.col("fate") == "pruned")
@@ -135,13 +128,51 @@ def item_ledger(existing: DataFrame, added: DataFrame, prints: DataFrame, states
         "id", "source_id", has_item.alias("has_item"),
         F.coalesce(F.col("copies"), F.lit(0)).alias("copies"),
         F.coalesce(F.col("fresh") > 0, F.lit(False)).alias("is_added"),
-        F.coalesce(F.col("fate") == "pruned", F.lit(False)).alias("pruned"), "change",
+        F.coalesce(F.col("fate") == "pruned", F.lit(False)).alias("pruned"),
         F.when(synced, F.lit("synced")).otherwise(F.col("fate")).alias("fate"),
         (has_item & F.coalesce(F.col("fate").isin("ignored", "expired"), F.lit(False))).alias("leaves"),
         after("state", F.lit("unread")), after("updated_at", now_literal(now)),
         after("read_at", no_time), after("ignored_at", no_time), after("seq", F.lit(None).cast("long")))
 
 
+def ledger_inputs(store: Store, batch: DataFrame, consistent: bool, now) -> tuple[DataFrame, DataFrame, list[int]]:
+    """``(items, states, segments read)`` that a run's ledger needs.
+
+    If ids and states agree so far, only the batch and states whose fate changes can change
+    anything: their ids alone are looked up, in the segments that may hold them. Otherwise it is
+    all items and all states, and the ledger names every id that is amiss.
+    """
+    states = store.read("states")
+    if not consistent:
+        return store.items(), states, store.segments()
+    changing = with_fate(states, now).where("fate <> 'kept'").select("id")
+    touched = store.stage(batch.select("id").union(changing).distinct(), "touched")
+    segments = store.segments_holding(touched)
+    met = store.items_in(segments).select("id", "source_id").join(touched, "id", "left_semi")
+    return store.stage(met, "met"), states.join(touched, "id", "left_semi"), segments
+
+
+def changed_items(store: Store, segments: list[int]) -> DataFrame:
+    """``(id, change)`` of earlier items that are not as they were published, or gone without
+    being removed: those of the given segments, by the digests that each item left.
+
+    Segments of earlier runs are carried over as they are, so what is read of them is what
+    the run would publish; its own removals come later and follow from states alone.
+    """
+    if not segments:
+        return store.spark.createDataFrame([], "id STRING, change STRING")
+    items = store.items_in(segments)
+    prints = store.prints().where(F.col("run_id").isin(segments))
+    sides = (items.select("id", checks.item_digest(items).alias("now")).unionByName(
+        prints.select("id", F.col("digest").alias("then")), allowMissingColumns=True))
+    per_id = sides.groupBy("id").agg(
+        F.count("now").alias("copies"), F.count("then").alias("printed"),
+        *[pick(c).alias(f"{c}_{name}") for c in ("now", "then") for name, pick in (("low", F.min), ("high", F.max))])
+    edited = (F.col("now_low") != F.col("then_low")) | (F.col("now_high") != F.col("then_high"))
+    change = F.when(F.col("printed") > 0, F.when(F.col("copies") == 0, F.lit("deleted")).when(edited, F.lit("modified")))
+    return per_id.select("id", change.alias("change")).where("change IS NOT NULL")
+
+
 def ledger_issues(ledger: DataFrame) -> DataFrame:
     """The data check, read off the ledger: id format, repeats, orphaned states."""
     stays = ledger.where("has_item AND NOT leaves")
@@ -158,15 +189,6 @@ def ledger_issues(ledger: DataFrame) -> DataFrame:
             "id"))))
 
 
-def ledger_changes(ledger: DataFrame) -> DataFrame:
-    """Earlier items that are not as they were published, or gone without being removed.
-
-    Segments of earlier runs are carried over as they are, so what is read of them is what
-    the run would publish; its own removals come later and follow from states alone.
-    """
-    return ledger.where("change IS NOT NULL").select("id", "change")
-
-
 def changed_states(ledger: DataFrame) -> DataFrame:
     """States that a run adds, and a row without a state for each that it takes away."""
     synced = F.col("fate") == "synced"
@@ -224,7 +246,7 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
     def stage_fresh() -> DataFrame:
         return store.stage(increment.fresh_undated(windowed, store.read("known_undated")), "fresh")
 
-    outcomes, fresh = together(stage_outcomes, stage_fresh)
+    outcomes, fresh, (unequal, consistent) = together(stage_outcomes, stage_fresh, store.audit)
     succeeded = outcomes.where("outcome = 'succeeded'").select("source_id")
     imported = increment.importable(windowed, fresh)
     arrival = F.struct("pos", "seq", "at")
@@ -235,20 +257,22 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
         unique = first_seen(imported, ["id"], ["pos", "seq", "at"])
     else:
         raise ValueError(f"Unknown dedup policy {dedup_policy!r}")
-    existing = store.items()
 
     # Sync, clean up and check on one join of items with states.
-    def stage_added_and_ledger() -> tuple[DataFrame, DataFrame]:
+    def stage_added_and_ledger() -> tuple[DataFrame, DataFrame, list[int]]:
         batch = store.stage(unique, "unique")
+        existing, states, segments = ledger_inputs(store, batch, consistent, now)
         added = store.stage(not_in_history(batch, existing, ["id"])
                             .select(*classify.ITEM_COLUMNS), "added")
-        return added, store.stage(item_ledger(existing, added, store.prints(), store.read("states"), now), "ledger")
+        return added, store.stage(item_ledger(existing, added, states, now), "ledger"), segments
 
     def stage_cursors() -> DataFrame:
         return store.stage(increment.advance_cursors(cursors, imported, succeeded, now), "cursors")
 
-    (added, ledger), new_cursors = together(stage_added_and_ledger, stage_cursors)
-    states = ledger.where("fate IN ('ignored', 'kept', 'synced')")
+    (added, ledger, segments), new_cursors = together(stage_added_and_ledger, stage_cursors)
+    # Of states that are there already, all are looked at; those of the ledger are the new ones.
+    stored = with_fate(store.read("states"), now).where("fate IN ('ignored', 'kept')")
+    states = stored.drop("fate").unionByName(ledger.where("fate = 'synced'").select(*S.STATE.fieldNames()))
     counts = ledger.agg(
         F.count_if("pruned").alias("pruned"),
         F.count_if(F.col("leaves") & (F.col("fate") == "ignored")).alias("scrubbed"),
@@ -264,7 +288,7 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
              .unionByName(shape_issues("source status", store.scan("source_status", statuses),
                                        checks.status_expectations())))
     written = store.write("issues", found, name)
-    guards = (checks.append_only_guard(ledger_changes(ledger))
+    guards = (checks.append_only_guard(changed_items(store, unequal))
               .unionByName(checks.cursor_guard(cursors, new_cursors))
               .unionByName(checks.validation_guard(store.scan("issues", written))))
     if not allow_large_change:
@@ -284,36 +308,40 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
                "issues": written, "failures": failures}
     if rejected:
         store.publish(changed)
-        return RunResult(False, summary, rejected)
+        return RunResult(False, summary, rejected, segments_read=segments)
 
     leaving = ledger.where("leaves").select("id")
     stay = added.join(leaving, "id", "left_anti")
     removed = ledger.where("leaves AND copies > 0").select("id", F.lit(run_id).cast("long").alias("run_id"))
 
-    def write(table: str, rows: DataFrame, grows: bool = False) -> list[str]:
-        before = store.directories.get(table, []) if grows else []
-        written = store.write(table, rows, name)
-        return before + ([] if grows and store.is_empty(table, written) else written)
+    def write_items() -> dict[str, list[str]]:
+        before = store.directories.get("items", [])
+        written, n = store.write_counted("items", stay, name)
+        if not n:
+            return {"items": before or written}
+        indexed = store.index_segment(stay, name, n)
+        return {"items": before + written, **{t: store.directories.get(t, []) + w for t, w in indexed.items()}}
 
     prints = stay.select("id", checks.item_digest(stay).alias("digest"), F.lit(run_id).cast("long").alias("run_id"))
     jobs = {
-        "items": lambda: write("items", stay, grows=True),
-        "prints": lambda: write("prints", prints, grows=True),
-        "removed": lambda: write("removed", removed, grows=True),
+        "prints": lambda: store.append("prints", prints, name),
+        "removed": lambda: store.append("removed", removed, name),
         "states": lambda: store.write_states(changed_states(ledger)),
-        "cursors": lambda: write("cursors", new_cursors),
-        "known_undated": lambda: write("known_undated", fresh.select("source_id", "id"), grows=True),
+        "cursors": lambda: store.write("cursors", new_cursors, name),
+        "known_undated": lambda: store.append("known_undated", fresh.select("source_id", "id"), name),
     }
     if registry.named(snapshot=True):
-        jobs["lifecycle_stage"] = lambda: write(
-            "lifecycle_stage", lifecycle.upsert_stages(stages, observed))
+        jobs["lifecycle_stage"] = lambda: store.write(
+            "lifecycle_stage", lifecycle.upsert_stages(stages, observed), name)
     entries = classify.explode_entries(parsed)
     for adapter, fragment in registry.fragments().items():
         own = entries.where(F.col("adapter") == adapter)
-        jobs[fragment.table] = lambda f=fragment, rows=own, a=adapter: write(f.table, f.merged(rows, kept[a]))
-    changed.update(zip(jobs, together(*jobs.values())))
+        jobs[fragment.table] = lambda f=fragment, rows=own, a=adapter: store.write(
+            f.table, f.merged(rows, kept[a]), name)
+    items, *rest = together(write_items, *jobs.values())
+    changed.update(items | dict(zip(jobs, rest, strict=True)))
     store.publish(changed)
-    return RunResult(True, summary)
+    return RunResult(True, summary, segments_read=segments)
 
 
 def earliest_start(sources: DataFrame, cursors: DataFrame, now):

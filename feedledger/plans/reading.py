@@ -27,10 +27,7 @@ def change_states(store: Store, transitions: DataFrame) -> None:
     gone = (store.scan("states", segments[-1:]).where("state = 'ignored'")
             .join(items.select("id"), "id", "left_semi")
             .select("id", F.lit(store.version).cast("long").alias("run_id")))
-    written = store.write("removed", gone, f"run_id={store.version}")
-    removed = store.directories.get("removed", [])
-    if not store.is_empty("removed", written):
-        removed = removed + written
+    removed = store.append("removed", gone, f"run_id={store.version}")
     store.publish({"states": segments, "removed": removed})
 
 

@@ -5,7 +5,8 @@ below a folder of its number that names the directories of every table. A run wr
 directories first and the version last, so readers see all of a run or none of it, and a job
 that dies half-way leaves only directories nobody refers to. There is one writer at a time.
 
-Items grow by a segment per run and are never rewritten. Items that leave are listed in
+Items grow by a segment per run and are never rewritten. A segment's digests tell whether it is
+still as it was published, its filter which ids it may hold. Items that leave are listed in
 ``removed``, which is subtracted when items are read. States grow by segments of what changed,
 each row over those of the same id in earlier segments; a row without a state takes it away.
 ``compact`` folds all segments into one, ``vacuum`` deletes what no kept version names.
@@ -17,10 +18,11 @@ from dataclasses import dataclass, field
 
 from pyarrow import fs
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import DecimalType, LongType, StringType, StructField, StructType
 
 from .. import schemas as S
+from ..operators.checks import ID_FORMAT, item_digest
 
 _RUN = StructField("run_id", LongType())
 STORED_ITEM = StructType(S.ITEM.fields + [_RUN])
@@ -29,11 +31,20 @@ STORED_STATE = StructType(S.STATE.fields + [_RUN])
 REMOVED = StructType([StructField("id", StringType()), _RUN])
 #: What an item looked like when it was published, to tell later whether it still does.
 PRINT = StructType([StructField("id", StringType()), StructField("digest", LongType()), _RUN])
+#: What a segment of items held per category when it was published, whatever the order of its rows:
+#: how many, the sum of their ids' hashes and the sum of their digests.
+SEGMENT_DIGEST = StructType([_RUN, StructField("category", StringType()), StructField("n", LongType()),
+                             StructField("ids", DecimalType(38, 0)), StructField("digest", DecimalType(38, 0))])
+#: A segment's Bloom filter: blocks of 256 bits, of which an id sets eight in one.
+SEGMENT_FILTER = StructType([_RUN, *[StructField(n, LongType()) for n in ("blocks", "block", "w0", "w1", "w2", "w3")]])
+#: Ids per block of 256 bits: about one id in 10^5 that is not there seems to be.
+IDS_PER_BLOCK = 8
 
 TABLES = {
     "items": STORED_ITEM, "removed": REMOVED, "states": STORED_STATE, "cursors": S.CURSOR,
     "known_undated": S.KNOWN_UNDATED, "lifecycle_stage": S.LIFECYCLE_STAGE,
     "source_status": S.SOURCE_STATUS, "runs": S.RUN, "prints": PRINT,
+    "digests": SEGMENT_DIGEST, "filters": SEGMENT_FILTER,
     # Of the newest run only: every issue found and every source that failed.
     "issues": S.ISSUE, "failures": S.FAILURE,
 }
@@ -45,6 +56,25 @@ _NAME = re.compile("[a-z][a-z0-9_]*")
 _VERSION = "directories MAP<STRING, ARRAY<STRING>>, version BIGINT"
 
 
+def _wide(number: Column) -> Column:
+    return number.cast("decimal(38,0)")
+
+
+def _id_hash() -> Column:
+    return _wide(F.xxhash64("id"))
+
+
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(1), F.col("id")), blocks.cast("long"))
+
+
+def _masks(prefix: str) -> list[Column]:
+    """Two bits in each of a block's four words, from 48 bits of a hash."""
+    bits = "xxhash64(2, id)"
+    return [F.expr(" | ".join(f"shiftleft(1L, int(shiftrightunsigned({bits}, {6 * (2 * i + j)}) & 63))" for j in (0, 1)))
+            .alias(f"{prefix}{i}") for i in range(4)]
+
+
 @dataclass
 class Store:
     spark: SparkSession
@@ -131,11 +161,7 @@ class Store:
         before = self.directories.get("states", [])
         # Segments are numbered on, as several may be written between two runs.
         number = F.lit(len(before)).cast("long").alias("run_id")
-        written = self.write("states", changed.drop("run_id").select("*", number), f"version={self.version + 1}")
-        return before + ([] if before and self.is_empty("states", written) else written)
-
-    def is_empty(self, table: str, directories: list[str]) -> bool:
-        return self.scan(table, directories).isEmpty()
+        return self.append("states", changed.drop("run_id").select("*", number), f"version={self.version + 1}")
 
     def scan(self, table: str, paths: list[str]) -> DataFrame:
         if not paths:
@@ -145,6 +171,88 @@ class Store:
             reader = reader.option("basePath", f"{self.root}/{table}")
         return reader.parquet(*[f"{self.root}/{p}" for p in paths])
 
+    # Segments of items ---------------------------------------------------------------------
+
+    def segments(self, table: str = "items") -> list[int]:
+        """The runs whose segments make up a table."""
+        return [int(d.rsplit("run_id=", 1)[1]) for d in self.directories.get(table, [])]
+
+    def items_in(self, segments: list[int]) -> DataFrame:
+        """Active items of some segments, with the run that brought them."""
+        paths = [d for d, n in zip(self.directories.get("items", []), self.segments(), strict=True) if n in set(segments)]
+        return self._without_removed(self.scan("items", paths))
+
+    def index_segment(self, items: DataFrame, name: str, n: int, ids_per_block: int = IDS_PER_BLOCK) -> dict[str, list[str]]:
+        """Write digests and filter of a segment of ``n`` items (``id`` and the compared fields);
+        returns the directories of both."""
+        run = F.lit(int(name.rsplit("run_id=", 1)[1])).cast("long").alias("run_id")
+        per_category = items.groupBy("category").agg(
+            F.count("*").alias("n"), F.sum(_id_hash()).alias("ids"), F.sum(_wide(item_digest(items))).alias("digest"))
+        blocks = 1
+        while blocks * ids_per_block < n:
+            blocks *= 2
+        words = items.select(F.lit(blocks).cast("long").alias("blocks"), _block(F.lit(blocks)).alias("block"), *_masks("w"))
+        filled = words.groupBy("blocks", "block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
+        return {"digests": self.write("digests", per_category.select(run, "*"), name),
+                "filters": self.write("filters", filled.select(run, "*"), name)}
+
+    def segments_holding(self, ids: DataFrame) -> list[int]:
+        """Segments that may hold one of the ids: all that do, and a few more.
+
+        A segment's filter is a fifth of its ids' size, and of it only the blocks that
+        an id falls into are compared. Segments without a filter are always named.
+        """
+        known = set(self.segments("filters"))
+        named = [n for n in self.segments() if n not in known]
+        filters = self.read("filters")
+        # A power of two per size of a segment, so some tens at most.
+        sizes = sorted(r["blocks"] for r in filters.select("blocks").distinct().collect())
+        if not sizes:
+            return named
+        probes = ids.select("id").distinct().select(
+            "id", F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])).alias("blocks")).select(
+            "blocks", _block(F.col("blocks")).alias("block"), *_masks("m"))
+        hit = F.lit(True)
+        for i in range(4):
+            hit = hit & (F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
+        found = filters.join(probes, ["blocks", "block"]).where(hit).select("run_id").distinct().collect()
+        return sorted({*named, *(r["run_id"] for r in found)} & set(self.segments()))
+
+    def audit(self) -> tuple[list[int], bool]:
+        """``(segments that are not as they were published, whether ids and states agree)``.
+
+        One scan of items and of states, added up where they lie: per segment and category the
+        digests of now against those kept, and over all, the hashed ids of items less those
+        removed against those of states that are no tombstones. If the sums are equal, so are the
+        multisets, but for a chance of 2^-64. Segments without digests are not compared.
+        """
+        n, zero = F.lit(1).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")
+        off = _wide((~F.coalesce(F.col("id").rlike(ID_FORMAT), F.lit(False))).cast("int"))
+        items = self.read("items")
+        held = items.groupBy("run_id", "category").agg(
+            F.sum(n).alias("n"), F.sum(_id_hash()).alias("ids"), F.sum(_wide(item_digest(items))).alias("digest"),
+            F.sum(off).alias("off")).withColumn("kept", F.lit(False))
+        total = F.lit(-1).cast("long")
+        both = held.select(F.explode(F.array(
+            F.struct("run_id", "category", "n", "ids", "digest", zero.alias("off"), "kept"),
+            F.struct(total.alias("run_id"), F.lit("").alias("category"), "n", "ids", zero.alias("digest"), "off",
+                     F.lit(True).alias("kept")))).alias("r")).select("r.*")
+        minus = [(-F.col(c).cast("decimal(38,0)")).alias(c) for c in ("n", "ids", "digest")]
+        recorded = self.read("digests").select("run_id", "category", *minus, zero.alias("off"), F.lit(True).alias("kept"))
+
+        def taken(rows: DataFrame) -> DataFrame:
+            return rows.select(total.alias("run_id"), F.lit("").alias("category"), (-n).alias("n"),
+                               (-_id_hash()).alias("ids"), zero.alias("digest"), zero.alias("off"), F.lit(True).alias("kept"))
+
+        rows = (both.unionByName(recorded).unionByName(taken(self.read("removed")))
+                .unionByName(taken(self.read("states").where("state <> 'ignored'"))))
+        sums = rows.groupBy("run_id", "category").agg(
+            *[F.sum(c).alias(c) for c in ("n", "ids", "digest", "off")], F.max("kept").alias("kept"))
+        odd = (sums.groupBy("run_id").agg(F.max("kept").alias("kept"), F.bool_or(
+            F.expr("n <> 0 OR ids <> 0 OR digest <> 0 OR off <> 0")).alias("odd")).where("kept AND odd"))
+        runs = [r["run_id"] for r in odd.select("run_id").collect()]
+        return sorted(r for r in runs if r >= 0), -1 not in runs
+
     def stored_items(self) -> DataFrame:
         """Active items with the run that brought them."""
         return self._without_removed(self.read("items"))
@@ -177,6 +285,19 @@ class Store:
         writer.parquet(f"{self.root}/{path}")
         return [path]
 
+    def write_counted(self, table: str, rows: DataFrame, directory: str) -> tuple[list[str], int]:
+        """:meth:`write`, and how many rows it wrote, counted by the writing tasks themselves."""
+        seen = Observation()
+        written = self.write(table, rows.observe(seen, F.count(F.lit(1)).alias("n")), directory)
+        return written, seen.get.get("n", 0)
+
+    def append(self, table: str, rows: DataFrame, directory: str) -> list[str]:
+        """Write one more directory of a table and return all of them; an empty one is left out
+        if there are others."""
+        before = self.directories.get(table, [])
+        written, n = self.write_counted(table, rows, directory)
+        return before + (written if n or not before else [])
+
     def stage(self, rows: DataFrame, name: str) -> DataFrame:
         """Cut a plan at a written table and read it back.
 
@@ -207,8 +328,9 @@ class Store:
         run = F.lit(self.version).cast("long").alias("run_id")
         prints = self.write("prints", self.prints().select("id", "digest", run), name)
         states = self.write("states", self.read("states"), f"version={self.version + 1}")
-        self.publish({"items": self.write("items", self.stored_items(), name), "prints": prints, "removed": [],
-                      "states": states})
+        items, n = self.write_counted("items", self.stored_items(), name)
+        self.publish({"items": items, "prints": prints, "removed": [], "states": states,
+                      **self.index_segment(self.scan("items", items), name, n)})
 
     def begun_from(self) -> list[int]:
         """Versions that streams began from which have not ended; they will be read again."""
