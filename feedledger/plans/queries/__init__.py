@@ -39,4 +39,4 @@ def wall(column):
     return F.col(column).cast("timestamp_ntz") if isinstance(column, str) else column.cast("timestamp_ntz")
 
 
-from . import columns, inputs, joins, payloads, reading, runs, views, streams  # noqa: E402,F401
+from . import columns, inputs, joins, payloads, reading, runs, tables, views, streams  # noqa: E402,F401

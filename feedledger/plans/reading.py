@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import now_literal
 from ..operators.checks import data_issues
-from ..operators.states import apply_transitions
-from ..schemas import STATES
+from ..operators.states import apply_transitions, with_fate
+from ..schemas import STATE, STATES
 from .store import Store
 
 
@@ -43,6 +43,30 @@ def set_state(store: Store, item_id: str, state: str, now) -> bool:
     return True
 
 
+def clean_store(store: Store, now) -> dict[str, int]:
+    """Cleanup on its own, outside a run: one version without dead tombstones, items that are
+    back under a live one and items read too long ago. Returns the counts of all three.
+
+    The fates of states are found in one pass; of the items, only the ids of states
+    that take theirs along are looked up.
+    """
+    store.bootstrap()
+    fated = with_fate(store.read("states"), now).where("fate <> 'kept'")
+    fated = store.stage(fated.select("id", "fate"), "fated")
+    gone = store.stage(store.items_in(store.segments_holding(fated)).select("id").distinct().join(
+        fated.where("fate IN ('ignored', 'expired')"), "id").select("id", "fate"), "gone")
+    counts = (fated.where("fate IN ('pruned', 'expired')").unionByName(gone.where("fate = 'ignored'"))
+              .agg(*[F.count_if(F.col("fate") == fate).alias(name) for name, fate in (
+                  ("pruned", "pruned"), ("scrubbed", "ignored"), ("expired", "expired"))]).first().asDict())
+    if any(counts.values()):
+        dropped = fated.where("fate IN ('pruned', 'expired')").select(
+            "id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in STATE.fields if f.name != "id"])
+        removed = gone.select("id", F.lit(store.version).cast("long").alias("run_id"))
+        store.publish({"states": store.write_states(dropped),
+                       "removed": store.append("removed", removed, f"run_id={store.version}")})
+    return counts
+
+
 def may_publish(items: DataFrame, states: DataFrame, now) -> bool:
     """Reading state may be handed on only if the data check finds nothing."""
     return data_issues(items, states, now).isEmpty()

@@ -1,11 +1,7 @@
 """The text a run leaves behind, and canonical exports."""
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
-
-
-def coverage_line(succeeded: Column, failed: Column, planned: Column, added: Column) -> Column:
-    return F.format_string("Collection run: %d succeeded, %d failed, %d planned, %d added",
-                           succeeded, failed, planned, added)
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 
 def failure_lines(outcomes: DataFrame) -> DataFrame:
@@ -32,9 +28,25 @@ def run_summary(failures: DataFrame, cleanup_counts: DataFrame, run: Row, shown:
     return "\n".join(lines)
 
 
+def _key_sorted(value: Column, kind: DataType) -> Column:
+    """A value with the keys of its structs and maps sorted, at any depth."""
+    if isinstance(kind, StructType):
+        fields = [_key_sorted(value.getField(f.name), f.dataType).alias(f.name)
+                  for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(
+            e["key"].alias("key"), _key_sorted(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _key_sorted(x, kind.elementType))
+    return value
+
+
 def canonical_json(rows: DataFrame) -> Column:
-    """A row as JSON with its keys sorted; equal rows give equal text."""
-    return F.to_json(F.struct(*sorted(rows.columns)))
+    """A row as JSON with its keys sorted, nested ones as well; equal rows give equal text."""
+    return F.to_json(F.struct(*[_key_sorted(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
+                                for f in sorted(rows.schema.fields, key=lambda f: f.name)]))
 
 
 def export_json(rows: DataFrame, order: list[str], path: str) -> None:
