@@ -140,12 +140,13 @@ def merkle_manifest(rows: DataFrame, *, fields: tuple[str, ...] = ("doc_id", "so
     if arity < 2:
         raise ValueError("A run has two nodes at least")
     carried = {f"carry{i}": c for i, c in enumerate((carry or {}).values())}
-    leaves = rows.select(
+    # Written, as dealing them into ranges reads them twice.
+    leaves = staged(rows.select(
         # Null first, then bytewise, in one column that is never null.
         F.coalesce(F.concat(F.lit("="), F.col(f"`{tree}`").cast("string")), F.lit("")).alias("tree"),
         F.col(f"`{order}`").alias("key"),
         F.unhex(leaf_digest(*[F.col(f"`{f}`") for f in fields])).alias("digest"),
-        *[c.alias(n) for n, c in carried.items()])
+        *[c.alias(n) for n, c in carried.items()]), "digests")
     levels, tops = _grown(_numbered(leaves, ["key", "digest"], "leaves"), arity, "tree")
     ends = reduce(DataFrame.unionByName, [
         t.select("tree", "digest", F.lit(i).alias("height")) for i, t in enumerate(tops)])
