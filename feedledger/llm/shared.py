@@ -46,8 +46,11 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 
 
 def row_hash(rows: DataFrame) -> Column:
-    """A hash of a whole row, to tell apart rows that share an id."""
-    return F.xxhash64(*[rows[f"`{c}`"] for c in rows.columns])
+    """A hash of a whole row, to tell apart rows that share an id; maps count as JSON."""
+    def hashable(field) -> Column:
+        column, kind = rows[f"`{field.name}`"], field.dataType.simpleString()
+        return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column
+    return F.xxhash64(*[hashable(f) for f in rows.schema.fields])
 
 
 def let_sql(name: str, value: str, body: str) -> str:
