@@ -47,6 +47,32 @@ def test_wrappers_named_for_what_they_have_are_kept(name):
     assert main_text("<article><p>a</p><div class='post-comments'><p>no</p></div></article>") == "a"
 
 
+PLAIN = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore. " * 3
+HAN = "昔々あるところに人々が住む家がありました" * 12
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<form id=f><div><p>{LONG}</p></div><input></form>", LONG.strip()),
+    (f"<form><div><article><h1>T</h1><p>x</p></article></div></form><form><p>{LONG}</p></form>", "T\nx"),
+    (f"<nav><a href=x>One</a><article><h1>T</h1><p>{LONG}</p></article>", f"T\n{LONG.strip()}"),
+    (f"<div><nav><a href=x>One</a><section><p>{LONG}</p></section></div>", LONG.strip()),
+    (f"<nav><a href=x>One</a><section><p>no</p></section></nav><article>{LONG}</article>", LONG.strip()),
+    *((f"<{t} class='{c}'><article><p>{PLAIN}</p></article></{t.split()[0]}>", PLAIN.strip())
+      for t, c in (("div", "header-fixed"), ("div", "modal-open"), ("div", "page login"), ("section", "search"))),
+    (f"<div><p>{PLAIN}</p><p>{PLAIN}</p></div><div><a href=a>One</a></div>", f"{PLAIN.strip()}\n{PLAIN.strip()}"),
+    (f"<div><p>{HAN}</p></div>", HAN), ("<p>One short paragraph.</p>", "One short paragraph."),
+    ("<nav><a href=x>One</a></nav><p>One short paragraph.</p><footer>no</footer>", "One short paragraph."),
+    *((f"<article><h1>T</h1><p>x</p><div {name}><p>{LONG}</p></div></article>", "T\nx")
+      for name in ("class=article-comments", "class=post-comments", "id=commentsection", "class=content-ad", "class=adbox",
+                   "class=main-menu", "class=story-sidebar")),
+    (f"<article><h1>T</h1><p>x</p></article><div class=thread><p>{LONG}</p></div>", "T\nx"),
+    (f"<article><p>x</p></article><div id=comments><article><p>{LONG}</p></article></div>", "x"),
+    ("<article><div class='entry-header'><h1>T</h1></div><p class=commentary>x</p></article>", "T\nx"),
+])
+def test_wrappers_unclosed_containers_and_comments(page, want):
+    assert main_text(page) == want
+
+
 def test_long_pages_are_whole_and_quick():
     big = "<article>" + "<p>the word</p>" * 50_000 + "</article>"
     assert main_text(big).count("\n") == 49_999
