@@ -54,43 +54,65 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
                      for row in whole[1:]], np.int64)
 
 
-def _nearest(q, q_id, q_far, x, x_id, x_norm, x_far, k: int, step: int = 256):
-    """The ``k`` best of ``x`` for ``q``, evaluated in the order of their upper bounds.
+def span_of(pivots: np.ndarray, wide: int) -> np.ndarray:
+    """Orthonormal rows that span the pivots (and more, if the pivots are dependent)."""
+    pivots = np.pad(pivots, ((0, 0), (0, wide - pivots.shape[1])))
+    norms = np.abs(pivots).max(axis=1, initial=0)
+    q, _ = np.linalg.qr((pivots[norms > 0] / norms[norms > 0, None]).T)
+    return np.ascontiguousarray(q.T)
 
-    A pivot at distance a from q and b from x keeps q and x at least |a - b| apart; the
-    largest of these over all pivots bounds their inner product from above. Evaluation ends
-    when the next bound is below the k-th best score.
-    """
-    norm = float(q @ q)
-    apart = np.abs(x_far - q_far).max(axis=1) if x_far.shape[1] else np.zeros(len(x))
-    slack = 1e-7 * (norm + x_norm) + 1  # more than the distances' rounding can add
-    bound = np.nan_to_num((norm + x_norm - apart ** 2) / 2 + slack, nan=np.inf)
+
+def _pivot_row(x: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """What the distances to the pivots say of each vector: its coordinates in their span and,
+    last, its distance from the span."""
+    at = x @ span.T
+    rest = np.sqrt(np.maximum(0, (x ** 2).sum(1) - (at ** 2).sum(1)))
+    return np.concatenate([at, rest[:, None]], axis=1)
+
+
+def _nearest(q, q_id, bound, x, x_id, k: int, step: int = 64):
+    """The ``k`` best of ``x`` for ``q`` in the order of their upper bounds, and how many were
+    evaluated. Evaluation ends when the next bound is below the k-th best score."""
     bound[x_id == q_id] = -np.inf
-    order = np.argsort(-bound)
-    best_s, best_i, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    for i in range(0, len(order), step):
-        part = order[i:i + step]
-        part = part[bound[part] > -np.inf]
-        if not len(part) or len(best_s) >= k and bound[part[0]] < best_s[k - 1]:
+    best_s, best_i, seen, done = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0
+    order, size = np.zeros(0, np.int64), step
+    while done < len(x):
+        if done == len(order):  # sort only as far as evaluation goes
+            size = min(len(x), size * 8)
+            top = np.argpartition(-bound, size - 1)[:size] if size < len(x) else np.arange(len(x))
+            order = top[np.argsort(-bound[top], kind="stable")]
+            # What was evaluated before has the highest bounds, up to ties: evaluate anew.
+            best_s, best_i, done, seen = best_s[:0], best_i[:0], 0, 0
+        part = order[done:done + step]
+        done += len(part)
+        live = part[bound[part] > -np.inf]
+        if not len(live) or len(best_s) >= k and bound[live[0]] < best_s[k - 1]:
             break
-        seen += len(part)
-        s = np.concatenate([best_s, _scores(q, x[part])])
-        at = np.concatenate([best_i, x_id[part]])
+        seen += len(live)
+        s = np.concatenate([best_s, _scores(q, x[live])])
+        at = np.concatenate([best_i, x_id[live]])
         first = np.lexsort((at, ~s))[:k]  # ~s falls as s rises, without overflow
         best_s, best_i = s[first], at[first]
     return best_s, best_i, seen
 
 
 def top_k(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str = "embedding",
-          queries: str | None = None, k: int = 10, scale: int = 1024, pivots: int = 24,
-          pivot_sample: int = 2048, query_block: int = 2048, vector_block: int = 8192) -> DataFrame:
+          queries: str | None = None, k: int = 10, scale: int = 1024, pivots: int = 48,
+          pivot_sample: int = 2048, query_block: int = 2048, vector_block: int = 8192,
+          counted: bool = False) -> DataFrame:
     """``query_id, rank, vec_id, score``: the exact ``k`` highest integer inner products.
 
     Components become floor(scale * x). ``queries`` is SQL over ``id`` for the rows that
     search (default: ids divisible by 100); candidates are all rows with another id. Queries
-    and vectors are dealt into blocks of a bounded size; each pair of blocks is one group. A
-    vector's distances to the pivots, which are chosen from at most ``pivot_sample`` rows, are
-    computed once and travel with it.
+    and vectors are dealt into blocks of a bounded size; each pair of blocks is one group. The
+    pivots are chosen from at most ``pivot_sample`` rows. A vector's distances to all of them
+    and to the origin fix its coordinates in the pivots' span and its distance from it; these are computed once
+    and travel with it. Two vectors are at least as far apart as their coordinates and the
+    difference of their distances from the span say, which is the maximum of all lower bounds
+    that the pivots give (each single pivot's included); so their inner product is at most that
+    of the coordinates and the product of the two distances. Candidates are evaluated
+    in the order of this bound until none can enter. ``counted`` adds ``evaluated``, the
+    candidates that a query evaluated.
 
     Rows without an id, null or empty vectors and vectors with null or non-finite components
     take no part. Shorter vectors count as ending in zeros. Ties go to the smaller id; rows
@@ -104,14 +126,15 @@ def top_k(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str =
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivot_sample).select("v").collect()
     chosen = choose_pivots(np.floor(_matrix(pa.array([r.v for r in sample], pa.list_(pa.float64())))
                                     * scale), pivots)
+    span = span_of(chosen, chosen.shape[1])
 
     def measured(batches):
         for b in batches:
             x = np.floor(_matrix(b.column(1)) * scale)
-            p = chosen
-            if x.shape[1] != p.shape[1]:
-                x, p = _widened(x, p)
-            far = np.sqrt(np.maximum(0, (x ** 2).sum(1)[:, None] + (p ** 2).sum(1)[None, :] - 2 * x @ p.T))
+            if x.shape[1] < span.shape[1]:
+                x = np.pad(x, ((0, 0), (0, span.shape[1] - x.shape[1])))
+            wide = np.pad(span, ((0, 0), (0, x.shape[1] - span.shape[1])))
+            far = _pivot_row(x, wide)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([r.tobytes() for r in x], pa.binary()),
                  pa.array([r.tobytes() for r in far], pa.binary())], ["id", "x", "far"])
@@ -124,7 +147,8 @@ def top_k(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str =
     def dealt(part: DataFrame, own: int, other: int, key: str) -> DataFrame:
         return (part.withColumn("own", F.pmod(F.xxhash64("id", "x"), F.lit(own)))
                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
-                .select(F.expr(key).alias("pair"), "id", "x", "far"))
+                # Columns of each side's own, so that pruning tells the two sides apart.
+                .select(F.expr(key).alias("pair"), *(F.col(c).alias(c) for c in ("id", "x", "far"))))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         q_id, q, q_far = _unpacked(left)
@@ -133,20 +157,31 @@ def top_k(vectors: DataFrame, *, id_column: str = "vec_id", vector_column: str =
             q_id, q = q_id[:0], q[:0]
         if q.shape[1] != x.shape[1]:
             q, x = _widened(q, x)
-        norms = (x ** 2).sum(1)
-        found = [(i, *_nearest(v, i, f, x, x_id, norms, x_far, k))
-                 for i, v, f in zip(q_id, q, q_far, strict=True)]
+        norms, found = (x ** 2).sum(1), []
+        for i in range(0, len(q), 256):
+            own = (q[i:i + 256] ** 2).sum(1)
+            slack = 1e-7 * (own[:, None] + norms) + 1  # more than rounding can add
+            bounds = np.nan_to_num(q_far[i:i + 256] @ x_far.T + slack, nan=np.inf)
+            found += [(q_id[i + j], *_nearest(q[i + j], q_id[i + j], bounds[j], x, x_id, k)) for j in range(len(own))]
         return pa.table({
             "query_id": pa.array(np.repeat(q_id, [len(f[1]) for f in found]), pa.int64()),
             "vec_id": pa.array(np.concatenate([f[2] for f in found] or [q_id[:0]]), pa.int64()),
-            "score": pa.array(np.concatenate([f[1] for f in found] or [q_id[:0]]), pa.int64())})
+            "score": pa.array(np.concatenate([f[1] for f in found] or [q_id[:0]]), pa.int64()),
+            "seen": pa.array(np.repeat([f[3] for f in found], [len(f[1]) for f in found]), pa.int64()),
+            "block": pa.array(np.repeat(right.column("pair")[0].as_py() if len(x) else 0, sum(len(f[1]) for f in found)),
+                              pa.int64())})
 
     best = (dealt(asked, groups, blocks, f"own * {blocks} + other").groupBy("pair")
             .cogroup(dealt(table, blocks, groups, f"other * {blocks} + own").groupBy("pair"))
-            .applyInArrow(search, "query_id long, vec_id long, score long"))
+            .applyInArrow(search, "query_id long, vec_id long, score long, seen long, block long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    ranked = best.withColumn("rank", F.row_number().over(order))
+    if counted:
+        block = Window.partitionBy("query_id", "block").orderBy("rank")
+        ranked = ranked.withColumn("part", F.when(F.row_number().over(block) == 1, F.col("seen")).otherwise(0)).withColumn(
+            "evaluated", F.sum("part").over(Window.partitionBy("query_id")))
+    return ranked.where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score", *(["evaluated"] if counted else []))
 
 
 def _widened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

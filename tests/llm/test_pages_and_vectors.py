@@ -162,6 +162,14 @@ def test_top_k(vectors, options):
     assert embeddings.top_k(vectors.where("false")).count() == 0
 
 
+def test_pivots_eliminate(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((3000, 32)))]
+    got = embeddings.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), pivots=28, counted=True)
+    r = got.select("query_id", "evaluated").distinct().agg(F.count("*"), F.avg("evaluated"), F.min("evaluated")).first()
+    assert r[0] == 30 and 10 <= r[2] and r[1] < 300
+
+
 @pytest.mark.parametrize("options", [{}, {"compared": 8}])
 def test_near_duplicate_vectors(vectors, options):
     items = [(r.vec_id, np.array(r.embedding, float)) for r in vectors.collect()
