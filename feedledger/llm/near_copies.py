@@ -1,9 +1,10 @@
-"""Near copies of texts: MinHash bands gather candidates, whole texts decide.
+"""Near copies of texts: SimHash balls and MinHash bands gather candidates, whole texts decide.
 
-Texts are sets of word shingles. Equal sets are one class from the start. Classes that agree
-in one of ``BANDS`` bands of ``ROWS`` minima and in enough of their signatures are joined to
-clusters; only a spanning forest of each band is written, never its pairs. The members of a
-cluster then meet with their whole texts, dealt in chunks, and each task compares what its
+Texts are sets of word shingles. Equal sets are one class from the start. Classes whose SimHash
+fingerprints meet by ball hashing (:mod:`.simhash`) are joined to clusters. At a similarity of 0.8
+fingerprints differ in some 10 bits, so classes are joined, too, if they agree in one of ``BANDS``
+bands of ``ROWS`` minima and in enough of their signatures; only a spanning forest of each
+band is written, never its pairs. The members of a cluster then meet with their whole texts, dealt in chunks, and each task compares what its
 chunks hold: two texts are linked if the Jaccard similarity of their sets is at least
 ``least``. A task emits a spanning forest of its links, so no table grows with the square of
 a group.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from .components import components
 from .runs import runs
 from .shared import prepare_workers, row_hash, staged
-from .simhash import keep_first
+from .simhash import fingerprint_links, keep_first, majority, shingle_hashes
 
 #: A pair at similarity s meets with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99993 at 0.8.
 BANDS, ROWS = 24, 5
@@ -37,16 +38,7 @@ _STEP = 1 << 10
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Sorted XXH64 (seed 42) of the different word shingles; none without words."""
-    parts = (text or "").encode().lower().split()  # of bytes: ASCII letters and spaces alone
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    last = ends[words - 1:] if len(parts) >= words else ends[-1:]
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist())),
-                                 np.uint64, len(last)))
+    return np.unique(shingle_hashes(text, words))
 
 
 def minima(of: np.ndarray) -> np.ndarray:
@@ -145,14 +137,16 @@ def _linked(words: int, least: float):
 
 
 def near_copy_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
-                         words: int = 5, least: float = 0.8, crowd: int = 512) -> DataFrame:
+                         words: int = 5, least: float = 0.8, crowd: int = 512,
+                         radius: int = 4, blocks: int = 2, compared: int = 4096) -> DataFrame:
     """``doc_id, row_hash, component_id``, one row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links: pairs of texts whose sets of
     ``words``-word shingles (lower case; a shorter text is one shingle) have a Jaccard
     similarity of ``least`` or more. Every link is checked on the whole texts, so none is
     wrong; one at 0.8 is missed with probability 1e-4, above that with less (the bands are
-    laid for 0.8: a lower ``least`` needs more of them).
+    laid for 0.8: a lower ``least`` needs more of them). Texts whose fingerprints are within
+    ``radius`` bits (:func:`.simhash.simhash_components`, here of ``words`` words) always meet.
 
     A cluster is cut into chunks of about ``crowd`` texts (a text counts one, and one more for
     every 256 shingles). At first each chunk meets with the cluster's first text, which joins
@@ -171,9 +165,11 @@ def near_copy_components(docs: DataFrame, *, id_column: str = "doc_id", text_col
 
     def hashed(batches):
         for b in batches:
-            whole, n, keys, sig = [], [], [], []
+            whole, n, fps, keys, sig = [], [], [], [], []
             for text in b.column(2):
-                of = shingles(text.as_py(), words)
+                every = shingle_hashes(text.as_py(), words)
+                fps.append(majority(every))
+                of = np.unique(every)
                 low = minima(of)
                 whole.append(xxhash.xxh64_intdigest(of.tobytes(), 7))
                 n.append(len(of))
@@ -181,13 +177,13 @@ def near_copy_components(docs: DataFrame, *, id_column: str = "doc_id", text_col
                 sig.append((low >> np.uint64(20)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(np.array(whole, np.uint64).view(np.int64)), pa.array(n, pa.int64()),
-                 pa.array(keys, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "row_hash", "words_hash", "n", "keys", "sig"])
+                 pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.binary()), pa.array(sig, pa.binary())],
+                ["doc_id", "row_hash", "words_hash", "n", "fp", "keys", "sig"])
 
     texts = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), row_hash(docs).alias("row_hash"),
                         F.col(f"`{text_column}`").cast("string").alias("text"))
     prints = staged(texts.mapInArrow(
-        hashed, "doc_id long, row_hash long, words_hash long, n long, keys binary, sig binary"), "shingled")
+        hashed, "doc_id long, row_hash long, words_hash long, n long, fp long, keys binary, sig binary"), "shingled")
     # The text with the smallest id stands for its class.
     classes = staged(prints.where("doc_id IS NOT NULL").groupBy("words_hash").agg(
         F.min(F.struct("doc_id", "row_hash", "n", "keys", "sig")).alias("k"))
@@ -195,6 +191,12 @@ def near_copy_components(docs: DataFrame, *, id_column: str = "doc_id", text_col
     met = staged(classes.where("n > 0").select("node", "keys", "sig").mapInArrow(
         _bands, "key long, node long, sig binary")
         .repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "a long, b long"), "met")
+    # A class has a fingerprint for each way in which its shingles are repeated.
+    printed = staged(prints.where("doc_id IS NOT NULL AND n > 0").select("words_hash", "fp").distinct().join(
+        classes.select("words_hash", "node"), "words_hash").select("fp", "node"), "printed")
+    balls = staged(printed.groupBy("fp").agg(F.min("node").alias("node")), "balls")
+    equal = printed.join(balls.withColumnRenamed("node", "b"), "fp").select(F.col("node").alias("a"), "b").where("a <> b")
+    met = met.unionByName(equal).unionByName(fingerprint_links(balls, radius, blocks, compared))
     members = staged(classes.where("n > 0").join(components(met), "node").select(
         "node", "row_hash", F.col("root").alias("cluster"), "sig", (1 + F.col("n") / SHINGLES_A_TEXT).alias("weight")),
         "members")

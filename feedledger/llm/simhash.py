@@ -22,25 +22,35 @@ BITS = 64
 _STEP = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Majority bits of the XXH64 (seed 42) of all word shingles; 0 without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, repeats included; none without words."""
     parts = (text or "").encode().lower().split()  # of bytes: ASCII letters and spaces alone
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(parts) - words + 1)
     last = ends[words - 1:] if len(parts) >= words else ends[-1:]
-    ones, hashed = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
-    for i in range(0, n, _STEP):
-        h = np.array([hashed(joined[a:b], 42) for a, b in zip(
-            starts[i:min(n, i + _STEP)].tolist(), last[i:i + _STEP].tolist(), strict=True)], "<u8")
+    hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist())),
+                       np.uint64, len(last))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), _STEP):
+        h = hashes[i:i + _STEP].astype("<u8")
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         full = len(bits) // 255 * 255  # bytes hold a sum of 255 bits
         ones += bits[:full].reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
         ones += bits[full:].sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """Majority bits of the XXH64 (seed 42) of all word shingles; 0 without words."""
+    return majority(shingle_hashes(text, words))
 
 
 def variants(bits: int, distance: int) -> np.ndarray:
@@ -124,6 +134,20 @@ def _stars(batches):
             [pa.array(node[1:]), pa.array(np.full(len(node) - 1, node[0]))], ["a", "b"])
 
 
+def fingerprint_links(classes: DataFrame, radius: int, blocks: int, compared: int) -> DataFrame:
+    """Links ``(a, b)`` that connect the rows of ``classes(fp, node)`` whose fingerprints, each
+    there once, are within ``radius`` bits."""
+    def by_key(rows: DataFrame, blocks: int) -> DataFrame:
+        return (rows.mapInArrow(_keys(blocks, radius), "key long, fp long, node long")
+                .repartition("key").sortWithinPartitions("key", "node"))
+
+    met = staged(by_key(classes.select("fp", "node"), blocks)
+                 .mapInArrow(_met(radius, compared), "a long, b long, fp long"), "met")
+    crowd = met.where("b IS NULL").select("fp", F.col("a").alias("node")).distinct()
+    return met.where("b IS NOT NULL").select("a", "b").unionByName(
+        by_key(crowd, 1).mapInArrow(_stars, "a long, b long"))
+
+
 def simhash_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text",
                        radius: int = 4, words: int = 4, blocks: int = 2,
                        compared: int = 4096) -> DataFrame:
@@ -152,17 +176,7 @@ def simhash_components(docs: DataFrame, *, id_column: str = "doc_id", text_colum
         F.col(text_column).cast("string").alias("text")).mapInArrow(
         hashed, "doc_id long, row_hash long, fp long"), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-
-    def by_key(rows: DataFrame, blocks: int) -> DataFrame:
-        return (rows.mapInArrow(_keys(blocks, radius), "key long, fp long, node long")
-                .repartition("key").sortWithinPartitions("key", "node"))
-
-    met = staged(by_key(classes.where("node IS NOT NULL"), blocks)
-                 .mapInArrow(_met(radius, compared), "a long, b long, fp long"), "met")
-    crowd = met.where("b IS NULL").select("fp", F.col("a").alias("node")).distinct()
-    links = met.where("b IS NOT NULL").select("a", "b").unionByName(
-        by_key(crowd, 1).mapInArrow(_stars, "a long, b long"))
-    found = components(links)
+    found = components(fingerprint_links(classes.where("node IS NOT NULL"), radius, blocks, compared))
     known = classes.join(found, "node", "left").select(
         "fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(known, "fp").select(

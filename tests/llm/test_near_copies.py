@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from feedledger.llm import near_copies
+from feedledger.llm import near_copies, simhash
 
 
 def copies(spark):
@@ -92,3 +92,21 @@ def test_map_columns_do_not_matter(spark):
     docs = spark.createDataFrame([(1, "a b", {"k": 1}), (2, "a  B", None), (3, "c", {})],
                                  "doc_id long, text string, Node map<string,int>")
     assert {r.doc_id for r in near_copies.drop_near_copies(docs).collect()} == {1, 3}
+
+
+def test_fingerprints_within_the_radius_meet_without_bands(spark, monkeypatch):
+    base = [f"w{i}" for i in range(1200)]
+    changed = [*base[:200], "other", *base[201:]]
+    rows = [(1, " ".join(base)), (2, " ".join(changed)), (3, "One two"), (4, "one  two"), (5, " ".join(base[:100])),
+            (6, " ".join(["r s t u v w"] * 9)), (7, " ".join(["r s t u v w"] * 10)), (None, "one two"), (8, None)]
+    prints = [simhash.fingerprint(t, 5) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 < (prints[0] ^ prints[4]).bit_count()
+
+    def no_bands(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+
+    monkeypatch.setattr(near_copies, "_met", no_bands)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = near_copies.near_copy_components(docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 7: 6, 8: 8, None: None}
