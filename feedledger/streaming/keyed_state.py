@@ -17,6 +17,10 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ..operators.joins import SALTS
 from ..schemas import TOMBSTONE_HOURS, WINDOW_HOURS
 
+#: Parts of a bucket's known ids; a part is read and written whole, with one call for all its ids.
+PARTS = 128
+#: Groups of sources whose shares of a bucket are one value of state.
+CELLS = 256
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -73,29 +77,37 @@ def undated_decisions(items: DataFrame, known: DataFrame | None = None, buckets:
 
     class Decide(StatefulProcessor):
         def init(self, handle):
-            self.known = handle.getMapState("known", "id STRING", "outcome STRING")
+            self.known = handle.getMapState("known", "part INT", "ids ARRAY<STRUCT<id: STRING, outcome: STRING>>")
 
         def handleInputRows(self, key, rows, timerValues):
-            first = {}
+            parts = {}
             for row in rows:
-                values = tuple(row)[:len(names)]
+                *values, _, part = tuple(row)
+                first = parts.setdefault(part, {})
                 rank = [(values[i] is not None, values[i]) for i in order]
                 held = first.get(values[id_at])
                 if held is None or rank < held[0]:
                     first[values[id_at]] = (rank, values)
-            for id_, (_, values) in first.items():
-                if not self.known.containsKey((id_,)):
-                    imported = not values[initial_at]
-                    self.known.updateValue((id_,), ("imported" if imported else "withheld",))
-                    yield row_type(*values, imported, True)
+            for part, first in parts.items():
+                held = self.known.getValue((part,))
+                ids = {} if held is None else {k["id"]: k["outcome"] for k in held[0]}
+                new = {id_: values for id_, (_, values) in first.items() if id_ not in ids}
+                if not new:
+                    continue
+                ids.update((id_, "withheld" if values[initial_at] else "imported") for id_, values in new.items())
+                self.known.updateValue((part,), (list(ids.items()),))
+                for values in new.values():
+                    yield row_type(*values, not values[initial_at], True)
 
         def handleInitialState(self, key, initialState, timerValues):
-            self.known.updateValue((initialState["id"],), ("before",))
+            self.known.updateValue((initialState["_part"],), ([(id_, "before") for id_ in {k["id"] for k in initialState["ids"]}],))
 
-    keyed = items.where("date_basis = 'discovered' AND id IS NOT NULL").withColumn("_bucket", _bucket("id", buckets))
+    place = [_bucket("id", buckets), F.pmod(F.shiftright(F.xxhash64("id"), 20), F.lit(PARTS)).cast("int").alias("_part")]
+    keyed = items.where("date_basis = 'discovered' AND id IS NOT NULL").select(*names, *place)
     before = None
     if known is not None:
-        before = known.select("source_id", "id", _bucket("id", buckets)).groupBy("source_id", "_bucket")
+        before = (known.select("source_id", "id", *place).groupBy("source_id", "_bucket", "_part")
+                  .agg(F.collect_list(F.struct("id")).alias("ids")).groupBy("source_id", "_bucket"))
     undated = keyed.groupBy("source_id", "_bucket").transformWithState(
         Decide(), decided, "append", "None", before)
     dated = items.where("date_basis <> 'discovered'").withColumns({"imported": F.lit(True), "recorded": F.lit(False)})
@@ -105,7 +117,7 @@ def undated_decisions(items: DataFrame, known: DataFrame | None = None, buckets:
 def known_ids(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``(source_id, id)`` that the stream has decided on, or knew before: the batch form's table."""
     return state_table(spark, checkpoint, "known").select(
-        "key.source_id", F.col("user_map_key.id").alias("id"))
+        "key.source_id", F.explode("user_map_value.ids.id").alias("id"))
 
 
 # Lifecycle stages ------------------------------------------------------------------------
@@ -125,17 +137,19 @@ def lifecycle_changes(snapshots: DataFrame, known: DataFrame | None = None, buck
 
     class Compare(StatefulProcessor):
         def init(self, handle):
-            self.stages = handle.getMapState("stages", "slug STRING", "stage STRING")
-            self.newest = handle.getValueState("newest", "seq BIGINT")
+            self.held = handle.getValueState("held", (
+                "sources ARRAY<STRUCT<source_id: STRING, newest: BIGINT, stages: ARRAY<STRUCT<slug: STRING, stage: STRING>>>>"))
 
         def handleInputRows(self, key, rows, timerValues):
-            newest = self.newest.get()[0] if self.newest.exists() else None
-            held = {k[0]: v[0] for k, v in self.stages.iterator()}
-            before = dict(held)
+            value, changed = self.held.get(), False
+            held = {} if value is None else {
+                k["source_id"]: (k["newest"], {s["slug"]: s["stage"] for s in k["stages"]}) for k in value[0]}
             for snapshot in sorted(rows, key=lambda r: r["seq"]):
+                source = snapshot["source_id"]
+                newest, before = held.get(source, (None, {}))
                 if newest is not None and snapshot["seq"] <= newest:
                     continue
-                newest, seen = snapshot["seq"], {}
+                newest, seen, changed = snapshot["seq"], {}, True
                 for entry in snapshot["share"]:
                     slug, stage = entry["slug"], entry["stage"]
                     was = before.get(slug)
@@ -144,36 +158,36 @@ def lifecycle_changes(snapshots: DataFrame, known: DataFrame | None = None, buck
                         continue
                     event = ("new:" + stage if was is None else
                              "withdrawn" if stage == "withdrawn" else "transition:" + stage)
-                    yield row_type(key[0], newest, entry["at"], slug, entry["heading"], entry["link"], stage, event)
-                before = seen
-            for slug in held.keys() - before.keys():
-                self.stages.removeKey((slug,))
-            for slug, stage in before.items():
-                if held.get(slug) != stage:
-                    self.stages.updateValue((slug,), (stage,))
-            if newest is not None:
-                self.newest.update((newest,))
+                    yield row_type(source, newest, entry["at"], slug, entry["heading"], entry["link"], stage, event)
+                held[source] = newest, seen
+            if changed:
+                self.held.update(([(source, newest, list(stages.items())) for source, (newest, stages) in held.items()],))
 
         def handleInitialState(self, key, initialState, timerValues):
-            self.stages.updateValue((initialState["slug"],), (initialState["stage"],))
+            held = [(k["source_id"], None, list({s["slug"]: s["stage"] for s in k["stages"]}.items()))
+                    for k in initialState["sources"]]
+            self.held.update((held,))
 
+    cell = F.pmod(F.xxhash64("source_id"), F.lit(CELLS)).cast("int").alias("_cell")
     placed = F.transform("entries", lambda e, i: F.struct(
         i.alias("at"), e["slug"].alias("slug"), e["stage"].alias("stage"), e["heading"].alias("heading"),
         e["link"].alias("link"), F.pmod(F.xxhash64(e["slug"]), F.lit(buckets)).cast("int").alias("bucket")))
     shares = (snapshots.where("entries IS NOT NULL").select("source_id", F.col("seq").cast("long").alias("seq"), placed.alias("placed"))
               .withColumn("_bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-              .select("source_id", "_bucket", "seq", F.filter("placed", lambda e: (
+              .select("source_id", cell, "_bucket", "seq", F.filter("placed", lambda e: (
                   e["bucket"] == F.col("_bucket")) & e["slug"].isNotNull() & e["stage"].isNotNull()).alias("share")))
     before = None
     if known is not None:
-        before = known.select("source_id", "slug", "stage", _bucket("slug", buckets)).groupBy("source_id", "_bucket")
-    return shares.groupBy("source_id", "_bucket").transformWithState(Compare(), schema, "append", "None", before)
+        before = (known.select("source_id", "slug", "stage", _bucket("slug", buckets)).groupBy("source_id", "_bucket")
+                  .agg(F.collect_list(F.struct("slug", "stage")).alias("stages")).groupBy(cell, "_bucket")
+                  .agg(F.collect_list(F.struct("source_id", "stages")).alias("sources")).groupBy("_cell", "_bucket"))
+    return shares.groupBy("_cell", "_bucket").transformWithState(Compare(), schema, "append", "None", before)
 
 
 def lifecycle_stages(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``(source_id, slug, stage)`` as the next snapshot will find them."""
-    return state_table(spark, checkpoint, "stages").select(
-        "key.source_id", F.col("user_map_key.slug").alias("slug"), F.col("user_map_value.stage").alias("stage"))
+    return state_table(spark, checkpoint, "held").select(
+        F.inline("value.sources")).select("source_id", F.inline("stages").alias("slug", "stage"))
 
 
 # Tombstones ------------------------------------------------------------------------------
@@ -200,27 +214,34 @@ def tombstone_outcomes(events: DataFrame, known: DataFrame | None = None, delay_
     class Decide(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
-            # Active where ignored_us is null; no value: unknown.
-            self.status = handle.getValueState("status", "ignored_us BIGINT")
-            self.waiting = handle.getListState("waiting", "ts_us BIGINT, seq BIGINT, kind STRING")
+            # One value, so a key costs one read and one write; active where known and not ignored.
+            self.item = handle.getValueState(
+                "item", "known BOOLEAN, ignored_us BIGINT, waiting ARRAY<STRUCT<ts_us: BIGINT, seq: BIGINT, kind: STRING>>")
+
+        def held(self):
+            known, ignored, waiting = self.item.get() or (False, None, [])
+            return known, ignored, [tuple(w) for w in waiting]
 
         def wake(self, us):
             # Timers have milliseconds: the first at which the moment has passed.
             self.handle.registerTimer(-(-us // 1000))
 
         def handleInputRows(self, key, rows, timerValues):
+            known, ignored, held = self.held()
             new = [(r["ts_us"], r["seq"], r["kind"]) for r in rows]
-            self.waiting.appendList(new)
-            self.wake(min(n[0] for n in new))
+            self.item.update((known, ignored, held + new))
+            # The first of those that wait has a timer already.
+            first = min(n[0] for n in new)
+            if not held or first < min(w[0] for w in held):
+                self.wake(first)
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
-            held = sorted(tuple(w) for w in self.waiting.get())
+            before = known, ignored, held = self.held()
+            held = sorted(held)
             due = [w for w in held if w[0] <= passed]
             later = held[len(due):]
-            known = self.status.exists()
-            ignored = self.status.get()[0] if known else None
             out = []
 
             def prune(until):
@@ -235,27 +256,25 @@ def tombstone_outcomes(events: DataFrame, known: DataFrame | None = None, delay_
                     outcome = "ignored" if known and ignored is None else "not-found"
                     if outcome == "ignored":
                         ignored = us
-                        self.wake(us + life)
                 elif not known:
                     known, outcome = True, "added"
                 else:
                     outcome = "repeated" if ignored is None else "scrubbed"
                 out.append(row_type(key[0], us, seq, outcome))
             known, ignored = prune(passed)
-            if due:
-                if later:
-                    self.waiting.put(later)
-                    self.wake(later[0][0])
-                else:
-                    self.waiting.clear()
-            if known:
-                self.status.update((ignored,))
-            else:
-                self.status.clear()
+            if ignored is not None and ignored != before[1]:
+                self.wake(ignored + life)
+            if due and later:
+                self.wake(later[0][0])
+            if known or later:
+                if (known, ignored, later) != before:
+                    self.item.update((known, ignored, later))
+            elif before[0] or before[2]:
+                self.item.clear()
             return iter(out)
 
         def handleInitialState(self, key, initialState, timerValues):
-            self.status.update((initialState["ignored_us"],))
+            self.item.update((True, initialState["ignored_us"], []))
             if initialState["ignored_us"] is not None:
                 self.wake(initialState["ignored_us"] + life)
 
@@ -271,5 +290,5 @@ def tombstone_outcomes(events: DataFrame, known: DataFrame | None = None, delay_
 
 def tombstones(spark: SparkSession, checkpoint: str) -> DataFrame:
     """``(id, ignored_at)`` of items known at the watermark; null: active."""
-    return state_table(spark, checkpoint, "status").select(
+    return state_table(spark, checkpoint, "item").where("value.known").select(
         "key.id", F.timestamp_micros("value.ignored_us").alias("ignored_at"))
