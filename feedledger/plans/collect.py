@@ -24,7 +24,7 @@ from ..operators.dedup import first_seen, most_specific
 from ..operators.joins import lookup_join, not_in_history
 from ..operators.scope import in_source_scope
 from ..operators.states import with_fate
-from ..session import at_least_parallel
+from ..session import evenly_parallel
 from ..sources.adapters import AdapterRegistry, default_registry, parse_payloads
 from ..sources.landing import Landing
 from ..sources.registry import registry_issues, unsupported_adapters
@@ -231,7 +231,7 @@ def collect_run(store: Store, payloads: DataFrame, sources: DataFrame, reference
         store.declare(fragment.table, fragment.schema)
 
     # Collect: parse once, then scope, window, baseline, de-duplicate, merge.
-    landed = landed_payloads(at_least_parallel(payloads, "seq"), sources)
+    landed = landed_payloads(evenly_parallel(payloads), sources)
     parsed = store.stage(parse_payloads(landed, registry).drop("body"), "parsed")
     stages, cursors = store.read("lifecycle_stage"), store.read("cursors")
     kept = {name: store.read(f.table) for name, f in registry.fragments().items()}

@@ -8,7 +8,7 @@ from ...functions.text import tag_union
 from ...functions.urls import let
 from ...operators import lifecycle
 from ...operators.outcomes import source_outcomes
-from ...session import at_least_parallel
+from ...session import evenly_parallel
 from ...sources.adapters import AdapterRegistry, BUILT_IN, parse_payloads
 from ...sources.entries import with_canonical_links
 from ...sources.feeds import parse_feed
@@ -30,7 +30,7 @@ def _entries(rows: DataFrame, key: str, parse, filters: Column | None = None,
         result = with_canonical_links(result, F.col("url"))
     # A filter on the error would be pushed below the parser and run it a second time.
     usable = F.when(F.col("r.error").isNull(), F.col("r.entries"))
-    return at_least_parallel(rows, key).withColumn("r", result).select(key, F.posexplode(usable).alias("at", "e"))
+    return evenly_parallel(rows).withColumn("r", result).select(key, F.posexplode(usable).alias("at", "e"))
 
 
 def _tags() -> Column:
@@ -347,7 +347,7 @@ def landed_fetch(spark, folder):
         F.lit(None).cast("string").alias("filters"),
         F.lit(None).cast("struct<include_prerelease:boolean>").alias("release_policy"))
     registry = AdapterRegistry(a for a in BUILT_IN if a.name == "official-api")
-    parsed = parse_payloads(at_least_parallel(landed, "seq"), registry)
+    parsed = parse_payloads(evenly_parallel(landed), registry)
     found = parsed.where("error IS NULL").select("source_id", F.explode("entries"))
     sources = events.select("user_id").distinct().select(
         F.col("user_id").cast("string").alias("id"), F.col("user_id").alias("pos"),

@@ -18,13 +18,23 @@ from ...streaming.micro_batches import (
 from ..store import Store
 
 
+#: Files that a batch lands in, and rows from which on each of them surely gets some.
+FILES = 4
+MANY_ROWS = 10_000
+
+
 def _landed(spark, root, rows, order, batches=3):
-    """Rows as a stream of files that landed one after the other, a batch each, by ``order``."""
+    """Rows as a stream of files that landed one after the other, by ``order``: a batch is
+    ``FILES`` of them, or one if there are few rows."""
     low, high = rows.agg(F.min(order), F.max(order)).first()
     part = F.least(F.floor((order - low) * batches / max(1, high - low)), F.lit(batches - 1))
+    sizes = rows.agg(*[F.count_if(part == i).alias(f"n{i}") for i in range(batches)]).first()
+    # Every file of a batch must get rows, as an empty one is not written.
+    files = FILES if min(sizes) >= MANY_ROWS else 1
     for i in range(batches):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{root}/landed")
-    return file_stream(spark, f"{root}/landed", rows.schema, files_per_batch=1)
+        batch = rows.where(part == i)
+        (batch.coalesce(1) if files == 1 else batch.repartition(files)).write.mode("append").parquet(f"{root}/landed")
+    return file_stream(spark, f"{root}/landed", rows.schema, files_per_batch=files)
 
 
 @query("SELECT DISTINCT user_id, event_type, FALSE AS repeated FROM events")
@@ -77,10 +87,6 @@ def stream_collect(spark, folder):
     return Store(spark, root).items().select("id", "source_id", "date")
 
 
-#: Files that a batch of the streams below lands in.
-FILES = 4
-
-
 def _land(rows, folder):
     rows.repartition(FILES).write.mode("append").parquet(folder)
 

@@ -1,9 +1,10 @@
 """Session settings the library relies on."""
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Settings for cluster and local runs alike; sizes come from the data through AQE.
 SETTINGS = {
@@ -27,17 +28,21 @@ def local_session(cores: str = "8", memory: str = "12g") -> SparkSession:
     return spark
 
 
-def at_least_parallel(rows: DataFrame, key: str) -> DataFrame:
-    """Spread rows over the cluster if their scan alone would leave most of it idle.
+#: Rows that a task parses, some seconds of work.
+ROWS_A_TASK = 50_000
 
-    Parsing costs far more than moving a few small files. A scan that already has a split
-    per core, as any large table has, is left alone, so big inputs are never shuffled.
-    Meant for plain scans: asking a plan with shuffles for its partitions would run them.
+
+def evenly_parallel(rows: DataFrame) -> DataFrame:
+    """Spread rows evenly over the cluster, over so many tasks that each stays short.
+
+    Parsing costs far more than moving payloads, and the splits of a scan say nothing about
+    how many rows each has: a file with one row group leaves all but one of them empty. Rows go by a
+    hash of what they hold, so a retried task agrees with itself and no key is hot. Meant for
+    plain scans, as the rows are counted first.
     """
-    wanted = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= wanted:
-        return rows
-    return rows.repartition(wanted, key)
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_A_TASK))
+    hashed = [f"`{f.name}`" for f in rows.schema if not re.search("map<|variant", f.dataType.simpleString())]
+    return rows.repartition(tasks, F.xxhash64(*hashed)) if hashed else rows.repartition(tasks)
 
 
 def work_folder(spark: SparkSession) -> str:
