@@ -23,6 +23,7 @@ from ..plans.collect import RunResult, collect_run
 from ..plans.reading import change_states
 from ..plans.store import DRAIN, Store
 from ..schemas import WINDOW_HOURS
+from ..session import ROWS_A_TASK, evenly_parallel
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType | str,
@@ -105,10 +106,16 @@ def collect_stream(root: str, payloads: DataFrame, sources: DataFrame, reference
 def transition_stream(root: str, transitions: DataFrame, checkpoint: str) -> StreamingQuery:
     """Fold reading-state transitions into the store, one version per micro-batch.
 
+    A large batch is folded in more tasks, so that what one of them holds does not grow with it.
     Items ignored by a batch are listed as removed; of transitions that come later only
     those from before they were ignored still count.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        change_states(Store(batch.sparkSession, root), batch)
+        own = batch.sparkSession  # of the stream alone
+        tasks = -(-batch.count() // ROWS_A_TASK)
+        if tasks > int(own.conf.get("spark.sql.shuffle.partitions")):
+            own.conf.set("spark.sql.shuffle.partitions", str(tasks))
+        # A partial fold sorts what its task scans, all rows of a row group.
+        change_states(Store(own, root), evenly_parallel(batch) if tasks > 1 else batch)
 
     return _drain(transitions, each, checkpoint)

@@ -190,3 +190,25 @@ def brute_outcomes(rows, delay=36, life=48):
             out.append((id_, text(at), seq, "added" if id_ not in ignored else "repeated" if ignored[id_] is None else "scrubbed"))
             ignored.setdefault(id_, None)
     return sorted(out)
+
+
+# Calls --------------------------------------------------------------------------------------
+
+def test_state_calls_do_not_grow_with_the_ids_or_slugs_of_a_batch(spark, session, tmp_path):
+    """One row of state per source group or part, however many ids and slugs it holds."""
+    folder, out, log = (str(tmp_path / n) for n in ("in", "out", "log"))
+    rows = session.createDataFrame([snapshot("p", 0, *[(f"s{i}", "1") for i in range(400)])],
+                                   f"source_id STRING, seq BIGINT, entries {ENTRIES}")
+    land(rows, folder)
+    keyed.drain(keyed.lifecycle_changes(file_stream(session, folder, rows.schema), None, buckets=2), out, log)
+    assert keyed.state_table(spark, log, "held").count() == 2
+    assert keyed.lifecycle_stages(spark, log).count() == read(spark, out).count() == 400
+    folder, out, log = (str(tmp_path / f"ids-{n}") for n in ("in", "out", "log"))
+    rows = undated_rows(session).limit(0).unionByName(session.range(2000).select(
+        F.lit("p").alias("source_id"), F.col("id").cast("string").alias("id"), F.lit("discovered").alias("date_basis"),
+        F.lit(False).alias("is_initial")), allowMissingColumns=True)
+    land(rows, folder)
+    known = session.createDataFrame([("p", "1"), ("p", "1"), ("p", None)], S.KNOWN_UNDATED)
+    keyed.drain(keyed.undated_decisions(file_stream(session, folder, rows.schema), known, buckets=1), out, log)
+    assert keyed.state_table(spark, log, "known").count() <= keyed.PARTS
+    assert keyed.known_ids(spark, log).count() == 2001 and read(spark, out).count() == 1999

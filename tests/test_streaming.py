@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from feedledger import schemas as S
+from feedledger.plans.queries import streams
 from feedledger.plans.reading import change_states
 from feedledger.plans.store import Store
+from feedledger.session import ROWS_A_TASK, evenly_parallel
 from feedledger.streaming.micro_batches import (
     collect_stream, file_stream, first_within_overlap, transition_stream,
 )
@@ -106,3 +108,23 @@ def test_first_within_overlap_keeps_one_row_per_key(spark, tmp_path):
     (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "log"))
      .trigger(availableNow=True).start().awaitTermination())
     assert sorted(r["k"] for r in spark.read.schema("k STRING, ts TIMESTAMP").parquet(out).collect()) == ["k", "m"]
+
+
+def test_a_file_with_one_row_group_is_dealt_evenly(spark, tmp_path):
+    n, folder = 4 * ROWS_A_TASK, str(tmp_path / "one")
+    spark.range(n, numPartitions=1).select("id", F.lit("s").alias("source_id"), F.map_from_arrays(
+        F.array("id"), F.array("id")).alias("m")).write.parquet(folder)
+    rows = evenly_parallel(spark.read.option("maxPartitionBytes", 1 << 16).parquet(folder))
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and len(sizes) >= 4 and max(sizes) < 1.2 * n / len(sizes)
+    assert evenly_parallel(spark.range(0)).count() == 0
+
+
+def test_large_batches_land_in_several_files_and_stay_batches(spark, tmp_path):
+    for name, n, files in (("few", 30, 1), ("many", 3 * streams.MANY_ROWS, streams.FILES)):
+        rows = spark.range(n).withColumn("v", F.lit(1))
+        streams._landed(spark, str(tmp_path / name), rows, F.col("id"))
+        landed = spark.read.parquet(str(tmp_path / name / "landed")).groupBy(F.input_file_name()).agg(
+            F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).collect()
+        assert len(landed) == 3 * files and sum(r["n"] for r in landed) == n
+        assert all(r["low"] * 3 // n == r["high"] * 3 // n for r in landed)
